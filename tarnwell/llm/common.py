@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, inside the cluster's checkpoint folder."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tarnwell-checkpoint-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/tarnwell-{uuid.uuid4().hex}"
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the cluster's checkpoint folder.
 
     The folder is the one named by ``spark.checkpoint.dir``; where that is unset (tests in one
     process) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarnwell-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

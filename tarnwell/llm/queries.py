@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import chat_examples, read_back
-from .common import table
+from .common import shared_folder, table
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprints
+from .packing import packed
+from .token_count import token_counts
+from .token_file import read_token_file, write_token_file
 
 #: Said by both rows of conversation -1.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def byte_bpe() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    write_token_file(table(spark, sf_dir, "documents"), path, byte_bpe())
+    return read_token_file(spark, path)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,6 +38,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_examples(real.unionByName(spark.range(1).select(F.inline(F.array(*rows))))))
 
 
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False).drop("ids")
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -36,7 +58,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_chat_format, op9_fingerprint)}
+    return {f.__name__: f for f in (op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op8_packing, op9_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
