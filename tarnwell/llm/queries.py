@@ -10,6 +10,7 @@ from .chat_format import chat_examples, read_back
 from .common import shared_folder, table
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprints
+from .mixing import mix
 from .packing import packed
 from .token_count import token_counts
 from .token_file import read_token_file, write_token_file
@@ -42,6 +43,10 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))[0].drop("u")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False).drop("ids")
 
@@ -58,7 +63,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op8_packing, op9_fingerprint)}
+    return {f.__name__: f for f in (op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op6_mixing, op8_packing, op9_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
