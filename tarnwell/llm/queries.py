@@ -10,10 +10,12 @@ from .chat_format import chat_examples, read_back
 from .common import shared_folder, table
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprints
+from .language_id import language_id, learn
 from .mixing import mix
 from .packing import packed
 from .token_count import token_counts
 from .token_file import read_token_file, write_token_file
+from .toxicity import fit, toxicity_scores
 
 #: Said by both rows of conversation -1.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -23,6 +25,11 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id(docs, learn(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     write_token_file(table(spark, sf_dir, "documents"), path, byte_bpe())
@@ -55,6 +62,11 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 OP3_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents),
 g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
@@ -63,7 +75,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op6_mixing, op8_packing, op9_fingerprint)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op6_mixing, op8_packing, op9_fingerprint, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

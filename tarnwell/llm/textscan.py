@@ -147,3 +147,9 @@ def byte_level_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         after = quote[long] + 3
         start[after[after < n]] = True
     return start
+
+
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
