@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .fingerprint import fingerprints
 from .language_id import language_id, learn
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import packed
 from .token_count import token_counts
 from .token_file import read_token_file, write_token_file
@@ -54,6 +55,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0].drop("u")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), k=4)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False).drop("ids")
 
@@ -75,7 +80,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op6_mixing, op8_packing, op9_fingerprint, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op6_mixing, op7_near_dedup, op8_packing, op9_fingerprint, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
