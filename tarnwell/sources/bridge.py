@@ -30,7 +30,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         kinds.alias("kind"),
         F.concat(F.lit("cust:"), user).alias("customer"),
         F.concat(F.lit("acct:"), user).alias("account"),
-        F.concat(F.lit("dev:"), user * 10 + k % 3).alias("device"),
+        F.concat(F.lit("dev:"), (user % 60) * 10 + k % 3).alias("device"),
         F.concat(F.lit("ip:"), k % 20).alias("ip"),
         F.concat(F.lit("AS"), k % 6).alias("asn"),
         (10 + (k % 7) * 0.37).alias("lat"),
@@ -57,7 +57,7 @@ raw AS (SELECT *, CAST(regexp_extract(props, '"k": ?(\\d+)', 1) AS BIGINT) AS k
 kinds AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 'transaction' WHEN event_type IN ('click', 'error') THEN 'login'
   WHEN event_type = 'view' THEN 'payee_added' WHEN k % 2 = 0 THEN 'mfa_change' ELSE 'mfa_challenge' END AS kind FROM raw),
 ev AS (SELECT event_id, epoch_us(ts) AS us, kind, 'cust:' || user_id AS customer, 'acct:' || user_id AS account,
-  'dev:' || (user_id * 10 + k % 3) AS device, 'ip:' || (k % 20) AS ip, 'AS' || (k % 6) AS asn,
+  'dev:' || ((user_id % 60) * 10 + k % 3) AS device, 'ip:' || (k % 20) AS ip, 'AS' || (k % 6) AS asn,
   10 + (k % 7) * 0.37::DOUBLE AS lat, 70 + (user_id % 5) * 0.41::DOUBLE + (k % 7) * 0.11::DOUBLE AS lon,
   CASE WHEN event_type = 'click' THEN 'success' WHEN event_type = 'error' THEN 'failure'
     WHEN kind = 'mfa_challenge' THEN CASE k % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'passed' ELSE 'ignored' END END AS result,
