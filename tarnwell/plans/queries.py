@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feature_queries, graph_queries  # noqa: F401  they register their queries
+from . import feature_queries, fusion_queries, graph_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 

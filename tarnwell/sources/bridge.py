@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed events: event_id, us (micros), kind, customer, account, device, ip, asn, lat, lon, result,
+    """Typed events: event_id, k, value, us (micros), kind, customer, account, device, ip, asn, lat, lon, result,
     method, payee, amount."""
     k, user = F.regexp_extract("props", r'"k": ?(\d+)', 1).cast("long"), F.col("user_id")
     raw = table(spark, sf_dir, "events")
@@ -26,6 +26,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.when(F.col("event_type") == "click", "success").when(F.col("event_type") == "error", "failure").when(kinds == "mfa_challenge", challenge)
     return raw.select(
         "event_id",
+        k.alias("k"),
+        "value",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         kinds.alias("kind"),
         F.concat(F.lit("cust:"), user).alias("customer"),
@@ -56,7 +58,7 @@ EVENTS_SQL = """
 raw AS (SELECT *, CAST(regexp_extract(props, '"k": ?(\\d+)', 1) AS BIGINT) AS k FROM events),
 kinds AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 'transaction' WHEN event_type IN ('click', 'error') THEN 'login'
   WHEN event_type = 'view' THEN 'payee_added' WHEN k % 2 = 0 THEN 'mfa_change' ELSE 'mfa_challenge' END AS kind FROM raw),
-ev AS (SELECT event_id, epoch_us(ts) AS us, kind, 'cust:' || user_id AS customer, 'acct:' || user_id AS account,
+ev AS (SELECT event_id, k, value, epoch_us(ts) AS us, kind, 'cust:' || user_id AS customer, 'acct:' || user_id AS account,
   'dev:' || ((user_id % 60) * 10 + k % 3) AS device, 'ip:' || (k % 20) AS ip, 'AS' || (k % 6) AS asn,
   10 + (k % 7) * 0.37::DOUBLE AS lat, 70 + (user_id % 5) * 0.41::DOUBLE + (k % 7) * 0.11::DOUBLE AS lon,
   CASE WHEN event_type = 'click' THEN 'success' WHEN event_type = 'error' THEN 'failure'
