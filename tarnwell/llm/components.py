@@ -12,26 +12,30 @@ from pyspark.sql import functions as F
 from .common import stable
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges as a forest: every node that reaches a lesser one, with the least that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    roots = np.array([root(i) for i in range(len(nodes))], np.int64)
+    own = roots != np.arange(len(nodes))
+    return nodes[own], nodes[roots[own]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's edges as a forest: every node with the least node it reaches within the batch."""
     for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        parent = list(range(len(nodes)))
-
-        def root(i: int, parent: list[int] = parent) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        roots = np.array([root(i) for i in range(len(nodes))], np.int64)
-        own = roots != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[roots[own]])], ["a", "b"])
+        a, b = forest(batch.column("a").to_numpy(), batch.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:

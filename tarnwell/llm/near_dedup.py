@@ -4,13 +4,16 @@
    one class from here on, represented by its least doc_id, so copies cost one row each.
 2. Signatures are cut into bands; classes that share a band are a bucket. With the production bands a
    pair of similarity 0.8 shares none with a probability of (1 - 0.8^4)^32, about 5e-8.
-3. Each member of a bucket is verified against the bucket's least member, on full sets. Verified links
-   give components.
-4. Buckets that still hold several components are worked off exactly: their members are compared in
-   tiles, by signature, and every pair of different components that shares its first band there, fits
-   by size and agrees in at least ``CLOSE`` of the signature is verified on full sets too. (A pair of
-   similarity 0.8 agrees in fewer with a probability of about 1e-8.) So no link between components is
-   lost, and pairs within a component are never made.
+3. Each member of a bucket is verified, on full sets, against the bucket's center: the member whose
+   buckets are the largest, which in a group of edited copies is the text that most resemble. Verified
+   links give components.
+4. Buckets that still hold several components are worked off exactly, in tiles of bounded size; tiles
+   that hold the center's component alone never meet. A first pass over signatures finds the members
+   with a partner: of another component, of a size that fits, sharing this band first and agreeing in
+   at least ``CLOSE`` of the signature. (A pair of similarity 0.8 agrees in fewer with a probability of
+   about 1e-8.) A second pass gets their texts, counts all their common shingles at once as a product
+   of 0/1 matrices, and returns a forest of the links. So no link between components is lost, and no
+   row per pair is made.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stable
-from .components import components
-from .shingles import set_fingerprints, shingle_sets, super_minhash
+from .components import components, forest
+from .shingles import Sets, set_fingerprints, shingle_sets, super_minhash
 
-BANDS, ROWS, CLOSE, TILE = 32, 4, 0.6, 1024
+BANDS, ROWS, CLOSE = 32, 4, 0.6
+#: A tile has about so many members at most, and so many shingles; a product takes so many shingles at once.
+TILE, TILE_SHINGLES, WIDE = 1024, 1 << 20, 2048
 SIGNED = "doc_id long, n_shingles long, fingerprint binary, signature binary"
 #: Candidates are looked up by a broadcast list of their ids up to this many, by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
@@ -58,27 +63,50 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
     pairs = stable(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    texts = texts_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     sides = [texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in ("a", "b")]
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(compare, "a long, b long")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents that ``ids`` (id) lists."""
+    ids = ids.distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+
+
 def fits(n: Column, m: Column, percent: int) -> Column:
     """Whether sets of these sizes can reach the similarity."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within buckets: rows of band, key, center, size, rep, label, n, signature."""
+def tiled(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, main, rep, label, n_shingles, ...) once for each tile that theirs is to meet: low, high, tile.
 
-    def pair(table: pa.Table) -> pa.Table:
+    The members of a bucket's ``main`` component have tiles of their own, which do not meet each other.
+    """
+    own = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+
+    def tiles(which: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(which) / TILE, F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0)) / TILE_SHINGLES)).cast("int")
+
+    rows = rows.join(rows.groupBy("key").agg(tiles(own).alias("mains"), tiles(~own).alias("others")), "key")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
+    rows = rows.withColumn("tile", F.when(own, place(F.col("mains"))).otherwise(F.col("mains") + place(F.col("others"))))
+    meets = F.when(own & (F.col("others") > 0), F.sequence("mains", F.col("mains") + F.col("others") - 1)).when(~own, F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1))
+    rows = rows.withColumn("other", F.explode(meets))
+    return rows.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("mains", "others", "other", "main")
+
+
+def with_partner(rows: DataFrame, percent: int) -> DataFrame:
+    """The tiles' members (key, low, high, tile, rep, label) that may have a link to another component."""
+
+    def find(table: pa.Table) -> pa.Table:
         rep, label, n, tile = (table.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "tile"))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(rep), -1)
         band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
-        found = []
+        found = np.zeros(len(rep), bool)
         for i in range(len(rep)):
             other = np.arange(i + 1, len(rep))
             other = other[label[other] != label[i]]
@@ -90,15 +118,48 @@ def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
             same = signature[other] == signature[i]
             close = same.sum(axis=1) >= CLOSE * same.shape[1]
             first = same[close].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            found.append(np.stack([np.full(first.sum(), rep[i]), rep[other[close][first]]]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    rows = rows.where("rep != center").withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-    return rows.select("band", "key", "low", "high", "tile", "rep", "label", "n_shingles", "signature").groupBy("key", "low", "high").applyInArrow(pair, "a long, b long")
+            found[other[close][first]] = True
+            found[i] |= first.any()
+        return table.select(["key", "low", "high", "tile", "rep", "label"]).filter(pa.array(found))
+
+    rows = rows.select("band", "key", "low", "high", "tile", "rep", "label", "n_shingles", "signature")
+    return rows.groupBy("key", "low", "high").applyInArrow(find, "key long, low int, high int, tile int, rep long, label long")
+
+
+def common_shingles(sets: Sets) -> np.ndarray:
+    """The number of common elements of each two sets."""
+    n = len(sets.at) - 1
+    _, column, count = np.unique(sets.hashes, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner = np.repeat(np.arange(n), np.diff(sets.at))[shared]
+    column = (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        own = slice(*np.searchsorted(column, [c, c + WIDE]))
+        part = np.zeros((n, WIDE), np.float32)
+        part[owner[own], column[own] - c] = 1
+        common += part @ part.T
+    return common.astype(np.int64)
+
+
+def tile_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): a forest of the links between components within each tile or two."""
+
+    def link(table: pa.Table) -> pa.Table:
+        rep, label, tile = (table.column(c).to_numpy() for c in ("rep", "label", "tile"))
+        sets = shingle_sets(table.column("text"), k)
+        size, common = np.diff(sets.at), common_shingles(sets)
+        linked = (common > 0) & (100 * common >= percent * (size[:, None] + size - common)) & (label[:, None] != label)
+        if table.column("low")[0].as_py() != table.column("high")[0].as_py():
+            linked &= tile[:, None] != tile
+        x, y = np.nonzero(np.triu(linked))
+        a, b = forest(rep[x], rep[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    members = members.join(texts_of(docs, members.select(F.col("rep").alias("id"))), F.col("rep") == F.col("id")).drop("id")
+    return members.groupBy("key", "low", "high").applyInArrow(link, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -116,20 +177,23 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = stable(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "signature").dropDuplicates(["rep"]))
     key = lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))
     banded = reps.select("rep", "n_shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.min_by("n_shingles", "rep").alias("center_n"), F.count("*").alias("size")).where("size > 1")
-    filed = stable(banded.join(buckets, "key"))
-    star = filed.where("rep != center").where(fits(F.col("n_shingles"), F.col("center_n"), percent)).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stable(banded.join(sizes, "key"))
+    weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
+    center = F.max_by(F.struct("rep", "n_shingles"), F.struct("weight", -F.col("rep")))
+    centers = shared.join(weight, "rep").groupBy("key").agg(center.alias("c")).select("key", F.col("c.rep").alias("center"), F.col("c.n_shingles").alias("center_n"))
+    filed = stable(shared.join(centers, "key"))
+    star = filed.where("rep != center").where(fits(F.col("n_shingles"), F.col("center_n"), percent)).select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct()
     same_id = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     links = stable(verified(star, docs, k, percent).unionByName(same_id))
     found = stable(components(links))
     labelled = filed.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("root", "rep")).drop("node", "root")
     labelled = stable(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").join(reps.select("rep", "signature"), "rep")
-    pairs = stable(tile_pairs(rest, percent).distinct())
-    if not pairs.isEmpty():
-        more = verified(pairs, docs, k, percent)
-        found = components(links.unionByName(more))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("rep") == F.col("center"), F.col("label"))).alias("main")).where("x != y").select("key", "main")
+    rest = labelled.where("rep != center").join(mixed, "key").join(reps.select("rep", "signature"), "rep")
+    partners = stable(with_partner(tiled(rest), percent))
+    if not partners.isEmpty():
+        found = components(links.unionByName(tile_links(partners, docs, k, percent)))
     return members.join(found, F.col("rep") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
