@@ -3,7 +3,8 @@
 A document is a bag of units: its sentences (ended by ``.``, ``!``, ``?`` or a line end), long ones
 cut every ``UNIT_WORDS`` words. A unit's score is the logistic of a bias and the weights of its
 words, each word standing for itself and for its first 4, 5 and 6 letters. A document's score is the
-noisy-or of its units and of a leak that stands for labels which no sentence explains::
+noisy-or of its units and of a leak that stands for labels which no sentence explains; a unit without
+a weighted word scores 0, so a clean text stays clean however long it is::
 
     score = 1 - (1 - leak) * product over units of (1 - unit score)
 
@@ -11,9 +12,9 @@ so training on document labels alone teaches which sentences are to blame, and :
 returns them.
 
 Fitting uses a sample of at most about ``most_labels`` labelled documents, drawn by a hash of doc_id.
-Weights are kept for the ``features`` features whose counts in the sample differ most between the two
+Weights are tried for the ``features`` features whose counts in the sample differ most between the two
 labels; their counting is a distributed aggregate, and only the sample's occurrences of those
-features go to the driver.
+features go to the driver. A lasso leaves few of them, and those of positive weight are fitted again.
 """
 
 from __future__ import annotations
@@ -90,30 +91,34 @@ class Model:
         return index
 
     def unit_scores(self, words: Words, index: ts.HashIndex) -> np.ndarray:
-        """The logit of each unit."""
-        z = np.full(len(words.unit_document), self.bias)
+        """The logit of each unit, minus infinity where it has no weighted word."""
+        z, weighted = np.full(len(words.unit_document), self.bias), np.zeros(len(words.unit_document), bool)
         for row in words.features:
             found = index.get(row) if len(self.keys) else np.full(len(row), -1)
             hit = np.flatnonzero((found >= 0) & (row != 0))
             z += np.bincount(words.unit[hit], self.weights[found[hit]], len(z))
-        return z
+            weighted[words.unit[hit]] = True
+        return np.where(weighted, z, -np.inf)
 
     def scores(self, words: Words, z: np.ndarray) -> np.ndarray:
         clean = np.bincount(words.unit_document, np.logaddexp(0, z), len(words.breaks))
         return np.clip(1 - (1 - self.leak) * np.exp(-clean), 0, 1)
 
 
-def fitted(y: np.ndarray, units: np.ndarray, document: np.ndarray, unit: np.ndarray, feature: np.ndarray, start: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 3.0) -> tuple[np.ndarray, float, float]:
+def fitted(y: np.ndarray, bare: np.ndarray | None, document: np.ndarray, unit: np.ndarray, feature: np.ndarray, start: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 0.02, lasso: float = 0.7) -> tuple[np.ndarray, float, float]:
     """(weights, bias, leak) by gradient ascent (Adam) on the likelihood of the document labels.
 
-    units: number of units of each document; document, unit, feature: of each occurrence, units counted
-    over all documents that have any; units without a kept feature share the bias.
+    document, unit, feature: of each occurrence. The lasso pulls the weights of all but the features
+    that explain the labels to 0: a step ends with the soft threshold of its own size. bare: number of
+    each document's units without an occurrence, which share the bias; if None, such units score 0 and
+    no weight may be negative.
     """
     seen, unit = np.unique(unit, return_inverse=True)
     owner = np.zeros(len(seen), np.int64)
     owner[unit] = document
-    bare = units - np.bincount(owner, minlength=len(y))
-    x = np.concatenate([start, [-6.0, -4.0]])
+    x = np.concatenate([start, [-6.0, -4.0] if bare is not None else [-2.0, -3.0]])
+    lowest = -np.inf if bare is not None else 0.0
+    bare = np.zeros(len(y)) if bare is None else bare - np.bincount(owner, minlength=len(y))
     first, second = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
         w, bias, leak = x[:-2], x[-2], x[-1]
@@ -128,7 +133,9 @@ def fitted(y: np.ndarray, units: np.ndarray, document: np.ndarray, unit: np.ndar
         grad[:-2] -= ridge / len(y) * w
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
-        x = x + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        size = rate / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        x = x + size * first / (1 - 0.9**step)
+        x[:-2] = np.maximum(np.sign(x[:-2]) * np.maximum(np.abs(x[:-2]) - size[:-2] * lasso / len(y), 0), lowest)
     return x[:-2], float(x[-2]), float(1 / (1 + np.exp(-x[-1])))
 
 
@@ -194,8 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, feat
     unit = rows.column("unit").combine_chunks().flatten().to_numpy().astype(np.int64)
     feature = rows.column("feature").combine_chunks().flatten().to_numpy()
     units, y = rows.column("units").to_numpy(), rows.column("toxic").to_numpy()
-    weights, bias, leak = fitted(y, units, document, unit + document * (1 << 32), feature, start)
-    return Model(keys, weights, bias, leak)
+    unit += document * (1 << 32)
+    weights, _, _ = fitted(y, units, document, unit, feature, start)
+    # the features that explain toxic labels are fitted again by themselves
+    chosen = weights > 0.1
+    place, own = np.cumsum(chosen) - 1, chosen[feature]
+    again, bias, leak = fitted(y, None, document[own], unit[own], place[feature[own]], weights[chosen])
+    return Model(keys[chosen][again > 0], again[again > 0], bias, leak)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
