@@ -110,14 +110,14 @@ def fitted(y: np.ndarray, bare: np.ndarray | None, document: np.ndarray, unit: n
 
     document, unit, feature: of each occurrence. The lasso pulls the weights of all but the features
     that explain the labels to 0: a step ends with the soft threshold of its own size. bare: number of
-    each document's units without an occurrence, which share the bias; if None, such units score 0 and
-    no weight may be negative.
+    each document's units without an occurrence, which share the bias; if None, such units score 0, no
+    weight may be negative and the bias stays as it is.
     """
     seen, unit = np.unique(unit, return_inverse=True)
     owner = np.zeros(len(seen), np.int64)
     owner[unit] = document
-    x = np.concatenate([start, [-6.0, -4.0] if bare is not None else [-2.0, -3.0]])
-    lowest = -np.inf if bare is not None else 0.0
+    x = np.concatenate([start, [-6.0, -4.0] if bare is not None else [-4.0, -3.0]])
+    lowest, free = (-np.inf, 1.0) if bare is not None else (0.0, 0.0)
     bare = np.zeros(len(y)) if bare is None else bare - np.bincount(owner, minlength=len(y))
     first, second = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
@@ -129,7 +129,7 @@ def fitted(y: np.ndarray, bare: np.ndarray | None, document: np.ndarray, unit: n
         share = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         dz = pull[owner] * share
         low = 1 / (1 + np.exp(-bias))
-        grad = np.concatenate([np.bincount(feature, dz[unit], len(w)), [dz.sum() + (pull * bare).sum() * low, pull.sum() / (1 + np.exp(-leak))]]) / len(y)
+        grad = np.concatenate([np.bincount(feature, dz[unit], len(w)), [free * (dz.sum() + (pull * bare).sum() * low), pull.sum() / (1 + np.exp(-leak))]]) / len(y)
         grad[:-2] -= ridge / len(y) * w
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
