@@ -15,14 +15,14 @@ from .registry import query
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One item per event of even user groups: the customer is the case."""
+    """One item per event: the customer is the case."""
     e = events(spark, sf_dir)
     detector = F.when(F.col("kind") == "transaction", "txn").when(F.col("kind") == "payee_added", "graph").when(F.col("kind") == "login", F.when(F.col("result") == "success", "behaviour").otherwise("netsec")).otherwise("auth")
     stage = F.when(F.col("detector") == "txn", "S6_MONETIZATION").when(F.col("detector") == "graph", "S5_POSITIONING").when(F.col("detector") == "behaviour", "S1_INITIAL_ACCESS").when(F.col("detector") == "netsec", "S0_RECON").otherwise("S2_CONTROL_TAKEOVER")
     reason = F.when((F.col("detector") == "graph") & (F.col("k") % 4 == 0), "PAYEE_NAME_MISMATCH").when((F.col("detector") == "auth") & (F.col("k") % 9 == 1), "STEP_UP_PASSED_TRUSTED").when((F.col("detector") == "txn") & (F.col("k") % 12 == 5), "APP_SCAM_WARNING").when(F.col("detector") == "netsec", "CREDENTIAL_STUFFING_IP").otherwise("RULE")
     family = F.element_at(F.create_map(*[F.lit(x) for pair in fusion.FAMILY.items() for x in pair]), F.col("detector"))
     trust = F.element_at(F.create_map(*[F.lit(x) for d, (a, b) in fusion.RELIABILITY.items() for x in (d, a / (a + b))]), F.col("detector"))
-    rows = e.withColumn("detector", detector).where(F.col("k") % 5 == 0)
+    rows = e.withColumn("detector", detector)
     return rows.select(
         F.col("event_id").alias("evidence_id"), F.col("customer").alias("case_id"), "us", "customer", "detector", family.alias("family"), stage.alias("stage"),
         (0.004 + (F.col("k") % 23) * 0.0021 + (F.col("event_id") % 997) * 0.000001).alias("p"), trust.alias("reliability"), F.array(reason).alias("reasons"), "amount",
