@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY, HOUR, MINUTE, circular_hours, haversine_km, ist_hour, minutes_since, near_limit
+from ..sources.bridge import back
 
 #: Transfer limits in paise.
 LIMITS = (10_000_000, 20_000_000, 50_000_000)
@@ -17,7 +18,7 @@ LIMITS = (10_000_000, 20_000_000, 50_000_000)
 
 def window(keys: list[str], span: int | None, upto: int = -1):
     """Events of a key within ``span`` microseconds before this one; upto=0 with this one."""
-    low = Window.unboundedPreceding if span is None else -(span * 1024 + 1023)
+    low = Window.unboundedPreceding if span is None else back(span)
     return Window.partitionBy(*keys).orderBy("o").rangeBetween(low, upto)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR
+from ..sources.bridge import back
 
 
 def tokens(*columns: str) -> Column:
@@ -52,7 +53,7 @@ def nearest_rank(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def repeated(rows: DataFrame, key: str, span: int = HOUR, least: int = 3) -> DataFrame:
     """Events of a key within ``span`` with this one, and whether there are ``least``; ``rows`` has o."""
-    over = Window.partitionBy(key).orderBy("o").rangeBetween(-(span * 1024 + 1023), 0)
+    over = Window.partitionBy(key).orderBy("o").rangeBetween(back(span), 0)
     return rows.select("event_id", F.count("*").over(over).alias("n")).withColumn("flagged", F.col("n") >= least)
 
 

@@ -44,14 +44,27 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Of ``o`` for each microsecond. Ranks fill its first half at most, so that a frame's far edge falls between instants.
+STEP = 1 << 21
+
+
 def ordered(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``o``: a number in order of (us, event_id), us * 1024 plus the rank among equal us.
+    """``rows`` with ``o``: a number in order of (us, event_id), us * STEP plus the rank among equal us.
 
     Range frames over ``o`` can leave out the current event and still hold earlier ones of its instant.
-    At most 1,024 events may share an instant.
+    With more than STEP / 2 events of one instant the query ends with an error.
     """
     tie = F.row_number().over(Window.partitionBy("us").orderBy("event_id")) - 1
-    return rows.withColumn("o", F.col("us") * 1024 + tie)
+    o = (F.col("us").cast("decimal(20,0)") * STEP + tie).cast("decimal(30,0)")
+    return rows.withColumn("o", F.when(tie < STEP // 2, o).otherwise(F.raise_error(F.lit(f"more than {STEP // 2} events share an instant"))))
+
+
+def back(span: int) -> int:
+    """The start of a range frame over ``o`` that holds events from ``span`` microseconds before on."""
+    reach = span * STEP + STEP // 2 - 1
+    if reach >= 1 << 63:
+        raise ValueError(f"a frame of {span} microseconds is too long")
+    return -reach
 
 
 EVENTS_SQL = """
