@@ -5,7 +5,7 @@ worth ``(sum + max) / 2`` of its items' weights: a running sum and a running max
 replay of all prefixes of a case into one sort of its evidence instead of a join of it with itself.
 
 Evidence: evidence_id, case_id, us, customer, detector, family, stage, p, reliability, reasons
-(array), amount. Items are in order of (us, evidence_id).
+(array), amount and, where some are of a fallback model, degraded. Items are in order of (us, evidence_id).
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ class Config:
     medium_band: float = 0.20
     high_band: float = 0.50
     critical_band: float = 0.80
+    confident: float = 0.90
 
 
 def weight(p: Column, reliability: Column, config: Config = Config()) -> Column:
@@ -63,6 +64,9 @@ def timeline(evidence: DataFrame, config: Config = Config()) -> DataFrame:
     rows = rows.withColumn("worth", worth)
     rows = rows.withColumn("gain", F.col("worth") - F.coalesce(F.lag("worth").over(in_order), F.lit(0.0)))
     live = F.col("weight") > 0
+    sure = (F.col("detector") == "txn") & (F.col("p") >= config.confident)
+    if "degraded" in evidence.columns:
+        sure = sure & ~F.coalesce("degraded", F.lit(False))
     at = lambda stage, also=F.lit(True): F.when(live & (F.col("stage") == stage) & also, F.col("us"))
     last = lambda c: F.max(c).over(_earlier("case_id"))
     rows = rows.withColumns({
@@ -70,6 +74,7 @@ def timeline(evidence: DataFrame, config: Config = Config()) -> DataFrame:
         "s2": last(at("S2_CONTROL_TAKEOVER")),
         "mismatch": last(at("S5_POSITIONING", _reason("PAYEE_NAME_MISMATCH"))),
         "fresh_stage": live & (F.row_number().over(Window.partitionBy("case_id", "stage", live).orderBy("us", "evidence_id")) == 1),
+        "sure_at": F.max(F.when(sure, F.col("us"))).over(case),
         "disarmed": F.max(F.when(_reason("STEP_UP_PASSED_TRUSTED"), F.col("us"))).over(case),
     })
     now = F.col("us")
@@ -93,20 +98,21 @@ def timeline(evidence: DataFrame, config: Config = Config()) -> DataFrame:
         "denied": hit(_reason("CUSTOMER_DENIED")),
         "seed_payee": hit((F.col("detector") == "graph") & _reason("SEED_DISTANCE_0")),
         "three_stages": F.coalesce(F.exists(gaps, lambda g: g <= 30 * MINUTE), F.lit(False)),
+        "txn_sure": F.coalesce(F.col("sure_at") > F.coalesce("disarmed", F.lit(-1)), F.lit(False)),
         "s2_then_payee": F.coalesce(F.col("positioned") > F.coalesce("disarmed", F.lit(-1)), F.lit(False)),
     })
     bonus = F.when(F.col("ato1"), 0.5).otherwise(0.0) + F.when(F.col("ato2"), 0.5).otherwise(0.0) + F.when(F.col("app"), 1.0).otherwise(0.0)
     rows = rows.withColumn("log_odds", logit(F.lit(config.base_rate)) + F.sum("gain").over(case) + bonus)
     rows = rows.withColumn("p_attack", sigmoid(F.col("log_odds")))
     raw = band(F.col("p_attack"), config.medium_band, config.high_band, config.critical_band)
-    floor = F.greatest(band_rank(raw), F.when(F.col("denied"), 4).otherwise(1), F.when(F.col("seed_payee") | F.col("s2_then_payee"), 3).otherwise(1), F.when(F.col("three_stages"), 2).otherwise(1))
+    floor = F.greatest(band_rank(raw), F.when(F.col("denied"), 4).otherwise(1), F.when(F.col("seed_payee") | F.col("s2_then_payee") | F.col("txn_sure"), 3).otherwise(1), F.when(F.col("three_stages"), 2).otherwise(1))
     named = lambda pairs: F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in pairs]))
     return rows.select(
         "case_id", "evidence_id", "us", "customer", "detector", "stage", "reasons", "weight", "gain", "log_odds", "p_attack", "amount",
         raw.alias("band_before_floors"),
         F.element_at(F.array(*[F.lit(b) for b in BANDS]), floor.cast("int")).alias("band"),
         named([("ato1", "pat_ATO1"), ("app", "pat_APP_SCAM1"), ("ato2", "pat_ATO2")]).alias("patterns"),
-        named([("denied", "floor_CUSTOMER_DENIED"), ("seed_payee", "floor_SEED_PAYEE"), ("three_stages", "floor_THREE_STAGES"), ("s2_then_payee", "floor_S2_THEN_NEW_PAYEE")]).alias("floors"),
+        named([("denied", "floor_CUSTOMER_DENIED"), ("seed_payee", "floor_SEED_PAYEE"), ("three_stages", "floor_THREE_STAGES"), ("s2_then_payee", "floor_S2_THEN_NEW_PAYEE"), ("txn_sure", "floor_TXN_HIGH_CONFIDENCE")]).alias("floors"),
         F.coalesce(F.sum(F.when(F.col("stage") == "S6_MONETIZATION", F.col("amount"))).over(case), F.lit(0)).alias("amount_at_risk"),
     )
 
