@@ -37,8 +37,10 @@ def observations(events: DataFrame) -> DataFrame:
 
 def merged(seen: DataFrame) -> DataFrame:
     """Observations of one edge as one row; the first ``MOST_IDS`` event ids stay."""
-    ids = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id"))), lambda x: x["event_id"]), 1, MOST_IDS)
-    return seen.groupBy("src", "dst", "edge_type").agg(
+    ids = F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= MOST_IDS, F.struct("us", "event_id")))), lambda x: x["event_id"])
+    edge = ["src", "dst", "edge_type"]
+    place = F.row_number().over(Window.partitionBy(*edge).orderBy("us", "event_id"))
+    return seen.withColumn("place", place).groupBy(*edge).agg(
         F.max("confidence").alias("confidence"), F.min("us").alias("first_seen"), F.max("us").alias("last_seen"), F.count("*").alias("count"), ids.alias("ids")
     )
 

@@ -1,32 +1,55 @@
 """Operators whose state depends on their own earlier output: folds over one key's ordered events.
 
-The same fold serves a batch (one group per key) and a stream (state per key); see
-:mod:`tarnwell.streaming.folds`. A group is one key's events within its time to live, never a whole table.
+The same fold serves a batch (sorted events of each key) and a stream (state per key); see
+:mod:`tarnwell.streaming.folds`. In a batch a task reads its keys' events sorted, in parts, and carries the state of
+one key from part to part, so memory does not grow with a key's events; one key's events are read by one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
 HOUR = 3_600_000_000
 
 
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable, schema: str) -> DataFrame:
+    """``start()`` gives a key's fold, which takes that key's next events in order and gives rows of ``schema``."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, fold = None, None
+        for part in parts:
+            for _, own in part.groupby((part[key] != part[key].shift()).cumsum(), sort=False):
+                now = own[key].iloc[0]
+                if fold is None or now != at:
+                    at, fold = now, start()
+                yield fold(own)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def rearming_flags(rows: DataFrame, key: str, hit: str, span: int = HOUR) -> DataFrame:
     """(event_id, key, flagged, raised): a hit raises the flag for ``span``; flagged is its state before the event."""
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("o")
-        at, flagged, raised = None, [], []
-        for us, is_hit in zip(own["us"], own["hit"], strict=True):
-            flagged.append(at is not None and us - at < span)
-            fresh = bool(is_hit) and (at is None or us - at >= span)
-            at = us if fresh else at
-            raised.append(fresh)
-        return own.assign(flagged=flagged, raised=raised)[["event_id", "key", "flagged", "raised"]]
+    def start():
+        at = None
+
+        def fold(own: pd.DataFrame) -> pd.DataFrame:
+            nonlocal at
+            flagged, raised = [], []
+            for us, is_hit in zip(own["us"], own["hit"], strict=True):
+                flagged.append(at is not None and us - at < span)
+                fresh = bool(is_hit) and (at is None or us - at >= span)
+                at = us if fresh else at
+                raised.append(fresh)
+            return own.assign(flagged=flagged, raised=raised)[["event_id", "key", "flagged", "raised"]]
+
+        return fold
 
     own = rows.selectExpr("event_id", f"{key} AS key", "us", "o", f"coalesce({hit}, false) AS hit")
-    return own.groupBy("key").applyInPandas(fold, "event_id long, key string, flagged boolean, raised boolean")
+    return folded(own, "key", ["o"], start, "event_id long, key string, flagged boolean, raised boolean")
 
 
 class Session:
@@ -65,13 +88,16 @@ class Session:
 def sessions(rows: DataFrame, ttl: int = 24 * HOUR) -> DataFrame:
     """(event_id, session_seen, session_change_mask, session_change) over each session's events."""
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("o")
+    def start():
         state = Session()
-        out = [state.step(e, ttl) for e in own.where(own.notna(), None).to_dict("records")]
-        return pd.DataFrame({"event_id": own["event_id"], "session_seen": [x[0] for x in out], "session_change_mask": [x[1] for x in out], "session_change": [x[2] for x in out]})
 
-    return rows.groupBy("session").applyInPandas(fold, "event_id long, session_seen boolean, session_change_mask int, session_change boolean")
+        def fold(own: pd.DataFrame) -> pd.DataFrame:
+            out = [state.step(e, ttl) for e in own.where(own.notna(), None).to_dict("records")]
+            return pd.DataFrame({"event_id": own["event_id"], "session_seen": [x[0] for x in out], "session_change_mask": [x[1] for x in out], "session_change": [x[2] for x in out]})
+
+        return fold
+
+    return folded(rows, "session", ["o"], start, "event_id long, session_seen boolean, session_change_mask int, session_change boolean")
 
 
 def reliability_updates(feedback: DataFrame, half_life_days: float = 30.0, most: float = 1.0, batch: float = 3.0, batch_h: float = 24.0, bounds: tuple[float, float] = (0.20, 0.95)) -> DataFrame:
@@ -79,10 +105,18 @@ def reliability_updates(feedback: DataFrame, half_life_days: float = 30.0, most:
 
     feedback: detector, us, d_alpha, d_beta, alpha0, beta0 (the prior)."""
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["us", "d_alpha", "d_beta"])
-        a, b, last, used, out = None, None, None, [], []
-        low, high = bounds
+    def start():
+        state = (None, None, None, [])
+
+        def fold(own: pd.DataFrame) -> pd.DataFrame:
+            nonlocal state
+            state, out = after(own, *state)
+            return out
+
+        return fold
+
+    def after(own: pd.DataFrame, a: float | None, b: float | None, last: int | None, used: list) -> tuple[tuple, pd.DataFrame]:
+        out, (low, high) = [], bounds
         for r in own.itertuples():
             if a is None:
                 a, b = r.alpha0, r.beta0
@@ -101,8 +135,9 @@ def reliability_updates(feedback: DataFrame, half_life_days: float = 30.0, most:
             if db > 0:
                 db = min(db, max(0.0, a / low - a - b))
             a, b, last = a + da, b + db, r.us
-            used.append((r.us, max(da, db)))
+            if max(da, db) > 0:
+                used.append((r.us, max(da, db)))
             out.append((r.detector, r.us, a, b))
-        return pd.DataFrame(out, columns=["detector", "us", "alpha", "beta"])
+        return (a, b, last, used), pd.DataFrame(out, columns=["detector", "us", "alpha", "beta"])
 
-    return feedback.groupBy("detector").applyInPandas(fold, "detector string, us long, alpha double, beta double")
+    return folded(feedback, "detector", ["us", "d_alpha", "d_beta"], start, "detector string, us long, alpha double, beta double")
