@@ -1,4 +1,4 @@
-"""Vectorised scanning of many texts at once: code points, spans, span hashes and a hash index.
+"""Vectorised scanning of many texts at once: code points, spans, and tables of spans by content.
 
 Texts are joined by a separator that valid text cannot hold (a lone surrogate) and scanned as one
 numpy array of code points, so the work per character is a few array operations.
@@ -13,8 +13,8 @@ import numpy as np
 SEPARATOR, SPECIAL = "\udfff", "\udffe"
 OTHER, LETTER, NUMBER, SPACE, SEPARATED, MARKED, UNKNOWN = 0, 1, 2, 3, 4, 5, 255
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bits of a code point; a place in a span stands above them.
+_CODE = np.uint64(21)
 
 
 def code_points(texts: list[str]) -> np.ndarray:
@@ -23,16 +23,6 @@ def code_points(texts: list[str]) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            grown = np.full(max(n, 1 << 20), base, np.uint64)
-            grown[0] = 1
-            np.multiply.accumulate(grown, out=grown)
-            _powers[k] = grown
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads differences over all of them (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -40,20 +30,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, equal for equal spans wherever they stand; never 0."""
-    base, inverse = powers(len(codes) + 1)
-    value = codes.astype(np.uint64) + np.uint64(1)
-    value *= np.uint64(0xD6E8FEB86659FD93)
-    value ^= value >> np.uint64(32)
-    value *= base[: len(codes)]
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(value, out=total[1:])
-    found = mixed((total[ends] - total[starts]) * inverse[starts])
+def flat(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of all spans one after the other, each one's place in its span, and where spans begin (and the end)."""
+    sizes = ends - starts
+    to = np.append(0, np.cumsum(sizes))
+    inner = np.arange(to[-1]) - np.repeat(to[:-1], sizes)
+    return np.repeat(starts, sizes) + inner, inner, to
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span, equal for equal spans wherever they stand; never 0.
+
+    A sum over the span of a mixed value of each code point with its place. It finds spans; whoever
+    must tell spans apart compares them (:class:`SpanTable`).
+    """
+    place, inner, to = flat(starts, ends)
+    value = codes[place].astype(np.uint64)
+    value |= inner.astype(np.uint64) << _CODE
+    value += np.uint64((seed + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    total = np.append(np.uint64(0), np.cumsum(mixed(value), dtype=np.uint64))
+    found = mixed(total[to[1:]] - total[to[:-1]] + np.uint64(seed))
     found[found == 0] = 1
     return found
 
 
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether span i of ``a`` has the content of span i of ``b``, which is as long."""
+    place, inner, to = flat(a_starts, a_starts + sizes)
+    wrong = np.append(0, np.cumsum(a[place] != b[np.repeat(b_starts, sizes) + inner]))
+    return wrong[to[1:]] == wrong[to[:-1]]
+
+
 class HashIndex:
     """64-bit keys (not 0) to small integers by open addressing, looked up a whole array at a time."""
 
@@ -103,6 +110,79 @@ class HashIndex:
             at[left] = (at[left] + 1) & mask
 
 
+class SpanTable:
+    """Numbers spans of code points from 0 on, told apart by their content; hashes only find them."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.n = HashIndex(), 0
+        self.codes, self.at = np.zeros(1 << 14, np.uint32), np.zeros(1 << 12, np.int64)
+
+    def _find(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each span, -1 where none has its hash, -2 where another one has it."""
+        found = self.index.get(hashes)
+        hit = np.flatnonzero(found >= 0)
+        own, sizes = found[hit], (ends - starts)[hit]
+        alike = self.at[own + 1] - self.at[own] == sizes
+        alike[alike] = equal_spans(codes, starts[hit[alike]], self.codes, self.at[own[alike]], sizes[alike])
+        found[hit[~alike]] = -2
+        return found
+
+    def _append(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        place, _, to = flat(starts, ends)
+        base, n = self.at[self.n], len(starts)
+        while base + to[-1] > len(self.codes):
+            self.codes = np.append(self.codes, np.zeros_like(self.codes))
+        while self.n + n >= len(self.at):
+            self.at = np.append(self.at, np.zeros_like(self.at))
+        self.codes[base : base + to[-1]] = codes[place]
+        self.at[self.n + 1 : self.n + n + 1] = base + to[1:]
+        self.n += n
+
+    def numbers(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn: Callable[[int, np.ndarray], None]) -> np.ndarray:
+        """The number of each span. ``learn(first, at)`` is told which spans (``at``) get the numbers
+        from ``first`` on; 0 means that all earlier numbers are void.
+
+        A span whose hash another one has taken gets a new number each time.
+        """
+        hashes = span_hashes(codes, starts, ends)
+        found = self._find(codes, starts, ends, hashes)
+        if (found < 0).any():
+            if self.n > self.most:
+                self.clear()
+                found[:] = -1
+            missing = np.flatnonzero(found == -1)
+            new, first = np.unique(hashes[missing], return_index=True)
+            at = missing[first]
+            learn(self.n, at)
+            self.index.put(new, np.arange(self.n, self.n + len(new), dtype=np.int32))
+            self._append(codes, starts[at], ends[at])
+            found[missing] = self._find(codes, starts[missing], ends[missing], hashes[missing])
+            if len(other := np.flatnonzero(found == -2)):
+                learn(self.n, other)
+                found[other] = np.arange(self.n, self.n + len(other))
+                self._append(codes, starts[other], ends[other])
+        return found
+
+
+class Lower:
+    """Lower case of code points, one for one, so that places in a text stay as they are."""
+
+    def __init__(self) -> None:
+        self.table = np.zeros(0x110000, np.uint32)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        out = self.table[codes]
+        if not out.all():
+            for c in np.unique(codes[out == 0]):
+                self.table[c] = ord(chr(c).lower()[0])
+            out = self.table[codes]
+        return out
+
+
 class Classes:
     """Character classes by code point, each asked for once when it first occurs."""
 

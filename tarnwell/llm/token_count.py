@@ -9,6 +9,7 @@ per worker).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,12 @@ from .token_model import MOST_KNOWN, byte_alphabet, encoder
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def whole_tokens(path: str) -> np.ndarray:
-    """Hashes of the vocabulary's strings that alone give one token (at most one a vocabulary entry)."""
+@lru_cache(maxsize=4)
+def whole_tokens(path: str) -> list[str]:
+    """The vocabulary's strings that alone give one token, proved once per file."""
     own = encoder(path)
     if not own.fast:
-        return np.zeros(0, np.uint64)
+        return []
     back = {c: b for b, c in byte_alphabet().items()}
     strings = []
     for piece in own.tokenizer.get_vocab(with_added_tokens=False):
@@ -35,38 +37,35 @@ def whole_tokens(path: str) -> np.ndarray:
         except (KeyError, UnicodeDecodeError):
             continue
     codes, starts, ends, firsts = own.spans(strings)
-    at = firsts[:-1][np.diff(firsts) == 1]
-    at = at[[len(ids) == 1 for ids in own.merged(codes, starts[at], ends[at])]]
-    return np.unique(ts.span_hashes(codes, starts[at], ends[at]))
+    alone = np.flatnonzero(np.diff(firsts) == 1)
+    at = firsts[:-1][alone]
+    return [strings[i] for i, ids in zip(alone, own.merged(codes, starts[at], ends[at]), strict=True) if len(ids) == 1]
 
 
 class Counter:
-    def __init__(self, path: str, whole: np.ndarray):
-        self.encoder, self.whole = encoder(path), whole
-        self.reset()
+    """Tokens of texts: pre-tokens that are proven whole tokens are numbered first and count as 1."""
 
-    def reset(self) -> None:
-        self.index = ts.HashIndex()
-        self.index.put(self.whole, np.ones(len(self.whole), np.int32))
+    def __init__(self, path: str, whole: list[str]):
+        self.encoder, self.whole, self.n = encoder(path), whole, np.zeros(1024, np.int64)
+        self.known = ts.SpanTable(MOST_KNOWN + len(whole))
+
+    def _put(self, first: int, n: np.ndarray) -> None:
+        while first + len(n) > len(self.n):
+            self.n = np.append(self.n, self.n)
+        self.n[first : first + len(n)] = n
 
     def counts(self, texts: list[str]) -> np.ndarray:
         own = self.encoder
         if not own.fast:
             return np.array([len(e) for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], np.int64)
+        if self.known.n > MOST_KNOWN:
+            self.known.clear()
+        if not self.known.n and self.whole:
+            codes, starts, ends, _ = own.spans(self.whole)
+            self.known.numbers(codes, starts, ends, lambda first, at: self._put(first, np.ones(len(at), np.int64)))
         codes, starts, ends, firsts = own.spans(texts)
-        hashes = ts.span_hashes(codes, starts, ends)
-        n = self.index.get(hashes)
-        if len(rest := np.flatnonzero(n < 0)):
-            new, first = np.unique(hashes[rest], return_index=True)
-            first = rest[first]
-            merged = np.fromiter(map(len, own.merged(codes, starts[first], ends[first])), np.int32, len(new))
-            n[rest] = merged[np.searchsorted(new, hashes[rest])]
-            if self.index.n > MOST_KNOWN:
-                self.reset()
-            unknown = self.index.get(new) < 0
-            self.index.put(new[unknown], merged[unknown])
-        total = np.append(0, np.cumsum(n, dtype=np.int64))
-        return np.diff(total[firsts])
+        found = self.known.numbers(codes, starts, ends, lambda first, at: self._put(first, np.fromiter(map(len, own.merged(codes, starts[at], ends[at])), np.int64, len(at))))
+        return np.diff(np.append(0, np.cumsum(self.n[found]))[firsts])
 
 
 _counters: dict[str, Counter] = {}

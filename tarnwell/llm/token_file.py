@@ -51,7 +51,8 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     """Encode ``docs`` (doc_id, text; others unread) and write a token file to ``path``.
 
     Every document ends with ``end_id``. Null texts count as empty; null ids come first; rows of one
-    doc_id go by text. An empty table gives a file without records.
+    doc_id (or of none) go by a hash of their text, then by text, so that many of them still make many
+    shards. An empty table gives a file without records.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,12 +67,17 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             types = {"shard": pa.int32(), "record": pa.int32(), "doc_ids": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([pa.array([v], types.get(k)) for k, v in row.items()], list(row))
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     ordered.mapInArrow(encode, RECORD).write.parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of a token file's documents."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of a token file's documents.
+
+    Rows of one doc_id and rows without one are read back as they were written; a file without records
+    gives an empty result.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

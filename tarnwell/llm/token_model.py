@@ -2,8 +2,8 @@
 
 A byte-level BPE text is cut into pre-tokens, and each pre-token is encoded by itself; so a text's
 ids are its pre-tokens' ids one after the other. :class:`Encoder` finds the pre-tokens of many texts
-at once, has the library encode those it has not met, and puts the ids together. A file of another
-kind is encoded text by text.
+at once, has the library encode those it has not met, and puts the ids together; pre-tokens are told
+apart by their content. A file of another kind is encoded text by text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from . import textscan as ts
 
 #: Distinct pre-tokens kept by a worker before it starts afresh.
-MOST_KNOWN = 3 << 19
+MOST_KNOWN = 1 << 19
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -52,9 +52,9 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index = ts.HashIndex()
+        self.known = ts.SpanTable(MOST_KNOWN)
         self.offsets, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.ids, self.known, self.used = np.zeros(4096, np.uint32), 0, 0
+        self.ids, self.used = np.zeros(4096, np.uint32), 0
 
     def _class(self, c: str) -> int:
         """A character's class, as the library's own pre-tokenizer treats it."""
@@ -92,34 +92,25 @@ class Encoder:
         starts, ends = starts[real], ends[real]
         return codes, starts, ends, np.append(0, np.searchsorted(starts, breaks))
 
-    def _learn(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> None:
-        new, first = np.unique(hashes[at], return_index=True)
-        first = at[first]
-        found = self.merged(codes, starts[first], ends[first])
-        lengths = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))
-        while self.known + len(new) > len(self.offsets):
-            self.offsets, self.lengths = np.append(self.offsets, self.offsets), np.append(self.lengths, self.lengths)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.append(self.ids, self.ids)
-        to = slice(self.known, self.known + len(new))
-        self.offsets[to] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[to] = lengths
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.index.put(new, np.arange(to.start, to.stop, dtype=np.int32))
-        self.known, self.used = to.stop, self.used + len(flat)
-
     def entries(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each pre-token its place in offsets and lengths."""
-        hashes = ts.span_hashes(codes, starts, ends)
-        found = self.index.get(hashes)
-        if len(missing := np.flatnonzero(found < 0)):
-            if self.known > MOST_KNOWN:
-                self.reset()
-                missing = np.arange(len(hashes))
-            self._learn(codes, starts, ends, hashes, missing)
-            found = self.index.get(hashes)
-        return found
+
+        def learn(first: int, at: np.ndarray) -> None:
+            if not first:
+                self.used = 0
+            found = self.merged(codes, starts[at], ends[at])
+            lengths = np.fromiter(map(len, found), np.int32, len(found))
+            flat = np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))
+            while first + len(at) > len(self.offsets):
+                self.offsets, self.lengths = np.append(self.offsets, self.offsets), np.append(self.lengths, self.lengths)
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.append(self.ids, self.ids)
+            self.offsets[first : first + len(at)] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[first : first + len(at)] = lengths
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+
+        return self.known.numbers(codes, starts, ends, learn)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text begins (and the end)."""

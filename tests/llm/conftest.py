@@ -10,7 +10,7 @@ def make(spark):
 
     def build(rows):
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        extra = {c: F.lit("x") for c in ("id", "n", "d", "sha", "size", "start", "rep", "key", "shard", "ids", "u", "k", "bucket")}
+        extra = {c: F.lit("x") for c in ("id", "n", "d", "sha", "size", "start", "rep", "key", "shard", "ids", "u", "k", "bucket", "row", "h", "c", "th", "words", "right_h", "_doc", "_stay", "_own", "a.b")}
         return df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), **extra})
 
     return build
