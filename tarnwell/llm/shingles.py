@@ -1,12 +1,14 @@
 """Word shingles of many texts at once, as sets of 64-bit hashes, and SuperMinHash signatures of them.
 
-Two texts' sets are compared by hash: two of n different shingles share one with a probability of
-about n * n / 2^65.
+Sets that decide a link are made by :func:`exact_sets`, which compares the words of shingles of one
+hash; the hashes of :func:`shingle_sets` alone choose candidates and, with a second and independent
+hash of each shingle, tell equal sets.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +25,27 @@ _RANDOM_BITS = np.uint32(25)
 
 @dataclass
 class Sets:
-    """Distinct shingles of each text: ``hashes[at[i] : at[i + 1]]``, ascending."""
+    """Distinct shingles of each text: ``hashes[at[i] : at[i + 1]]``, ascending; ``second``: their other hashes."""
 
     hashes: np.ndarray
     at: np.ndarray
+    second: np.ndarray | None = None
 
     def __getitem__(self, i: int) -> np.ndarray:
         return self.hashes[self.at[i] : self.at[i + 1]]
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Sets:
-    """Sets of ``k``-word shingles of texts in A-Z lower case; fewer words are one shingle, none are none."""
+@dataclass
+class _Words:
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    count: np.ndarray
+
+
+def _words(texts: pa.Array) -> _Words:
+    """The words of the texts in A-Z lower case, and how many each text has."""
     data, offsets = text_buffer(texts)
-    n = len(offsets) - 1
     data = _LOWER[data]
     inside = ~_BLANK[data]
     start = inside.copy()
@@ -47,31 +57,79 @@ def shingle_sets(texts: pa.Array, k: int) -> Sets:
     stop = np.concatenate([np.flatnonzero(~inside), offsets[1:]])
     stop.sort()
     ends = stop[np.searchsorted(stop, starts, "right")] if len(starts) else starts
-    words = ts.span_hashes(data, starts, ends)
     document = np.searchsorted(offsets, starts, "right") - 1
-    count = np.bincount(document, minlength=n)
+    return _Words(data, starts, ends, np.bincount(document, minlength=len(offsets) - 1))
+
+
+def _shingles(count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and number of words of each shingle; fewer words than k are one shingle."""
     first = np.cumsum(count) - count
-    shingles = np.maximum(count - k + 1, (count > 0).astype(np.int64))
-    owner = np.repeat(np.arange(n), shingles)
-    begin = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + np.repeat(first, shingles)
-    size = np.minimum(count, k)[owner]
-    value = np.full(len(owner), 0x51, np.uint64)
+    n = np.maximum(count - k + 1, (count > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(count)), n)
+    begin = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    return owner, begin, np.minimum(count, k)[owner]
+
+
+def _joined(words: np.ndarray, begin: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each shingle from the hashes of its words."""
+    value = np.full(len(begin), 0x51, np.uint64)
     for i in range(k):
-        own = np.minimum(begin + i, max(len(words) - 1, 0))
-        part = words[own] if len(words) else value
-        value = np.where(i < size, value * np.uint64(0xD1342543DE82EF95) + part, value)
-    value = ts.mixed(value + size.astype(np.uint64))
+        part = words[np.minimum(begin + i, max(len(words) - 1, 0))] if len(words) else value
+        value = np.where(i < size, ts.mixed(value * np.uint64(0xD1342543DE82EF95) + part), value)
+    return ts.mixed(value + size.astype(np.uint64))
+
+
+def _distinct(value: np.ndarray, owner: np.ndarray, n: int, second: np.ndarray | None = None) -> tuple[Sets, np.ndarray]:
+    """Each text's values once, ascending, and the order that sorts all of them."""
     order = np.argsort(value)
     order = order[np.argsort(owner[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
     value, owner = value[order], owner[order]
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return Sets(value[fresh], np.append(0, np.cumsum(np.bincount(owner[fresh], minlength=n))))
+    at = np.append(0, np.cumsum(np.bincount(owner[fresh], minlength=n)))
+    return Sets(value[fresh], at, second[order][fresh] if second is not None else None), order
+
+
+def shingle_sets(texts: pa.Array, k: int) -> Sets:
+    """Sets of ``k``-word shingles of texts in A-Z lower case; fewer words are one shingle, none are none."""
+    own = _words(texts)
+    owner, begin, size = _shingles(own.count, k)
+    first, second = (_joined(ts.span_hashes(own.data, own.starts, own.ends, seed), begin, size, k) for seed in (0, 1))
+    return _distinct(first, owner, len(own.count), second)[0]
+
+
+def exact_sets(texts: pa.Array, k: int) -> Sets:
+    """As :func:`shingle_sets`, but values are equal exactly where the shingles are, within these texts.
+
+    Words of one hash are compared byte by byte and shingles of one hash word by word; should two
+    differ, all are hashed anew under another seed.
+    """
+    own = _words(texts)
+    owner, begin, size = _shingles(own.count, k)
+    for seed in count():
+        words = ts.span_hashes(own.data, own.starts, own.ends, seed)
+        order = np.argsort(words, kind="stable")
+        alike = np.flatnonzero(words[order][1:] == words[order][:-1])
+        a, b = order[alike], order[alike + 1]
+        sizes = own.ends[a] - own.starts[a]
+        if (sizes != own.ends[b] - own.starts[b]).any() or not ts.equal_spans(own.data, own.starts[a], own.data, own.starts[b], sizes).all():
+            continue
+        value = _joined(words, begin, size, k)
+        order = np.argsort(value, kind="stable")
+        alike = np.flatnonzero(value[order][1:] == value[order][:-1])
+        a, b = order[alike], order[alike + 1]
+        told = size[a] == size[b]
+        for i in range(k):
+            inside = i < np.minimum(size[a], size[b])
+            told[inside] &= words[begin[a[inside]] + i] == words[begin[b[inside]] + i]
+        if told.all():
+            return _distinct(value, owner, len(own.count))[0]
+    raise AssertionError("unreachable")
 
 
 def set_fingerprints(sets: Sets) -> np.ndarray:
-    """Two 64-bit sums over each set, equal for equal sets."""
-    total = [np.append(np.uint64(0), np.cumsum(ts.mixed(sets.hashes ^ np.uint64(c)), dtype=np.uint64)) for c in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+    """Two 64-bit sums over each set, of its shingles' two independent hashes: equal for equal sets."""
+    total = [np.append(np.uint64(0), np.cumsum(ts.mixed(h ^ np.uint64(c)), dtype=np.uint64)) for h, c in ((sets.hashes, 0x243F6A8885A308D3), (sets.second, 0x13198A2E03707344))]
     return np.stack([t[sets.at[1:]] - t[sets.at[:-1]] for t in total], axis=1)
 
 
