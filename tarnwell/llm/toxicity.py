@@ -11,8 +11,8 @@ a weighted word scores 0, so a clean text stays clean however long it is::
 so training on document labels alone teaches which sentences are to blame, and :func:`offending`
 returns them.
 
-Fitting uses a sample of at most about ``most_labels`` labelled documents, drawn by a hash of doc_id.
-Weights are tried for the ``features`` features whose counts in the sample differ most between the two
+Fitting uses a sample of at most about ``most_labels`` labelled documents and ``most_bytes`` of their
+text, drawn by a hash of doc_id; texts of more than ``LONGEST`` bytes are not drawn. Weights are tried for the ``features`` features whose counts in the sample differ most between the two
 labels; their counting is a distributed aggregate, and only the sample's occurrences of those
 features go to the driver. A lasso leaves few of them, and those of positive weight are fitted again.
 """
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import crc_remainder, slices, stable
+from .common import crc_remainder, slices, small, stable, written
 
 PREFIXES = (4, 5, 6)
 UNIT_WORDS = 32
-MOST_LABELS, FEATURES, LEAST_DOCUMENTS = 20_000, 8192, 3
+MOST_LABELS, MOST_BYTES, LONGEST, FEATURES, LEAST_DOCUMENTS = 20_000, 64 << 20, 1 << 20, 8192, 3
 ENDS = np.array([ord(c) for c in ".!?\n"], np.uint32)
 
 
@@ -43,6 +43,7 @@ def _kind(c: str) -> int:
 
 
 _classes = ts.Classes(_kind)
+_lower = ts.Lower()
 
 
 @dataclass
@@ -59,7 +60,7 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    codes = ts.code_points([t.lower() for t in texts])
+    codes = _lower.of(ts.code_points(texts))
     kinds = _classes.of(codes)
     starts, ends = ts.runs(kinds == ts.LETTER)
     breaks = np.flatnonzero(kinds == ts.SEPARATED)
@@ -139,16 +140,19 @@ def fitted(y: np.ndarray, bare: np.ndarray | None, document: np.ndarray, unit: n
     return x[:-2], float(x[-2]), float(1 / (1 + np.exp(-x[-1])))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents: all, or about ``most`` of them by a hash of doc_id."""
-    n = max(1, labels.count())
-    if n > most:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * most / n)))
-    # at most about ``most`` rows of two numbers
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id")
+def sampled(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """(text, toxic) of labelled documents, written once: about ``most`` of them and ``most_bytes`` at
+    most, by a hash of doc_id; all where there are not so many."""
+    sizes = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    total = sizes.where(F.col("size") <= LONGEST).join(labels, "doc_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    share = min(1.0, most / max(1, total["n"]), most_bytes / max(1, total["size"]))
+    if share < 1:
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * share)))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
+    return written(rows.join(small(labels), "doc_id").select("text", "toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, features: int = FEATURES, most_bytes: int = MOST_BYTES) -> Model:
     """A model of labels.toxic from the texts of labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     Rows with a null label are not used; of several labels of a document the highest counts. Without
@@ -156,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, feat
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(crc_remainder("doc_id", 5) != 0)
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = sampled(docs, stable(usable), most_labels)
+    sample = sampled(docs, stable(usable), most_labels, most_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -229,7 +233,9 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
 
 
 def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The units whose own score reaches ``threshold``: doc_id, start, end (code points), score, unit text."""
+    """The units whose own score reaches ``threshold``: doc_id, start, end (code points of the text as
+    it is), score, unit text. Null and empty texts have none; repeated rows each have theirs; an empty
+    table gives an empty result."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.index()
@@ -243,21 +249,27 @@ def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
             base = np.append(0, words.breaks + 1)[document]
             start, end = words.starts[first] - base, words.ends[last] - base
             ids = part.column("doc_id").to_pylist()
-            found = [texts[d].lower()[s:e] for d, s, e in zip(document, start, end, strict=True)]
+            found = [texts[d][s:e] for d, s, e in zip(document, start, end, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in document], pa.int64()), pa.array(start), pa.array(end), pa.array(1 / (1 + np.exp(-z[bad]))), pa.array(found, pa.string())], ["doc_id", "start", "end", "score", "unit"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(locate, "doc_id long, start long, end long, score double, unit string")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose score stays below ``threshold``."""
+    """The rows of ``docs``, all their columns, whose score stays below ``threshold``.
+
+    Null and empty texts score as :func:`toxicity_scores` says and so stay; repeated rows stay or go
+    alike; an empty table stays empty.
+    """
     model = fit(docs, labels)
-    columns = docs.columns
+    # Python tasks get columns by plain names, whatever those of the table are
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.index()
-        for part in slices(batches):
-            words = words_of(part.column("text").fill_null("").to_pylist())
+        for part in slices(batches, text):
+            words = words_of(part.column(text).fill_null("").to_pylist())
             yield part.filter(pa.array(model.scores(words, model.unit_scores(words, index)) < threshold))
 
-    return docs.select(columns).mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
