@@ -49,7 +49,7 @@ def _(spark, sf_dir):
     return events(spark, sf_dir).where(F.array_contains(reports.tokens("customer", "device", "ip"), "ip:3")).select("event_id", "us")
 
 
-@query("j1_labelled_evidence", EVIDENCE + ", l AS (SELECT event_id, CASE WHEN k % 10 = 0 THEN 'FRAUD' ELSE 'LEGIT' END AS label FROM ev WHERE k % 2 = 0) SELECT DISTINCT case_id, detector, label FROM item JOIN l ON l.event_id = item.evidence_id")
+@query("j1_labelled_evidence", EVIDENCE + ", l AS (SELECT event_id, CASE WHEN k % 10 = 0 THEN 'FRAUD' ELSE 'LEGIT' END AS label FROM ev) SELECT DISTINCT case_id, detector, label FROM item JOIN l ON l.event_id = item.evidence_id")
 def _(spark, sf_dir):
     labels = events(spark, sf_dir).select(F.col("event_id").alias("evidence_id"), F.when(F.col("k") % 10 == 0, "FRAUD").otherwise("LEGIT").alias("label"))
     return evidence(spark, sf_dir).join(labels, "evidence_id").select("case_id", "detector", "label").distinct()
@@ -63,7 +63,7 @@ def _(spark, sf_dir):
     return sent.join(outcomes, "event_id", "left").select("event_id", "amount", reports.rail_state(F.col("outcome")).alias("rail"))
 
 
-@query("j5_snk5_baseline_diff", EV + f""", o AS (SELECT customer, count(*) AS n, max(us) AS last FROM ev WHERE us < {NOW} AND k < 50 GROUP BY 1), n AS (SELECT customer, count(*) AS n, max(us) AS last FROM ev WHERE k < 50 GROUP BY 1)
+@query("j5_snk5_baseline_diff", EV + f""", o AS (SELECT customer, count(*) AS n, max(us) AS last FROM ev WHERE us < {NOW} GROUP BY 1), n AS (SELECT customer, count(*) AS n, max(us) AS last FROM ev GROUP BY 1)
 SELECT n.customer, n.n, n.last, CASE WHEN o.customer IS NULL THEN 'new' ELSE 'changed' END AS status FROM n LEFT JOIN o USING (customer) WHERE o.customer IS NULL OR n.n <> o.n OR n.last <> o.last""")
 def _(spark, sf_dir):
     e = events(spark, sf_dir)

@@ -11,7 +11,7 @@ def test_events_of_one_instant_stay_in_order(spark):
     at = 1_704_067_200_000_000
     times = [at - 1] * 5 + [at] * 3000 + [at + 1] * 3 + [at + 2, at + HOUR - 1, at + HOUR, at + HOUR + 1, at + HOUR + 2]
     rows = [(i, us, "transaction", "c", 100) for i, us in enumerate(times)]
-    events = ordered(spark.createDataFrame(rows, "event_id long, us long, kind string, customer string, amount long")).localCheckpoint()
+    events = ordered(spark.createDataFrame(rows, "event_id long, us long, kind string, customer string, amount long")).cache()
     assert [r["event_id"] for r in events.orderBy("o").select("event_id").collect()] == list(range(len(times)))
     earlier = {i: i - bisect_left(times, us - HOUR) for i, us in enumerate(times)}
     assert {r["event_id"]: r["txn_count_1h"] for r in features.amounts(events).collect()} == earlier

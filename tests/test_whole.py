@@ -1,57 +1,7 @@
-"""Queries over whole tables, against their SQL without the row filters that it has."""
-
-import os
-
-import duckdb
-import pytest
+"""Roles that events have in queries hold for every event, whatever its number in props."""
 
 from tarnwell.plans import queries as plans
 
-from .test_queries import DATA, shown
-
-FILTER = "FROM ev WHERE k % 5 = 0"
-FUSED = sorted(name for name, sql in plans.oracle_sql().items() if FILTER in sql and name != "j1_labelled_evidence")
-
-
-@pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for name in os.listdir(DATA):
-        con.sql(f"create view {name.removesuffix('.parquet')} as select * from '{DATA}/{name}'")
-    return con
-
-
-def agree(spark, duck, name, sql):
-    df, found = plans.queries()[name](spark, DATA), duck.sql(sql)
-    columns = sorted(df.columns)
-    assert columns == sorted(found.columns)
-    place = [found.columns.index(c) for c in columns]
-    expected = sorted(tuple(shown(r[i]) for i in place) for r in found.fetchall())
-    assert sorted(tuple(shown(r[c]) for c in columns) for r in df.collect()) == expected
-
-
-@pytest.mark.parametrize("name", FUSED)
-def test_every_event_is_evidence(spark, duck, name):
-    sql = plans.oracle_sql()[name].replace(FILTER + " AND ", "FROM ev WHERE ").replace(FILTER, "FROM ev")
-    agree(spark, duck, name, sql)
-
-
-SUBSETS = {
-    "j1_labelled_evidence": (" WHERE k % 5 = 0", " WHERE k % 2 = 0"),
-    "j5_snk5_baseline_diff": (" AND k < 50", " WHERE k < 50"),
-    "j7_shared_token_cases": (" WHERE k % 10 = 0", " AND b.token LIKE 'dev:%'"),
-    "u_new_customers": (" AND k < 20",),
-}
-
-
-@pytest.mark.parametrize("name", sorted(SUBSETS))
-def test_no_event_is_left_out(spark, duck, name):
-    sql = plans.oracle_sql()[name]
-    for part in SUBSETS[name]:
-        assert part in sql
-        sql = sql.replace(part, "")
-    agree(spark, duck, name, sql)
-
 
 def table_of(spark, path, rows):
     """(event_id, time, user_id, event_type, k) as an events table."""
