@@ -24,7 +24,8 @@ def clipped(x: Column, low: float, high: float) -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() skips nulls, and an unknown place has no distance
+    return F.when(a.isNotNull(), 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def ist_hour(us: Column) -> Column:

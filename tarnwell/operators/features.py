@@ -73,26 +73,28 @@ def logins(events: DataFrame) -> DataFrame:
     month, hour = window(key, 30 * DAY), window(key, HOUR)
     good = F.col("result") == "success"
     place = F.struct(F.bround("lat", 2).alias("lat"), F.bround("lon", 2).alias("lon"))
-    before = Window.partitionBy("customer").orderBy("o")
+    # the last login whose place is known
+    known = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("us", "lat", "lon"))
+    last = F.last(known, True).over(Window.partitionBy("customer").orderBy("o").rowsBetween(Window.unboundedPreceding, -1))
     rows = events.where("kind = 'login'").select(
         "*",
         F.count(F.when(good, F.lit(1))).over(month).alias("past_logins_30d"),
         F.percentile(F.when(good, ist_hour(F.col("us"))), F.lit(0.5)).over(month).alias("usual"),
         F.collect_list(F.when(good, place)).over(month).alias("places"),
         count_if(F.col("result") == "failure", hour).alias("failed_logins_1h"),
-        *[F.lag(c).over(before).alias(f"last_{c}") for c in ("us", "lat", "lon")],
+        last.alias("last"),
     )
     # the most frequent place; of equally frequent ones the first seen
     seen = F.array_distinct("places")
     counts = F.transform(seen, lambda d: F.size(F.filter("places", lambda p: p == d)))
     rows = rows.withColumn("home", F.get(seen, F.array_position(counts, F.array_max(counts)).cast("int") - 1))
-    hours = F.greatest(F.lit(1 / 60), (F.col("us") - F.col("last_us")) / HOUR)
+    hours = F.greatest(F.lit(1 / 60), (F.col("us") - F.col("last.us")) / HOUR)
     return rows.select(
         "event_id",
         "past_logins_30d",
         F.coalesce(circular_hours(ist_hour(F.col("us")), F.col("usual")), F.lit(0.0)).alias("hour_deviation"),
         F.coalesce(haversine_km(F.col("lat"), F.col("lon"), F.col("home.lat"), F.col("home.lon")), F.lit(0.0)).alias("km_from_home"),
-        F.coalesce(haversine_km(F.col("lat"), F.col("lon"), F.col("last_lat"), F.col("last_lon")) / hours, F.lit(0.0)).alias("travel_speed_kmh"),
+        F.coalesce(haversine_km(F.col("lat"), F.col("lon"), F.col("last.lat"), F.col("last.lon")) / hours, F.lit(0.0)).alias("travel_speed_kmh"),
         "failed_logins_1h",
     )
 
@@ -207,3 +209,25 @@ def usual_device(events: DataFrame) -> DataFrame:
     used = events.groupBy("customer", "device").count()
     rank = F.row_number().over(Window.partitionBy("customer").orderBy(F.desc("count"), "device"))
     return used.withColumn("rank", rank).where("rank = 1").select("customer", "device", F.col("count").alias("events"))
+
+
+def staff_reads(acts: DataFrame, span: int = HOUR) -> DataFrame:
+    """Distinct customers that each act's staff identity touched within ``span``, this act's included."""
+    seen = F.collect_set("customer").over(window(["staff"], span, 0))
+    return acts.select("event_id", F.size(seen).cast("long").alias("customers_60m"))
+
+
+def new_device_logins(acts: DataFrame, logins: DataFrame, fresh: int = 2 * HOUR, established: int = DAY) -> DataFrame:
+    """(event_id, new_device_login): whether the customer of an act had logged in from a device first seen
+    within ``fresh``, and from one first seen ``established`` ago or earlier.
+
+    First sightings (one row per account and device) and acts are put in one order, so no act meets all
+    sightings of its customer.
+    """
+    first = logins.groupBy("customer", "account", "device").agg(F.min("us").alias("us"))
+    both = acts.select("customer", "us", "event_id").unionByName(first.select("customer", "us", F.lit(None).cast("long").alias("event_id")))
+    order = Window.partitionBy("customer").orderBy("us")
+    seen = F.when(F.col("event_id").isNull(), 1)
+    new = F.count(seen).over(order.rangeBetween(-fresh, 0)) > 0
+    old = F.count(seen).over(order.rangeBetween(Window.unboundedPreceding, -established)) > 0
+    return both.withColumn("new_device_login", new & old).where("event_id is not null").select("event_id", "new_device_login")

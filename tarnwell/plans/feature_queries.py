@@ -42,7 +42,7 @@ FROM tx a LEFT JOIN added USING (event_id) LEFT JOIN fan USING (event_id) LEFT J
 
 def km(a: str, b: str) -> str:
     half = f"pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)"
-    return f"2 * 6371.0088 * asin(least(1.0, sqrt({half})))"
+    return f"CASE WHEN ({half}) IS NOT NULL THEN 2 * 6371.0088 * asin(least(1.0, sqrt({half}))) END"
 
 
 SQL_LOGINS = LOGIN + f"""
@@ -56,7 +56,7 @@ x AS (SELECT *, {IST} AS hour FROM lg)
 SELECT a.event_id, coalesce(h.n, 0) AS past_logins_30d,
   round(coalesce(least(abs(a.hour - h.usual) % 24, 24 - abs(a.hour - h.usual) % 24), 0.0), 6) AS hour_deviation,
   round(coalesce({km('a', 'home')}, 0.0), 6) AS km_from_home,
-  round(coalesce({km('a', 'lastrow')} / greatest(1 / 60.0, (a.us - lastrow.us) / {HOUR}.0), 0.0), 6) AS travel_speed_kmh,
+  round(coalesce(({km('a', 'lastrow')}) / greatest(1 / 60.0, (a.us - lastrow.us) / {HOUR}.0), 0.0), 6) AS travel_speed_kmh,
   coalesce(f.n, 0) AS failed_logins_1h
 FROM x a LEFT JOIN h USING (event_id) LEFT JOIN f USING (event_id) LEFT JOIN home USING (event_id) LEFT JOIN lastrow USING (event_id)"""
 
@@ -106,6 +106,8 @@ SELECT a.event_id, count(b.event_id) FILTER (WHERE b.minute >= a.minute - 9 AND
   (global_fail_10m >= 2 AND global_fail_10m >= 5 * (count(b.event_id) FILTER (WHERE b.minute < a.minute - 9 AND b.minute >= a.minute - 1449) / 144.0)) AS global_spike
 FROM m a LEFT JOIN m b ON b.result = 'failure' AND b.minute >= a.minute - 1449 AND b.minute <= a.minute GROUP BY a.event_id"""
 
+SQL_GLOBAL_DEFAULT = SQL_GLOBAL.replace("global_fail_10m >= 2 AND", "global_fail_10m >= 30 AND")
+
 SQL_USUAL = f"""WITH {EVENTS_SQL}, c AS (SELECT customer, device, count(*) AS n FROM ev GROUP BY 1, 2)
 SELECT customer, device, n AS events FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY n DESC, device) AS r FROM c) WHERE r = 1"""
 
