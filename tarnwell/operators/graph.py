@@ -6,11 +6,14 @@ joins, one per hop, with excluded nodes taken out at every hop; no graph is held
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY, HOUR, MINUTE, kind
 from ..sources.bridge import back
+from ..sources.stable import stable
 
 #: Edge confidence by type, and how many customers make a hub.
 CONFIDENCE = {"LOGGED_IN_FROM": 0.9, "CONNECTED_VIA": 0.5, "OWNS": 1.0, "RESET": 0.9, "HAS_PHONE": 1.0, "ADDED_PAYEE": 0.9, "SENT": 1.0, "SHARES_DEVICE": 0.9}
@@ -77,25 +80,43 @@ def excluded(edges: DataFrame) -> DataFrame:
     return hubs.unionByName(ends.where(kind(F.col("token")).isin("mer", "cid"))).distinct()
 
 
-def walk(edges: DataFrame, starts: DataFrame, hops: int, least: float, skip: DataFrame) -> DataFrame:
-    """(start, token, hops): nodes within ``hops`` over edges of at least this confidence (strictly above 0)."""
+def steps(edges: DataFrame, least: float) -> DataFrame:
+    """(src, dst): both ways over edges of at least this confidence (strictly above 0)."""
     solid = edges.where((F.col("confidence") >= least) & (F.col("confidence") > 0)).select("src", "dst")
-    step = solid.unionByName(solid.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    step = step.join(skip.select(F.col("token").alias("dst")), "dst", "left_anti")
-    reached = starts.select("start", F.col("start").alias("token"), F.lit(0).alias("hops"))
-    front = reached
+    return stable(solid.unionByName(solid.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+
+
+def walk(edges: DataFrame, starts: DataFrame, hops: int, least: float, skip: DataFrame) -> DataFrame:
+    """(start, token, hops): nodes within ``hops`` over edges of at least this confidence (strictly above 0).
+
+    The steps and each hop's front are computed once.
+    """
+    step = stable(steps(edges, least).join(skip.select(F.col("token").alias("dst")), "dst", "left_anti"))
+    reached = front = stable(starts.select("start", F.col("start").alias("token"), F.lit(0).alias("hops")))
     for hop in range(1, hops + 1):
         front = front.join(step, front["token"] == step["src"]).select("start", F.col("dst").alias("token")).distinct()
-        front = front.join(reached, ["start", "token"], "left_anti").withColumn("hops", F.lit(hop))
+        front = stable(front.join(reached.drop("hops"), ["start", "token"], "left_anti").withColumn("hops", F.lit(hop)))
         reached = reached.unionByName(front)
     return reached.where("hops > 0")
 
 
 def seed_distance(edges: DataFrame, starts: DataFrame, seeds: DataFrame, skip: DataFrame, hops: int = 3) -> DataFrame:
-    """(start, hops, seed): the nearest seed of each start, 0 for a seed itself; ties by token."""
-    near = walk(edges, starts, hops, 0.0, skip).unionByName(starts.select("start", F.col("start").alias("token"), F.lit(0).alias("hops")))
-    near = near.join(seeds.select(F.col("seed").alias("token")), "token", "left_semi")
-    return near.groupBy("start").agg(F.min(F.struct("hops", "token")).alias("m")).select("start", "m.hops", F.col("m.token").alias("seed"))
+    """(start, hops, seed): the nearest seed of each start, 0 for a seed itself; ties by token.
+
+    Seeds are few, so the walk goes from them: steps lead both ways, and a node that walks may not cross
+    is reached (as a start) but not left.
+    """
+    step, skip = steps(edges, 0.0), stable(skip.select("token").distinct())
+    own = seeds.select("seed", F.col("seed").alias("token"), F.lit(0).alias("hops"))
+    reached = stable(own.join(skip, "token", "left_anti").select("seed", "token", "hops"))
+    front = reached
+    for hop in range(1, hops + 1):
+        front = front.join(step, front["token"] == step["src"]).select("seed", F.col("dst").alias("token")).distinct()
+        front = stable(front.join(reached.drop("hops"), ["seed", "token"], "left_anti").withColumn("hops", F.lit(hop)))
+        reached = reached.unionByName(front)
+        front = front.join(skip, "token", "left_anti")
+    near = reached.where("hops > 0").unionByName(own).join(starts.select(F.col("start").alias("token")), "token")
+    return near.groupBy(F.col("token").alias("start")).agg(F.min(F.struct("hops", "seed")).alias("m")).select("start", "m.hops", "m.seed")
 
 
 def flow_profile(edges: DataFrame, now: int, window_h: int = 24, half_life_h: float = 72.0) -> DataFrame:
@@ -133,6 +154,74 @@ def pass_through(edges: DataFrame, now: int, window_h: int = 24) -> DataFrame:
     return gaps.groupBy("account").agg(F.min("gap").alias("pass_through_min"))
 
 
+def dormant(edges: DataFrame, now: int, window_h: int = 24, days: int = 30) -> DataFrame:
+    """Accounts older than ``days`` without activity from then to the window's start."""
+    edges, cut, start = edges.where(F.col("first_seen") <= now), now - days * DAY, now - window_h * HOUR
+    last = F.when(F.col("last_seen") <= now, F.col("last_seen")).otherwise(F.col("first_seen"))
+    ends = [edges.select(F.col(c).alias("account"), "first_seen", last.alias("last")) for c in ("src", "dst")]
+    seen = ends[0].unionByName(ends[1]).where(kind(F.col("account")) == "acct")
+    between = lambda c: (F.col(c) > cut) & (F.col(c) < start)
+    found = seen.groupBy("account").agg(F.min("first_seen").alias("oldest"), F.bool_or(between("first_seen") | between("last")).alias("awake"))
+    return found.where((F.col("oldest") <= cut) & ~F.col("awake")).select("account")
+
+
+@dataclass(frozen=True)
+class Mule:
+    """When the flow of an account is that of a mule."""
+
+    window_h: int = 24
+    young_days: float = 7.0
+    least_new_payers: int = 3
+    passing_minutes: float = 180.0
+    passing_payers: int = 2
+    fan_out: int = 3
+    dormant_days: int = 30
+    dormant_payers: int = 3
+    hop_minutes: int = 240
+    ring_accounts: int = 2
+    ring_payers: int = 4
+
+
+MULE_P = {"MULE_RING": 0.08, "MULE_PASS_THROUGH": 0.06, "MULE_RAPID_HOPS": 0.06, "MULE_FAN_OUT": 0.05, "MULE_DORMANT_ACTIVATED": 0.05, "MULE_FAN_IN_NEW_ACCOUNT": 0.03}
+
+
+def rings(edges: DataFrame, paid: DataFrame, skip: DataFrame, now: int) -> DataFrame:
+    """(account, members, payers_ring) of accounts with new payers (``paid``: account, fresh) that log in from one
+    device with others that have some; each account and sibling counts once.
+
+    Devices of hubs are out, so a device has few accounts and pairs stay few.
+    """
+    logged = edges.where("edge_type = 'LOGGED_IN_FROM'").where(F.col("first_seen") <= now).select(F.col("src").alias("account"), F.col("dst").alias("device"))
+    logged = logged.join(skip.select(F.col("token").alias("device")), "device", "left_anti").join(paid.where("fresh >= 1"), "account")
+    other = logged.select("device", F.col("account").alias("sibling"), F.col("fresh").alias("others"))
+    pairs = logged.join(other, "device").where("account <> sibling").select("account", "fresh", "sibling", "others").distinct()
+    return pairs.groupBy("account").agg((F.count("*") + 1).alias("members"), (F.first("fresh") + F.sum("others")).alias("payers_ring"))
+
+
+def mule_signals(edges: DataFrame, now: int, skip: DataFrame, config: Mule = Mule()) -> DataFrame:
+    """(account, codes): why each account looks like a mule at ``now``, strongest first; hubs have none."""
+    edges = stable(edges)
+    own = flow_profile(edges, now, config.window_h).join(pass_through(edges, now, config.window_h), "account", "left")
+    own = stable(own.join(skip.select(F.col("token").alias("account")), "account", "left_anti"))
+    fresh = F.col("new_money_payers_window")
+    passing = (fresh >= config.passing_payers) & F.coalesce(F.col("pass_through_min") <= config.passing_minutes, F.lit(False))
+    idle = dormant(edges, now, config.window_h, config.dormant_days).withColumn("idle", F.lit(True))
+    recent = edges.where("edge_type = 'SENT'").where(F.col("first_seen").between(now - config.hop_minutes * MINUTE, now))
+    fed = recent.join(own.where(passing).select(F.col("account").alias("src")), "src", "left_semi").select(F.col("dst").alias("account"), F.lit(True).alias("fed")).distinct()
+    ring = rings(edges, own.select("account", fresh.alias("fresh")), skip, now)
+    rows = own.join(idle, "account", "left").join(fed, "account", "left").join(ring, "account", "left")
+    when = {
+        "MULE_RING": (F.col("members") >= config.ring_accounts) & (F.col("payers_ring") >= config.ring_payers),
+        "MULE_PASS_THROUGH": passing,
+        "MULE_RAPID_HOPS": F.col("fed"),
+        "MULE_FAN_OUT": (F.col("new_beneficiaries_window") >= config.fan_out) & (fresh >= 1),
+        "MULE_DORMANT_ACTIVATED": F.col("idle") & (fresh >= config.dormant_payers),
+        "MULE_FAN_IN_NEW_ACCOUNT": (F.col("account_age_days") < config.young_days) & (fresh >= config.least_new_payers),
+    }
+    codes = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in when.items()]))
+    return rows.select("account", codes.alias("codes")).where("size(codes) > 0")
+
+
 def reputation(edges: DataFrame, now: int, tenure_days: int = 7, recent_h: int = 24, age_days: float = 30.0, least: int = 3) -> DataFrame:
     """Payee standing at ``now``: payers, tenured and new ones, new outbound edges, and whether reputable
     (seeds aside)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..sources.bridge import EVENTS_SQL, events, ordered
+from ..sources.stable import stable
 from .registry import query
 
 NOW = 1_705_276_800_000_000  # 2024-01-15: a fixed instant inside the events' month
@@ -29,7 +30,8 @@ hub AS (SELECT token FROM linked WHERE customers >= 21)"""
 
 
 def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merged(graph.observations(events(spark, sf_dir)))
+    """The merged edges, computed once: every graph query reads them more than once."""
+    return stable(graph.merged(graph.observations(events(spark, sf_dir))))
 
 
 def tokens(spark: SparkSession, values: tuple[str, ...], name: str) -> DataFrame:
@@ -116,3 +118,33 @@ c AS (SELECT a.event_id, count(DISTINCT b.device) AS d, count(DISTINCT b.account
 SELECT event_id, d AS ip_devices, n AS ip_accounts, d >= 8 OR n >= 6 AS shared_ip FROM c""")
 def _(spark, sf_dir):
     return graph.shared_ips(ordered(events(spark, sf_dir)))
+
+
+#: The flow shape of accounts in SQL, for the signals that hang on it.
+FLOW = f""", e AS (SELECT *, CASE WHEN last_seen <= {NOW} THEN last_seen ELSE first_seen END AS last FROM edges WHERE first_seen <= {NOW}),
+p AS (SELECT dst AS account, src, min(first_seen) FILTER (WHERE edge_type = 'SENT') AS money FROM e WHERE edge_type IN ('SENT', 'ADDED_PAYEE') GROUP BY 1, 2),
+fr AS (SELECT account, count(*) FILTER (WHERE money >= {NOW} - 86400000000) AS fresh FROM p GROUP BY 1),
+nb AS (SELECT src AS account, count(*) FILTER (WHERE first_seen >= {NOW} - 86400000000) AS nb FROM e WHERE edge_type = 'SENT' GROUP BY 1),
+ends AS (SELECT src AS account, first_seen, last FROM e WHERE src LIKE 'acct:%' UNION ALL SELECT dst, first_seen, last FROM e WHERE dst LIKE 'acct:%'),
+age AS (SELECT account, ({NOW} - min(first_seen)) / 86400000000.0 AS age, min(first_seen) <= {NOW} - {{days}} * 86400000000 AND NOT bool_or((first_seen > {NOW} - {{days}} * 86400000000 AND first_seen < {NOW} - 86400000000) OR (last > {NOW} - {{days}} * 86400000000 AND last < {NOW} - 86400000000)) AS idle FROM ends GROUP BY 1),
+tm AS (SELECT src, dst, unnest([first_seen, last_seen]) AS us FROM edges WHERE edge_type = 'SENT' AND first_seen <= {NOW}),
+tr AS (SELECT * FROM tm WHERE us BETWEEN {NOW} - 86400000000 AND {NOW}),
+pt AS (SELECT o.src AS account, min((o.us - i.us) / 60000000.0) AS gap FROM tr o JOIN tr i ON i.dst = o.src AND i.us <= o.us GROUP BY 1),
+f AS (SELECT age.*, coalesce(fresh, 0) AS fresh, coalesce(nb, 0) AS nb, coalesce(fresh, 0) >= 2 AND coalesce(gap <= 180, false) AS passing FROM age LEFT JOIN fr USING (account) LEFT JOIN nb USING (account) LEFT JOIN pt USING (account) WHERE account NOT IN (SELECT token FROM hub)),
+fed AS (SELECT DISTINCT s.dst AS account FROM e s JOIN f ON f.account = s.src AND f.passing WHERE s.edge_type = 'SENT' AND s.first_seen >= {NOW} - 14400000000),
+lg AS (SELECT DISTINCT src AS account, dst AS device, fresh FROM e JOIN f ON f.account = e.src WHERE edge_type = 'LOGGED_IN_FROM' AND fresh >= 1 AND dst NOT IN (SELECT token FROM hub)),
+pr AS (SELECT DISTINCT a.account, a.fresh, b.account AS sibling, b.fresh AS others FROM lg a JOIN lg b ON a.device = b.device AND a.account <> b.account),
+ring AS (SELECT account, count(*) + 1 AS members, any_value(fresh) + sum(others) AS payers FROM pr GROUP BY 1),
+c AS (SELECT account, list_filter([CASE WHEN members >= 2 AND ring.payers >= 4 THEN 'MULE_RING' END, CASE WHEN passing THEN 'MULE_PASS_THROUGH' END, CASE WHEN account IN (SELECT account FROM fed) THEN 'MULE_RAPID_HOPS' END,
+  CASE WHEN nb >= 3 AND fresh >= 1 THEN 'MULE_FAN_OUT' END, CASE WHEN idle AND fresh >= 3 THEN 'MULE_DORMANT_ACTIVATED' END, CASE WHEN age < 7 AND fresh >= 3 THEN 'MULE_FAN_IN_NEW_ACCOUNT' END], lambda x: x IS NOT NULL) AS codes FROM f LEFT JOIN ring USING (account))"""
+
+
+@query("g11_g12_mule_signals", OBS + FLOW.format(days=30) + " SELECT account, array_to_string(codes, ',') AS codes FROM c WHERE len(codes) > 0")
+def _(spark, sf_dir):
+    edges = edge_table(spark, sf_dir)
+    return graph.mule_signals(edges, NOW, graph.excluded(edges)).select("account", F.array_join("codes", ",").alias("codes"))
+
+
+@query("g11_dormant_accounts", OBS + FLOW.format(days=3) + " SELECT account FROM age WHERE idle")
+def _(spark, sf_dir):
+    return graph.dormant(edge_table(spark, sf_dir), NOW, days=3)
