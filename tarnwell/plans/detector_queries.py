@@ -79,7 +79,90 @@ SELECT event_id, score, CASE WHEN score >= 0.70 THEN 'APP_SCAM_COOLING_OFF' WHEN
 def _(spark, sf_dir):
     rows = with_features(spark, sf_dir, features.amounts, features.payees, features.devices)
     first = F.row_number().over(features.Window.partitionBy("account", "payee").orderBy("us", "event_id")) == 1
-    return detectors.app_scam(rows.withColumn("first_payment", first))
+    return detectors.app_scam(rows.withColumn("first_payment", first)).drop("signs")
+
+
+DEFAULTS = {"ip_failed_customers_1h >= 2": "ip_failed_customers_1h >= 10", "acct_fail_1h >= 2 AND": "acct_fail_1h >= 5 AND", "acct_fail_24h >= 2 AND acct_fail_ips_24h >= 2": "acct_fail_24h >= 6 AND acct_fail_ips_24h >= 4", "dev_accounts_1h >= 2 AND dev_fail_1h >= 1": "dev_accounts_1h >= 4 AND dev_fail_1h >= 3"}
+
+
+def with_defaults(sql: str) -> str:
+    for low, own in DEFAULTS.items():
+        assert low in sql
+        sql = sql.replace(low, own)
+    return sql.replace(fq.SQL_GLOBAL, fq.SQL_GLOBAL_DEFAULT)
+
+
+@query("d2_stuffing_as_set", with_defaults(SQL_STUFFING))
+def _(spark, sf_dir):
+    """The rule's own thresholds."""
+    return shown(detectors.stuffing(with_features(spark, sf_dir, features.ip_failures, features.account_failures, features.global_failures)))
+
+
+@query("d3_travel_as_set", f"WITH l AS ({fq.SQL_LOGINS}), hits AS (SELECT event_id, 'IMPOSSIBLE_TRAVEL' AS code, 0.08::DOUBLE AS p FROM l WHERE travel_speed_kmh > 900) " + RULES.format(detector="behaviour", family="identity", stage="S1_INITIAL_ACCESS", trust="0.6", more=""))
+def _(spark, sf_dir):
+    return shown(detectors.travel(with_features(spark, sf_dir, features.logins)))
+
+
+#: Events of the kinds that the tables do not hold, as step-up results, SIM signals and profile changes by k.
+CONTROL = """y AS (SELECT * REPLACE (CASE k % 7 WHEN 1 THEN 'step_up_result' WHEN 2 THEN 'sim_signal' WHEN 3 THEN 'profile_change' ELSE kind END AS kind,
+  CASE WHEN k % 7 = 1 THEN ['passed', 'failed', 'timeout', 'denied_by_customer'][CAST(event_id % 4 AS INTEGER) + 1] ELSE result END AS result),
+  event_id % 150 AS factor_age_h, event_id % 200 AS sim_change_age_h, k % 11 = 0 AS session_change, CASE WHEN k % 22 = 0 THEN 67 ELSE 5 END AS session_mask, k % 4 AS device_mask FROM ev)"""
+
+
+@query("d5_d6_account_control", f"""WITH dv AS ({fq.SQL_DEVICES}), ch AS ({fq.SQL_CHALLENGES}), {EVENTS_SQL}, {CONTROL}, x AS (SELECT y.*, dv.minutes_since_new_device, ch.mfa_fails_15m, ch.push_rejects_10m, y.kind IN ('payee_added', 'transaction') AS only_session FROM y JOIN dv USING (event_id) LEFT JOIN ch USING (event_id)),
+main AS (SELECT event_id, 'MFA_CHANGED_AFTER_NEW_DEVICE' AS code, 0.06::DOUBLE AS p FROM x WHERE kind = 'mfa_change' AND minutes_since_new_device <= 60 UNION ALL SELECT event_id, 'PROFILE_CHANGE_AFTER_NEW_DEVICE', 0.05 FROM x WHERE kind = 'profile_change' AND minutes_since_new_device <= 60
+  UNION ALL SELECT event_id, 'MFA_FAIL_THEN_PASS', 0.04 FROM x WHERE kind = 'mfa_challenge' AND result = 'passed' AND mfa_fails_15m >= 2 UNION ALL SELECT event_id, 'PUSH_SPAM', 0.06 FROM x WHERE kind = 'mfa_challenge' AND push_rejects_10m >= 3
+  UNION ALL SELECT event_id, 'RECENT_SIM_SWAP', 0.07 FROM x WHERE kind = 'sim_signal' AND sim_change_age_h < 72
+  UNION ALL SELECT event_id, CASE result WHEN 'denied_by_customer' THEN 'CUSTOMER_DENIED' WHEN 'passed' THEN CASE WHEN factor_age_h < 72 THEN 'STEP_UP_PASSED_WITH_FRESH_FACTOR' ELSE 'STEP_UP_PASSED_TRUSTED' END ELSE 'STEP_UP_FAILED_OR_TIMEOUT' END,
+    CASE result WHEN 'denied_by_customer' THEN 0.01 WHEN 'passed' THEN CASE WHEN factor_age_h < 72 THEN 0.08 ELSE 0.003 END ELSE 0.05 END FROM x WHERE kind = 'step_up_result' AND NOT (result IN ('failed', 'timeout') AND factor_age_h < 72)),
+hits AS (SELECT * FROM main UNION ALL SELECT event_id, 'SESSION_CONTEXT_CHANGE', CASE WHEN session_mask = 67 THEN 0.08 ELSE 0.05 END FROM x WHERE session_change AND kind <> 'step_up_result'
+  UNION ALL SELECT event_id, 'DEVICE_INCONSISTENT', CASE WHEN device_mask = 3 THEN 0.05 ELSE 0.03 END FROM x WHERE device_mask > 0 AND kind <> 'step_up_result' AND CASE WHEN only_session THEN session_change ELSE event_id IN (SELECT event_id FROM main) END) """
+    + RULES.format(detector="auth", family="device", stage="S2_CONTROL_TAKEOVER", trust="0.7", more="") + " OR bool_or(code IN ('STEP_UP_PASSED_TRUSTED', 'CUSTOMER_DENIED'))")
+def _(spark, sf_dir):
+    """All rules of account control, as they are set."""
+    base = ordered(events(spark, sf_dir))
+    rows = base.join(features.devices(base), "event_id").join(features.challenges(base), "event_id", "left")
+    return shown(detectors.account_control(control_events(rows)))
+
+
+def control_events(rows: DataFrame) -> DataFrame:
+    """Rows with some made step-up results, SIM signals and profile changes, and with session and device context."""
+    k, i = F.col("k"), F.col("event_id")
+    results = F.get(F.array(*[F.lit(v) for v in ("passed", "failed", "timeout", "denied_by_customer")]), (i % 4).cast("int"))
+    return rows.withColumns({
+        "kind": F.when(k % 7 == 1, "step_up_result").when(k % 7 == 2, "sim_signal").when(k % 7 == 3, "profile_change").otherwise(F.col("kind")),
+        "result": F.when(k % 7 == 1, results).otherwise(F.col("result")),
+        "factor_age_h": (i % 150).cast("double"), "sim_change_age_h": (i % 200).cast("double"), "session_change": k % 11 == 0,
+        "session_change_mask": F.when(k % 22 == 0, 67).otherwise(5), "device_inconsistency_mask": (k % 4).cast("int"),
+    })
+
+
+@query("d4_login_context", f"""WITH {EVENTS_SQL}, hits AS (SELECT event_id, 'TZ_MISMATCH' AS code, 0.02::DOUBLE AS p FROM ev WHERE kind = 'login' AND k % 3 = 0 UNION ALL SELECT event_id, 'DEVICE_INCONSISTENT', CASE WHEN k % 4 = 3 THEN 0.05 ELSE 0.03 END FROM ev WHERE kind = 'login' AND k % 4 > 0
+  UNION ALL SELECT event_id, 'SESSION_CONTEXT_CHANGE', CASE WHEN k % 22 = 0 THEN 0.08 ELSE 0.05 END FROM ev WHERE kind = 'login' AND k % 11 = 0) """ + RULES.format(detector="behaviour", family="identity", stage="S1_INITIAL_ACCESS", trust="0.6", more=""))
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    k = F.col("k")
+    context = {"tz_mismatch": k % 3 == 0, "session_change": k % 11 == 0, "session_change_mask": F.when(k % 22 == 0, 67).otherwise(5), "device_inconsistency_mask": (k % 4).cast("int")}
+    return shown(detectors.login_context(rows.withColumns(context)))
+
+
+@query("d9_w18_insider", f"""WITH dv AS ({fq.SQL_DEVICES}), {EVENTS_SQL},
+act AS (SELECT event_id, us, customer, 'cid:' || (k % 5) AS staff, ['UpdateTransferLimit', 'ReadCustomerProfile', 'ResetCustomerMfa', 'UnlockAccount'][CAST(k % 4 AS INTEGER) + 1] AS action, CASE WHEN k % 13 = 0 THEN 'failure' ELSE 'success' END AS result FROM ev WHERE kind IN ('mfa_change', 'mfa_challenge')),
+many AS (SELECT a.event_id, count(DISTINCT b.customer) AS n FROM act a JOIN act b ON b.staff = a.staff AND (b.us, b.event_id) <= (a.us, a.event_id) AND b.us >= a.us - 3600000000 GROUP BY 1),
+lg AS (SELECT account, customer, device, min(us) AS first FROM ev WHERE kind = 'login' AND result = 'success' GROUP BY 1, 2, 3),
+nd AS (SELECT a.event_id, bool_or(l.first >= a.us - 7200000000) AND bool_or(l.first <= a.us - 86400000000) AS hit FROM act a JOIN lg l ON l.customer = a.customer AND l.first <= a.us GROUP BY 1),
+x AS (SELECT act.*, coalesce(nd.hit, false) AS nd, many.n >= 3 AS many, CAST(floor(((us + 19800000000) % 86400000000) / 3600000000) AS INTEGER) AS hour FROM act JOIN many USING (event_id) LEFT JOIN nd USING (event_id) WHERE action IN ('UpdateTransferLimit', 'ResetCustomerMfa', 'UnlockAccount') AND result <> 'failure'),
+hits AS (SELECT event_id, 'INSIDER_CHANGE_AFTER_NEW_DEVICE_LOGIN' AS code, 0.04::DOUBLE AS p FROM x WHERE nd UNION ALL SELECT event_id, 'INSIDER_REPEATED_SENSITIVE_ACTIONS', 0.03 FROM x WHERE many UNION ALL SELECT event_id, 'INSIDER_SENSITIVE_OFF_HOURS', 0.02 FROM x WHERE (nd OR many) AND (hour >= 21 OR hour < 7)) """
+    + RULES.format(detector="cyber", family="cyber", stage="S4_ESCALATION", trust="0.5", more=""))
+def _(spark, sf_dir):
+    rows = ordered(events(spark, sf_dir))
+    k = F.col("k")
+    names = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    acts = rows.where("kind in ('mfa_change', 'mfa_challenge')").withColumns({
+        "staff": F.concat(F.lit("cid:"), k % 5), "action": names(("UpdateTransferLimit", "ReadCustomerProfile", "ResetCustomerMfa", "UnlockAccount"), k % 4), "result": F.when(k % 13 == 0, "failure").otherwise("success"),
+    })
+    logins = rows.where("kind = 'login' and result = 'success'")
+    return shown(detectors.insider(acts.join(features.staff_reads(acts), "event_id").join(features.new_device_logins(acts, logins), "event_id")))
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz234567"
@@ -157,8 +240,8 @@ def _(spark, sf_dir):
     return state.reliability_updates(rows.withColumns({"alpha0": of(0), "beta0": of(1)}))
 
 
-@query("j7_shared_token_cases", f"""WITH {EVENTS_SQL}, t AS (SELECT DISTINCT customer, unnest([device, ip]) AS token FROM ev WHERE k % 10 = 0)
-SELECT DISTINCT a.customer FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE b.token = a.token AND b.customer <> a.customer AND b.token LIKE 'dev:%')""")
+@query("j7_shared_token_cases", f"""WITH {EVENTS_SQL}, t AS (SELECT DISTINCT customer, unnest([device, ip]) AS token FROM ev)
+SELECT DISTINCT a.customer FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE b.token = a.token AND b.customer <> a.customer)""")
 def _(spark, sf_dir):
     tokens = events(spark, sf_dir).select("customer", F.explode(F.array("device", "ip")).alias("token")).distinct()
     # a token held by two customers or more is shared; no pair of holders is made
@@ -193,7 +276,7 @@ def _(spark, sf_dir):
     return rows.groupBy(F.floor(F.col("p") * 10).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))
 
 
-@query("u_new_customers", f"""WITH {EVENTS_SQL} (SELECT customer FROM ev WHERE kind = 'transaction' UNION SELECT customer FROM ev WHERE kind = 'payee_added') EXCEPT SELECT customer FROM ev WHERE kind = 'mfa_change' AND k < 20""")
+@query("u_new_customers", f"""WITH {EVENTS_SQL} (SELECT customer FROM ev WHERE kind = 'transaction' UNION SELECT customer FROM ev WHERE kind = 'payee_added') EXCEPT SELECT customer FROM ev WHERE kind = 'mfa_change'""")
 def _(spark, sf_dir):
     e = events(spark, sf_dir)
     some = lambda c: e.where(c).select("customer")
