@@ -44,5 +44,8 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["customer", "structuring", "p_attack", "band"]
+    found = __spark_entry__.entry(spark)
+    rows = found.collect()
+    assert rows and {"case_id", "anchor", "items", "p_attack", "band", "rule", "payment_state"} <= set(found.columns)
+    assert all(0 < r["p_attack"] <= 1 and r["items"] > 0 for r in rows)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
