@@ -1,7 +1,7 @@
 """Cost-balanced packing of tokenised documents into sequences of a fixed capacity.
 
 A document's ids are cut into full sequences and a rest. Rests are dealt by hash into shards of about
-``SHARD`` documents. In a shard there are as many sequences as its tokens need at least; rests go, in
+``SHARD_TOKENS`` tokens. In a shard there are as many sequences as its tokens need at least; rests go, in
 falling order of length, to the sequence of the lowest estimated attention cost (a linear part for
 the tokens, a quadratic part for attention within each piece) that still has room for all of it. A
 rest that fits nowhere is cut over the sequences with the most room. So a shard pads by less than one
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 from .token_model import encoder
 
-CAPACITY, SHARD = 1024, 2048
+CAPACITY, SHARD_TOKENS = 1024, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -76,25 +76,29 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, w
 def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text; others unread) with their place: sequence_id and offset.
 
-    Null texts count as empty and have the end id only. Repeated rows are documents of their own.
-    ``with_ids`` fills ids (little-endian 32 bits) of full pieces too, for writing the sequences. An
-    empty table gives an empty result.
+    Null texts count as empty and have the end id only. Repeated rows, and rows without a doc_id, are
+    documents of their own. ``with_ids`` fills ids (little-endian 32 bits) of full pieces too, for
+    writing the sequences. An empty table gives an empty result.
+
+    Texts are encoded once and their pieces written; full pieces are numbered where they are, only rests
+    are dealt. Sequences of full pieces have even numbers, those of rests odd ones.
     """
-    shards = max(1, -(-docs.count() // SHARD))
+    pieces = written(token_pieces(docs, vocabulary, end_id, capacity, with_ids))
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("long")})
+    rests = pieces.where(F.col("length") < capacity)
+    shards = max(1, -(-(rests.agg(F.sum("length")).first()[0] or 0) // SHARD_TOKENS))
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        base = table.column("shard")[0].as_py() << 32
-        rows = table.drop_columns(["shard"]).to_pylist()
-        full = [r for r in rows if r["length"] == capacity]
-        rests = [r for r in rows if r["length"] < capacity]
-        out = [{**r, "sequence_id": base + i, "offset": 0} for i, r in enumerate(full)]
-        for i, start, length, to, offset in assigned(np.array([r["length"] for r in rests], np.int64), capacity):
-            r = rests[i]
-            ids = r["ids"][4 * start : 4 * (start + length)]
-            out.append({**r, "start": r["start"] + start, "length": length, "ids_crc32": zlib.crc32(ids), "ids": ids, "sequence_id": base + len(full) + to, "offset": offset})
-        return pa.Table.from_pylist(out, pa.schema([*[(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], ("ids", pa.binary())]))
-
-    pieces = token_pieces(docs, vocabulary, end_id, capacity, with_ids)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack, PACKED)
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("ids_crc32", "ascending"), ("start", "ascending")])
+        base, ids = table.column("shard")[0].as_py() << 32, table.column("ids")
+        rest, start, length, to, offset = np.array(assigned(table.column("length").to_numpy(), capacity), np.int64).T
+        cut = [ids[r].as_py()[4 * s : 4 * (s + n)] for r, s, n in zip(rest.tolist(), start.tolist(), length.tolist(), strict=True)]
+        whole = table.take(pa.array(rest))
+        columns = {
+            "doc_id": whole.column("doc_id"), "start": pa.array(whole.column("start").to_numpy() + start), "length": pa.array(length), "ids_crc32": pa.array([zlib.crc32(x) for x in cut], pa.int64()),
+            "doc_tokens": whole.column("doc_tokens"), "sequence_id": pa.array(2 * (base + to) + 1), "offset": pa.array(offset), "ids": pa.array(cut, pa.binary()),
+        }
+        return pa.table(columns)
+
+    dealt = rests.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    return full.unionByName(dealt.groupBy("shard").applyInArrow(pack, PACKED))
