@@ -93,14 +93,82 @@ def test_permutations_and_draws():
         seen = [mx.permuted(np.arange(n), np.full(n, n), np.full(n, key)) for key in (1, 2)]
         assert all(sorted(s) == list(range(n)) for s in seen)
         assert n < 17 or (seen[0] != seen[1]).any()
-    totals = np.array([1000, 30, 0, 471])
-    draws = [mx.drawn(totals, 100, 16, i, 9) for i in range(16)]
-    assert (sum(d[1] for d in draws) == totals).all()
-    assert [d[1].sum() for d in draws] == [100] * 15 + [1]
+    totals = [1000, 30, 0, 471]
+    for groups, shards in ((1, 16), (3, 5), (1, 1)):
+        draws = [mx.drawn(totals, groups, shards, i, 9) for i in range(groups * shards)]
+        assert (sum(d[1] for d in draws) == totals).all()
+        n = [d[1].sum() for d in draws]
+        assert max(n) - min(n) <= 1 + len(totals)
+        for a, b in zip(draws, draws[1:], strict=False):
+            assert (a[0] + a[1] == b[0]).all()
     for a, b in zip(draws, draws[1:], strict=False):
         assert (a[0] + a[1] == b[0]).all()
 
 
+def test_draws_of_billions_of_slots():
+    totals = [2_000_000_000, 5, 1_300_000_000_001]
+    groups, shards = mx.grouped(totals, 4096)
+    assert groups * shards * 4096 >= sum(totals)
+    for shard in (0, 1, shards - 1, shards, groups * shards // 2, groups * shards - 1):
+        before, inside = mx.drawn(totals, groups, shards, shard, 7)
+        assert 0 < inside.sum() <= 4096 and (before >= 0).all()
+        after = mx.drawn(totals, groups, shards, shard + 1, 7)[0] if shard + 1 < groups * shards else np.array(totals)
+        assert (before + inside == after).all()
+        assert abs(inside[0] - inside.sum() * totals[0] / sum(totals)) < 40
+
+
+def test_columns_of_any_name_and_rows_without_an_id(spark, make):
+    rows = [(None, "same text here"), (None, "same text here"), (1, None), (2, "own words of two"), (None, "lone text")]
+    docs = make(rows)
+    out = mx.mixed_documents(docs)
+    assert out.columns == docs.columns
+    kept = [(r["doc_id"], r["text"], r["th"], r["_doc"], r["row"], r["n_chars"]) for r in out.collect()]
+    assert {k[0] for k in kept} <= {None, 2} and all(k[2:5] == ("x", "x", "x") and k[5] == len(k[1]) for k in kept)
+    per = mx.mix(docs)[0].collect()
+    assert len(per) == len(rows) and sum(r["taken"] for r in per) == sum(len(k[1].split()) for k in kept)
+
+
+def test_the_slots_are_not_broadcast(spark):
+    plan = mx.mix(documents(spark, ROWS))[0]._jdf.queryExecution().toString()
+    joined = [line for line in plan[plan.index("== Physical") :].splitlines() if "block" in line and "Join" in line]
+    assert joined and all("SortMergeJoin" in line for line in joined)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_tables(spark, make, name):
+    stage, data = dict(corpus_pipeline.STAGES)[name], "/root/testdata/sf0.001"
+    empty = make([])
+    assert stage(spark, empty, data).collect() == []
+    rows = [(1, "a text of some words that nothing else says"), (1, "a text of some words that nothing else says"), (None, None), (None, "text without a number but with words"), (2, ""), (3, "w " * 20_000), (4, "other words of the fourth text here")]
+    out = stage(spark, make(rows).withColumn("source", F.when(F.col("doc_id") > 2, "s")), data)
+    got = {r["doc_id"] for r in out.collect()}
+    assert out.columns == empty.columns if name != "packing" else "sequence_id" in out.columns
+    assert got == ({1, 2, 3, 4, None} if name != "mixing" else {1, 3, 4, None}) or (name == "mixing" and got <= {1, 3, 4, None} and got)
+
+
+def brute_pipeline_filters(rows, rejected):
+    """doc_ids that toxicity, exact dedup and near-dedup keep, the plain way."""
+    kept = [r for r in rows if r[0] not in rejected]
+    first = {}
+    for d, t in sorted(kept):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (d, t))
+    kept = sorted(first.values())
+    from .test_dedup import brute_links
+
+    return {d for d, (_, c) in brute_links(kept, 5).items() if d == c}
+
+
+def test_stages_keep_what_the_definitions_keep(spark):
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, data).cache()
+    left = stages["near_dedup"](spark, stages["exact_dedup"](spark, clean, data).cache(), data)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    rejected = {d for d, _ in rows} - {r["doc_id"] for r in clean.collect()}
+    assert {r["doc_id"] for r in left.collect()} == brute_pipeline_filters(rows, rejected)
+
+
 def test_pipeline(spark):
     data = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{data}/documents.parquet")

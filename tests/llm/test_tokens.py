@@ -6,11 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tarnwell.llm import token_count
 from tarnwell.llm.packing import assigned, packed
 from tarnwell.llm.simple8b import pack, unpack
 from tarnwell.llm.token_count import Counter, token_counts, whole_tokens
@@ -110,7 +110,16 @@ def test_packing(spark, make):
     assert padding < 1024
     assert packed(make([]), PATH).collect() == []
     rows = packed(make(docs), PATH, with_ids=True).collect()
-    assert all(len(r["ids"]) == 4 * r["length"] for r in rows)
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+
+
+def test_packing_keeps_rows_without_an_id(spark, make):
+    docs = [(None, "same " * 30), (None, "same " * 30), (None, None), (1, "word " * 3000), (1, "word " * 3000)]
+    rows = packed(make(docs), PATH).collect()
+    assert sum(r["length"] for r in rows) == sum(len(ids(t)) + 1 for _, t in docs)
+    assert sum(r["start"] == 0 for r in rows) == len(docs) and sum(r["doc_id"] is None for r in rows) >= 3
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:], strict=False))
 
 
 def test_rests_go_to_the_cheapest_sequence_with_room():
@@ -118,12 +127,45 @@ def test_rests_go_to_the_cheapest_sequence_with_room():
     for _ in range(50):
         lengths = np.array([rnd.randint(1, 1023) for _ in range(rnd.randint(1, 60))], np.int64)
         out = assigned(lengths, 1024)
-        used, seen = {}, {}
+        n = -(-int(lengths.sum()) // 1024)
+        cost, room, seen = [0.0] * n, [1024] * n, {}
         for i, start, length, to, offset in out:
-            assert used.get(to, 0) == offset and seen.get(i, 0) == start
-            used[to], seen[i] = offset + length, start + length
-        assert max(used.values()) <= 1024 and len(used) == -(-lengths.sum() // 1024)
-        assert all(seen[i] == n for i, n in enumerate(lengths))
+            assert 1024 - room[to] == offset and seen.get(i, 0) == start
+            fitting = [j for j in range(n) if room[j] >= lengths[i] - start]
+            if fitting:
+                assert length == lengths[i] - start and (start or cost[to] == min(cost[j] for j in fitting))
+            else:
+                assert room[to] == max(room) and length == room[to]
+            room[to] -= length
+            cost[to] += length + length * length / 512
+            seen[i] = start + length
+        assert min(room) >= 0 and all(seen[i] == k for i, k in enumerate(lengths))
+        first = [next(k for k, o in enumerate(out) if o[0] == i) for i in np.argsort(-lengths, kind="stable")]
+        assert first == sorted(first)
     assert assigned(np.zeros(0, np.int64), 1024) == []
-    with pytest.raises(IndexError):
-        assigned(np.array([5]), 1024)[1]
+
+
+def test_long_words_that_polynomials_confuse():
+    """Two words of two letters in Thue-Morse order and its complement hash alike under any polynomial modulo 2^64."""
+    own, count = Encoder(PATH), Counter(PATH, whole_tokens(PATH))
+    for a, b in ("ab", "th", "eq"):
+        for n in (1024, 2048, 4096):
+            word = a
+            while len(word) < n:
+                word += word.translate(str.maketrans(a + b, b + a))
+            texts = [word, word.translate(str.maketrans(a + b, b + a)), word]
+            got, at = own.encode(texts)
+            assert [got[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [ids(t) for t in texts]
+            assert count.counts(texts).tolist() == [len(ids(t)) for t in texts]
+
+
+def test_workers_start_afresh_when_they_know_too_much(monkeypatch):
+    own, count = Encoder(PATH), Counter(PATH, whole_tokens(PATH)[:50])
+    own.known.most = 40
+    monkeypatch.setattr(token_count, "MOST_KNOWN", 60)
+    rnd = random.Random(9)
+    for _ in range(30):
+        texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) + str(rnd.randrange(50)) for _ in range(12)) for _ in range(3)]
+        got, at = own.encode(texts)
+        assert [got[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [ids(t) for t in texts]
+        assert count.counts(texts).tolist() == [len(ids(t)) for t in texts]
