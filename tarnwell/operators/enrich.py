@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import asn  # noqa: F401  part of enrichment, and of readers too
+
 #: Demo networks, most specific first by prefix (cidr, type, asn, time zone, confidence).
 NETWORKS = (
     ("185.220.101.0/24", "hosting", "AS64500", "Europe/Berlin", 0.9),
@@ -33,24 +35,51 @@ def network_table(spark, networks: tuple = NETWORKS) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+#: Blocks of addresses that are broadcast at most; more are joined by a shuffle.
+MOST_BLOCKS = 500_000
+
+
 def range_join(rows: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFrame:
     """Each row with the most specific range that holds its ``ip_number`` (nulls where none does).
 
-    Ranges are cut into blocks of 2^bits addresses and joined by block, so the join has a key and no row
-    meets every range.
+    Ranges are gathered by blocks of 2^bits addresses, the most specific first, so a row finds its range in
+    one join by block, without a shuffle of its own where the blocks are few.
     """
-    blocks = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("first", bits), F.shiftright("last", bits))))
-    keyed = rows.withColumn("block", F.shiftright("ip_number", bits))
-    inside = F.col("ip_number").between(F.col("first"), F.col("last"))
     fields = ["network_type", "net_asn", "zone", "confidence"]
-    hit = keyed.join(blocks, "block").where(inside).groupBy("event_id").agg(F.max_by(F.struct(*fields), "prefix").alias("n")).select("event_id", "n.*")
-    return rows.join(hit, "event_id", "left")
+    cut = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("first", bits), F.shiftright("last", bits))))
+    blocks = cut.groupBy("block").agg(F.sort_array(F.collect_list(F.struct((-F.col("prefix")).alias("order"), "first", "last", *fields))).alias("held"))
+    if blocks.count() <= MOST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    found = rows.withColumn("block", F.shiftright("ip_number", bits)).join(blocks, "block", "left")
+    hit = F.get(F.filter("held", lambda r: F.col("ip_number").between(r["first"], r["last"])), F.lit(0))
+    return found.withColumn("hit", hit).select(*[F.col(c) for c in rows.columns], *[F.col(f"hit.{f}").alias(f) for f in fields])
+
+
+#: Words in an operator's name that tell its kind, anonymisers first.
+ORG_WORDS = {
+    "vpn": ("vpn", "proxy", "anonym", "privacy"),
+    "hosting": ("hosting", "hostco", "cloud", "datacenter", "data center", "digitalocean", "ovh", "hetzner", "amazon", "google llc", "microsoft", "linode", "akamai", "vultr", "choopa", "leaseweb", "contabo", "m247", "colocation", "server"),
+    "mobile": ("mobile", "cellular", "wireless", "telecom", "airtel", "jio", "vodafone"),
+}
+
+
+def classify_org(org: Column) -> Column:
+    """The kind of network that an operator's name speaks of, null if of none."""
+    low, out = F.lower(org), F.lit(None).cast("string")
+    for kind in reversed(list(ORG_WORDS)):
+        out = F.when(low.rlike("|".join(ORG_WORDS[kind])), kind).otherwise(out)
+    return out
+
+
+#: How far a location of a kind of network is to be trusted; an unknown one of low confidence less.
+GEO = {"tor": 0.2, "vpn": 0.3, "hosting": 0.3, "residential": 1.0, "mobile": 1.0, "unknown": 1.0}
+GEO_LOW, GEO_DOUBT = 0.3, 0.7
 
 
 def geo_confidence(network_type: Column, confidence: Column) -> Column:
     """How far a location is to be trusted: 1 where the event was not enriched."""
-    factor = F.when(network_type.isin("vpn", "tor", "proxy"), 0.2).when(network_type == "hosting", 0.3).when(network_type == "mobile", 0.7).otherwise(1.0)
-    return F.when(network_type.isNull(), 1.0).when((network_type == "unknown") & (F.coalesce(confidence, F.lit(0.0)) < 0.3), 0.8).otherwise(factor)
+    factor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in GEO.items() for x in kv]), network_type), F.lit(1.0))
+    return F.when(network_type.isNull(), 1.0).when((network_type == "unknown") & (F.coalesce(confidence, F.lit(0.0)) < GEO_LOW), GEO_DOUBT).otherwise(factor)
 
 
 def platform(agent: Column) -> Column:
@@ -58,11 +87,6 @@ def platform(agent: Column) -> Column:
     return F.concat(F.lit("ua:"), F.when(low.contains("android"), "android").when(low.contains("iphone") | low.contains("ipad"), "ios").when(low.contains("windows"), "windows").when(low.contains("mac"), "macos").when(low.contains("linux"), "linux").otherwise("other"))
 
 
-def asn(text: Column) -> Column:
-    digits = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)AS(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"^\s*(\d+)\s*$", 1), F.lit("")))
-    return F.when(digits.isNotNull(), F.concat(F.lit("AS"), digits.cast("long").cast("string")))
-
-
 def zone_mismatch(us: Column, browser: Column, network: Column) -> Column:
     """Whether two named zones have different offsets at the instant; null or unknown zones never differ."""
     at = F.timestamp_micros(us)

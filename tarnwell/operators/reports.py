@@ -93,3 +93,25 @@ RAIL = {"completed": "CAPTURED", "held": "AUTHORIZED", "blocked": "VOIDED"}
 
 def rail_state(outcome: Column) -> Column:
     return F.coalesce(*[F.when(outcome == k, F.lit(v)) for k, v in RAIL.items()], F.lit("CREATED"))
+
+
+def model_quality(scores: DataFrame, part: str, bins: int = 10) -> DataFrame:
+    """n, positives, pr_auc (average precision), roc_auc and ece of scores (part, p, y: 0 or 1), for each part.
+
+    Scores are counted by value first, so the ordered windows run over distinct values, not over rows; equal
+    scores stand or fall together. Parts without both kinds of label have no areas.
+    """
+    at = F.least(F.lit(bins - 1), F.floor(F.col("p") * bins))
+    ece = scores.groupBy(part, at.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mp"), F.avg("y").alias("my"))
+    ece = ece.groupBy(part).agg((F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n")).alias("ece"))
+    values = scores.groupBy(part, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    falling, whole = Window.partitionBy(part).orderBy(F.desc("p")), Window.partitionBy(part)
+    values = values.withColumns({
+        "tp": F.sum("pos").over(falling), "seen": F.sum("n").over(falling), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum(F.col("n") - F.col("pos")).over(whole),
+    })
+    below = F.col("all_neg") - (F.col("seen") - F.col("tp")) + (F.col("n") - F.col("pos")) / 2
+    found = values.groupBy(part).agg(
+        F.sum("n").alias("n"), F.sum("pos").alias("positives"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.first("all_pos")).alias("pr_auc"),
+        F.try_divide(F.sum(F.col("pos") * below), F.first("all_pos") * F.first("all_neg")).alias("roc_auc"),
+    )
+    return found.join(ece, part)

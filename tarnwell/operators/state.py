@@ -7,12 +7,16 @@ one key from part to part, so memory does not grow with a key's events; one key'
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
+#: Networks that hide who is behind them.
+ANONYMISING = ("hosting", "vpn", "tor")
 
 
 def folded(rows: DataFrame, key: str, order: list[str], start: Callable, schema: str) -> DataFrame:
@@ -73,6 +77,8 @@ class Session:
             old, new = self.seen.get(f), event.get(f)
             if old and new and old != new and not (f == "network_type" and "unknown" in (old, new)):
                 mask |= self.bits[f]
+        if mask & 3 and event.get("network_type") in ANONYMISING and self.seen.get("network_type") not in ANONYMISING:
+            mask |= 64
         suspicious = bool(mask & 3) and bool(mask & 60)
         signature = tuple(event.get(f) for f in self.fields)
         report = suspicious and signature not in self.reported
@@ -141,3 +147,31 @@ def reliability_updates(feedback: DataFrame, half_life_days: float = 30.0, most:
         return (a, b, last, used), pd.DataFrame(out, columns=["detector", "us", "alpha", "beta"])
 
     return folded(feedback, "detector", ["us", "d_alpha", "d_beta"], start, "detector string, us long, alpha double, beta double")
+
+
+def chained(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(event_id, row_hash, prev_hash) of an audit log: a row's hash is of the hash before it in its chain and of
+    its body, so a row that is changed or taken out breaks the chain from there on."""
+
+    def start():
+        last = ""
+
+        def fold(own: pd.DataFrame) -> pd.DataFrame:
+            nonlocal last
+            found, before = [], []
+            for body in own["body"]:
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{body}".encode()).hexdigest()
+                found.append(last)
+            return pd.DataFrame({"event_id": own["event_id"], "row_hash": found, "prev_hash": before})
+
+        return fold
+
+    return folded(rows, key, order, start, "event_id long, row_hash string, prev_hash string")
+
+
+def broken(log: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows of an audit log (key, order, event_id, body, row_hash, prev_hash) that their hashes do not bear out."""
+    before = F.coalesce(F.lag("row_hash").over(Window.partitionBy(key).orderBy(*order)), F.lit(""))
+    own = F.sha2(F.concat_ws("|", F.col("prev_hash"), F.col("body")), 256)
+    return log.withColumns({"linked": before == F.col("prev_hash"), "own": own}).where((F.col("own") != F.col("row_hash")) | ~F.col("linked")).drop("linked", "own")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import detectors, enrich, features, state
+from ..operators import detectors, enrich, features, reports, state
 from ..sources.bridge import EVENTS_SQL, events, ordered, table
 from . import feature_queries as fq
 from .registry import query
@@ -180,7 +180,7 @@ IPS = "concat_ws('.', CASE k % 4 WHEN 0 THEN '192.0.2' WHEN 1 THEN '198.51.100'
 
 
 @query("j6_pf5_network_ranges", f"""WITH {EVENTS_SQL}, r AS (SELECT *, {IPS} AS raw FROM ev), n(prefix, network_type, zone, confidence) AS (VALUES ('185.220.101.', 'hosting', 'Europe/Berlin', 0.9), ('192.0.2.', 'vpn', 'Europe/Amsterdam', 0.9), ('198.51.100.', 'tor', 'Europe/Berlin', 0.9), ('203.0.113.', 'hosting', 'America/New_York', 0.9), ('49.207.10.', 'mobile', 'Asia/Kolkata', 0.8), ('103.21.4.', 'mobile', 'Asia/Kolkata', 0.8))
-SELECT event_id, raw, network_type, zone, confidence::DOUBLE AS confidence, (CASE WHEN network_type IN ('vpn', 'tor') THEN 0.2 WHEN network_type = 'hosting' THEN 0.3 WHEN network_type = 'mobile' THEN 0.7 ELSE 1.0 END)::DOUBLE AS geo FROM r LEFT JOIN n ON starts_with(raw, prefix)""")
+SELECT event_id, raw, network_type, zone, confidence::DOUBLE AS confidence, (CASE network_type WHEN 'tor' THEN 0.2 WHEN 'vpn' THEN 0.3 WHEN 'hosting' THEN 0.3 ELSE 1.0 END)::DOUBLE AS geo FROM r LEFT JOIN n ON starts_with(raw, prefix)""")
 def _(spark, sf_dir):
     k = F.col("k")
     block = F.when(k % 4 == 0, "192.0.2").when(k % 4 == 1, "198.51.100").when(k % 4 == 2, "49.207.10").otherwise(F.concat(F.lit("10.1."), k % 7))
@@ -283,6 +283,24 @@ def _(spark, sf_dir):
     return some("kind = 'transaction'").union(some("kind = 'payee_added'")).distinct().subtract(some("kind = 'mfa_change'"))
 
 
+@query("snk4_audit_chain", f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT event_id, k // 10 AS chain, event_id || '|' || kind AS body, row_number() OVER (PARTITION BY k // 10 ORDER BY event_id) AS n FROM ev),
+c AS (SELECT chain, n, event_id, '' AS prev_hash, sha256('' || '|' || body) AS row_hash FROM r WHERE n = 1 UNION ALL SELECT r.chain, r.n, r.event_id, c.row_hash, sha256(c.row_hash || '|' || r.body) FROM c JOIN r ON r.chain = c.chain AND r.n = c.n + 1)
+SELECT event_id, row_hash, prev_hash FROM c""")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.floor(F.col("k") / 10).alias("chain"), F.concat_ws("|", F.col("event_id").cast("string"), "kind").alias("body"))
+    return state.chained(rows, "chain", ["event_id"])
+
+
+@query("a10_model_quality", f"""WITH {EVENTS_SQL}, s AS (SELECT event_id, (k + 0.5) / 100.0::DOUBLE AS p, CAST(value > 20 AS INTEGER) AS y, CASE WHEN kind = 'login' THEN 'login' ELSE 'other' END AS part FROM ev),
+b AS (SELECT part, CAST(least(9, floor(p * 10)) AS BIGINT) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM s GROUP BY 1, 2), ece AS (SELECT part, sum(n * abs(mp - my)) / sum(n) AS ece FROM b GROUP BY 1),
+v AS (SELECT part, p, count(*) AS n, sum(y) AS pos FROM s GROUP BY 1, 2),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY part) AS allpos, sum(n - pos) OVER (PARTITION BY part) AS allneg FROM v WINDOW w AS (PARTITION BY part ORDER BY p DESC))
+SELECT c.part, CAST(sum(n) AS BIGINT) AS n, CAST(any_value(allpos) AS BIGINT) AS positives, round(sum(pos * (tp / seen)) / any_value(allpos), 6) AS pr_auc, round(sum(pos * (allneg - fp + (n - pos) / 2.0)) / (any_value(allpos) * any_value(allneg)), 6) AS roc_auc, round(any_value(ece.ece), 6) AS ece FROM c JOIN ece USING (part) GROUP BY 1""")
+def _(spark, sf_dir):
+    part = F.when(F.col("kind") == "login", "login").otherwise("other").alias("part")
+    return reports.model_quality(events(spark, sf_dir).select(part, ((F.col("k") + 0.5) / 100.0).alias("p"), (F.col("value") > 20).cast("int").alias("y")), "part")
+
+
 @query("snk4_audit_links", f"""WITH {EVENTS_SQL}, r AS (SELECT event_id, k // 10 AS chain, sha256(event_id || '|' || kind) AS row_hash FROM ev)
 SELECT event_id, row_hash, coalesce(lag(row_hash) OVER (PARTITION BY chain ORDER BY event_id), '') AS prev_hash FROM r""")
 def _(spark, sf_dir):
