@@ -5,9 +5,8 @@ is the sum, over all ways to cut it into pieces, of the product of the pieces' p
 forward pass over the word's places sums them all. A text's score for a language is the product over
 its words, and the prediction is the language of the highest posterior under equal priors.
 
-Words are runs of letters and marks in lower case, runs of more than ``LONGEST`` code points cut; each
-stands with the vocabulary's mark of a word start before it. A letter that is no piece costs ``RARE``
-in every language.
+Words are runs of letters and marks in lower case, of any length; each stands with the vocabulary's
+mark of a word start before it. A letter that is no piece costs ``RARE`` in every language.
 
 Piece probabilities are learned by expectation maximisation: expected piece counts come from a forward
 and a backward pass over the distinct words of a sample of labelled texts (at most about
@@ -17,11 +16,12 @@ and a backward pass over the distinct words of a sample of labelled texts (at mo
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +30,12 @@ from sentencepiece import SentencePieceProcessor
 from . import textscan as ts
 from .common import crc_remainder, slices, stable
 
-LONGEST, RARE, SMOOTHING = 24, 1e-8, 0.01
+RARE, SMOOTHING = 1e-8, 0.01
 MOST_DOCUMENTS, ROUNDS = 1500, 3
 WORD_START = "▁"
 MARK = ts.NUMBER
-#: Words times languages whose probabilities a worker keeps before it starts afresh.
-MOST_KEPT = 6 << 20
+#: Words times languages whose probabilities a worker keeps before it starts afresh; letters summed at once.
+MOST_KEPT, LETTERS = 4 << 20, 1 << 18
 
 
 def _kind(c: str) -> int:
@@ -45,11 +45,12 @@ def _kind(c: str) -> int:
 _classes = ts.Classes(_kind)
 
 
+@lru_cache(maxsize=4)
 def vocabulary(path: str) -> list[str]:
     """The vocabulary's pieces that lower-case words can hold."""
     model = SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    return sorted(p for p in pieces if p == p.lower() and all(unicodedata.category(c)[0] in "LM" for c in p.removeprefix(WORD_START)) and len(p) <= LONGEST + 1)
+    return sorted(p for p in pieces if p == p.lower() and all(unicodedata.category(c)[0] in "LM" for c in p.removeprefix(WORD_START)))
 
 
 def _steps(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -57,64 +58,118 @@ def _steps(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return ts.mixed(h * np.uint64(0x9E3779B97F4A7C15) + codes.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
 
 
+@dataclass
+class Words:
+    """Words one after the other, each with the mark of a start: code points, where each begins, sizes."""
+
+    codes: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray
+
+    def left(self) -> np.ndarray:
+        """Code points from each place to its word's end."""
+        return np.repeat(self.at + self.sizes, self.sizes) - np.arange(len(self.codes))
+
+
 class Lattice:
-    """Finds the pieces at every place of many words at once, and sums over segmentations."""
+    """Finds the pieces at every place of many words at once, and sums over segmentations.
+
+    Words come as one array of code points, the longest word first, each with its mark of a start.
+    """
 
     def __init__(self, pieces: list[str]):
-        self.unknown = len(pieces)
-        known: dict[int, int] = {}
-        for i, piece in enumerate(pieces):
-            h = np.zeros(1, np.uint64)
-            for c in piece:
-                h = _steps(h, np.array([ord(c)]))
-                known.setdefault(int(h[0]), len(pieces))
-            known[int(h[0])] = i
+        self.unknown, self.widest = len(pieces), max(map(len, pieces), default=1)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at = np.cumsum(sizes) - sizes
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        h, keys, values = np.zeros(len(pieces), np.uint64), [], []
+        for n in range(self.widest):
+            own = np.flatnonzero(sizes > n)
+            h[own] = _steps(h[own], codes[at[own] + n])
+            keys.append(h[own])
+            values.append(np.where(sizes[own] == n + 1, own, len(pieces)))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        # a prefix that is a piece itself stands for that piece, the others for none
+        order = np.lexsort((values, keys))
+        first = np.append(True, keys[order][1:] != keys[order][:-1])[: len(order)]
         self.index = ts.HashIndex()
-        self.index.put(np.array(list(known), np.uint64), np.array(list(known.values()), np.int32))
-
-    def arcs(self, words: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, words, pieces) in order of ``from``; each letter has at least the unknown piece."""
-        out = []
-        for i in range(words.shape[1]):
-            alive = np.flatnonzero(lengths > i)
+        self.index.put(keys[order][first], values[order][first].astype(np.int32))
+
+    def pieces(self, codes: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 1 on: the places where a piece of that length starts, and the piece.
+
+        left: code points from each place to its word's end. A single letter that is no piece is the
+        unknown one.
+        """
+        out, alive, h = [], np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for n in range(self.widest):
+            h = _steps(h, codes[alive + n])
+            found = self.index.get(h)
+            hit = (found >= 0) & (found < self.unknown)
+            out.append((alive[hit], found[hit]) if n else (alive, np.where(hit, found, self.unknown)))
+            on = (found >= 0) & (left[alive] > n + 1)
+            alive, h = alive[on], h[on]
             if not len(alive):
                 break
-            h = np.zeros(len(alive), np.uint64)
-            for j in range(i, words.shape[1]):
-                h = _steps(h, words[alive, j])
-                found = self.index.get(h)
-                hit = (found >= 0) & (found < self.unknown)
-                if j == i:
-                    out.append((i, j + 1, alive, np.where(hit, found, self.unknown)))
-                elif hit.any():
-                    out.append((i, j + 1, alive[hit], found[hit]))
-                on = (found >= 0) & (lengths[alive] > j + 1)
-                alive, h = alive[on], h[on]
-                if not len(alive):
-                    break
         return out
 
-    def log_probabilities(self, words: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Log probability of each word in each language; p: pieces and the unknown one, by language."""
-        forward = np.zeros((words.shape[1] + 1, len(words), p.shape[1]))
-        forward[0] = 1
-        for i, j, w, piece in self.arcs(words, lengths):
-            forward[j, w] += forward[i, w] * p[piece]
-        return np.log(np.maximum(forward[lengths, np.arange(len(words))], 1e-300))
-
-    def expected(self, words: np.ndarray, lengths: np.ndarray, counts: np.ndarray, language: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces by language over words of a known language."""
-        arcs = self.arcs(words, lengths)
-        forward, backward = np.zeros((2, words.shape[1] + 1, len(words)))
-        forward[0], backward[lengths, np.arange(len(words))] = 1, 1
-        for i, j, w, piece in arcs:
-            forward[j, w] += forward[i, w] * p[piece, language[w]]
-        for i, j, w, piece in reversed(arcs):
-            backward[i, w] += backward[j, w] * p[piece, language[w]]
-        share = counts / np.maximum(forward[lengths, np.arange(len(words))], 1e-300)
+    def forward(self, words: Words, p: np.ndarray, language: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log probability of each word in each language (or in its own), and with ``language`` that of
+        what lies before each place.
+
+        A place's sum goes to the next ``widest`` places, so a ring of them is all that is kept; it is
+        scaled at each place, so that no word is too long.
+        """
+        k = p.shape[1] if language is None else 1
+        arcs = np.full((self.widest, len(words.codes)), -1, np.int32)
+        for n, (at, piece) in enumerate(self.pieces(words.codes, words.left())):
+            arcs[n, at] = piece
+        ring, scale = np.zeros((self.widest + 1, len(words.sizes), k)), np.zeros((len(words.sizes), k))
+        ring[0] = 1
+        before = np.zeros(len(words.codes)) if language is not None else None
+        for i in range(int(words.sizes[0]) if len(words.sizes) else 0):
+            n = int(np.searchsorted(-words.sizes, -i))  # words of more than i code points come first
+            at, now = words.at[:n] + i, ring[i % len(ring), :n].copy()
+            ring[:, :n] /= now
+            scale[:n] += np.log(now)
+            ring[i % len(ring), :n] = 0
+            if before is not None:
+                before[at] = scale[:n, 0]
+            for m in range(self.widest):
+                piece = arcs[m, at]
+                hit = np.flatnonzero(piece >= 0)
+                if not len(hit):
+                    continue
+                chance = p[piece[hit]] if language is None else p[piece[hit], language[hit]][:, None]
+                ring[(i + m + 1) % len(ring), hit] += chance
+        end = ring[words.sizes % len(ring), np.arange(len(words.sizes))]
+        return scale + np.log(end), before
+
+    def expected(self, words: Words, counts: np.ndarray, language: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected counts of pieces by language over words of a known language.
+
+        What lies behind a place is what lies before its mirror image in the reversed lattice; here it
+        is summed from each word's end on with logarithms.
+        """
+        total, before = self.forward(words, p, language)
+        owner = np.repeat(np.arange(len(words.sizes)), words.sizes)
+        arcs = [(at, at + n + 1, piece, np.log(p[piece, language[owner[at]]])) for n, (at, piece) in enumerate(self.pieces(words.codes, words.left()))]
+        behind = np.full(len(words.codes) + len(words.sizes), -np.inf)  # a place more for each word: its end
+        shift = owner
+        behind[words.at + words.sizes + np.arange(len(words.sizes))] = 0
+        by_left = [np.argsort(words.left()[at], kind="stable") for at, *_ in arcs]
+        edges = [np.searchsorted(words.left()[at][order], np.arange(int(words.sizes[0]) + 2)) for (at, *_), order in zip(arcs, by_left, strict=True)]
+        for left in range(1, int(words.sizes[0]) + 1):
+            for (at, to, _, log_p), order, edge in zip(arcs, by_left, edges, strict=True):
+                own = order[edge[left] : edge[left + 1]]
+                if len(own):
+                    a, b = at[own] + shift[at[own]], to[own] + shift[at[own]]
+                    behind[a] = np.logaddexp(behind[a], log_p[own] + behind[b])
         out = np.zeros(p.size)
-        for i, j, w, piece in arcs:
-            out += np.bincount(piece * p.shape[1] + language[w], forward[i, w] * p[piece, language[w]] * backward[j, w] * share[w], p.size)
+        for at, to, piece, log_p in arcs:
+            w = owner[at]
+            share = counts[w] * np.exp(before[at] + log_p + behind[to + shift[at]] - total[w, 0])
+            out += np.bincount(piece * p.shape[1] + language[w], share, p.size)
         return out.reshape(p.shape)
 
 
@@ -123,27 +178,20 @@ def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     codes = ts.code_points([t.lower() for t in texts])
     kinds = _classes.of(codes)
     starts, ends = ts.runs((kinds == ts.LETTER) | (kinds == MARK))
-    cuts = -(-(ends - starts) // LONGEST)
-    if len(cuts) and cuts.max() > 1:
-        nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        starts, ends = np.repeat(starts, cuts) + nth * LONGEST, np.repeat(ends, cuts)
-        ends = np.minimum(ends, starts + LONGEST)
     breaks = np.flatnonzero(kinds == ts.SEPARATED)
     letters = np.bincount(np.searchsorted(breaks, np.flatnonzero(kinds == ts.LETTER)), minlength=len(texts)) > 0
     return codes, starts, ends, np.searchsorted(breaks, starts), letters
 
 
-def matrix(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words with the mark of a word start, one a row, and their lengths."""
-    lengths = ends - starts + 1
-    place = starts[:, None] + np.arange(-1, lengths.max() - 1 if len(lengths) else 0)
-    words = codes[np.clip(place, 0, max(len(codes) - 1, 0))] if len(codes) else np.zeros((0, 1), np.uint32)
-    words[:, :1] = ord(WORD_START)
-    return words, lengths
-
-
-def in_parts(n: int, size: int = 16384) -> Iterator[slice]:
-    return (slice(i, min(i + size, n)) for i in range(0, n, size))
+def in_parts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, Words]]:
+    """Words by falling length in parts of about ``LETTERS`` code points, or one word: (which, the words)."""
+    order = np.argsort(starts - ends, kind="stable")
+    part = np.cumsum((ends - starts + 1)[order]) // LETTERS
+    for which in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else ():
+        place, inner, to = ts.flat(starts[which] - 1, ends[which])
+        own = codes[np.maximum(place, 0)]
+        own[to[:-1]] = ord(WORD_START)
+        yield which, Words(own, to[:-1], np.diff(to))
 
 
 @dataclass
@@ -174,18 +222,17 @@ def learn(docs: DataFrame, path: str, most_documents: int = MOST_DOCUMENTS, roun
         for part in slices(batches):
             codes, starts, ends, document, _ = word_spans(part.column("text").to_pylist())
             language = part.column("language").to_numpy()[document].astype(np.int64)
-            own = pd.DataFrame({"h": ts.span_hashes(codes, starts, ends), "language": language})
-            first = own.assign(at=np.arange(len(own))).groupby(["h", "language"])["at"].agg(["first", "size"]).reset_index()
-            at = first["first"].to_numpy()
-            texts = [codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[at], ends[at], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(first["language"], pa.int32()), pa.array(texts, pa.string()), pa.array(first["size"], pa.int64())], ["language", "word", "n"])
+            number = ts.SpanTable(1 << 62).numbers(codes, starts, ends, lambda first, at: None)
+            keys, first, n = np.unique(number.astype(np.int64) * len(languages) + language, return_index=True, return_counts=True)
+            texts = [codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[first], ends[first], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys % len(languages), pa.int32()), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["language", "word", "n"])
 
     counted = stable(sample.mapInArrow(count, "language int, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n")))
     p = np.full((len(pieces) + 1, len(languages)), 1 / len(pieces))
-    p[-1] = RARE
+    p[-1], name = RARE, f"lattice {path}"
     for _ in range(rounds):
         expected = np.zeros(p.shape)
-        for part in counted.mapInArrow(_expectation(pieces, p), "language int, piece int, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        for part in counted.mapInArrow(_expectation(pieces, p, name), "language int, piece int, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).toArrow().to_batches():
             language, piece, n = (part.column(c).to_numpy() for c in ("language", "piece", "n"))
             expected[piece, language] = n
         expected = expected[:-1] + SMOOTHING
@@ -193,15 +240,25 @@ def learn(docs: DataFrame, path: str, most_documents: int = MOST_DOCUMENTS, roun
     return Model(pieces, languages, p)
 
 
-def _expectation(pieces: list[str], p: np.ndarray):
+_workers: dict[str, object] = {}
+
+
+def kept_by_worker(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once per worker process and kept until another name comes."""
+    if name not in _workers:
+        _workers.clear()
+        _workers[name] = make()
+    return _workers[name]
+
+
+def _expectation(pieces: list[str], p: np.ndarray, name: str):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(pieces), np.zeros(p.shape)
+        lattice, total = kept_by_worker(name, lambda: Lattice(pieces)), np.zeros(p.shape)
         for batch in batches:
             codes, starts, ends, document, _ = word_spans(batch.column("word").to_pylist())
-            language, n = batch.column("language").to_numpy()[document], batch.column("n").to_numpy()[document]
-            for own in in_parts(len(starts)):
-                words, lengths = matrix(codes, starts[own], ends[own])
-                total += lattice.expected(words, lengths, n[own].astype(float), language[own].astype(np.int64), p)
+            language, n = batch.column("language").to_numpy()[document].astype(np.int64), batch.column("n").to_numpy()[document].astype(float)
+            for which, words in in_parts(codes, starts, ends):
+                total += lattice.expected(words, n[which], language[which], p)
         piece, language = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(language, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[piece, language])], ["language", "piece", "n"])
 
@@ -213,30 +270,20 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.pieces)
-        self.reset()
-
-    def reset(self) -> None:
-        self.index, self.kept, self.n = ts.HashIndex(), np.zeros((1024, len(self.model.languages)), np.float32), 0
+        self.known = ts.SpanTable(MOST_KEPT // max(1, len(model.languages)))
+        self.kept = np.zeros((1024, len(model.languages)), np.float32)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text by language, and whether it has a letter."""
         codes, starts, ends, document, letters = word_spans(texts)
-        hashes = ts.span_hashes(codes, starts, ends)
-        found = self.index.get(hashes)
-        if len(missing := np.flatnonzero(found < 0)):
-            if self.n * max(1, self.kept.shape[1]) > MOST_KEPT:
-                self.reset()
-                missing = np.arange(len(hashes))
-            new, first = np.unique(hashes[missing], return_index=True)
-            at = missing[first]
-            while self.n + len(new) > len(self.kept):
+
+        def learn(first: int, at: np.ndarray) -> None:
+            while first + len(at) > len(self.kept):
                 self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
-            for own in in_parts(len(at)):
-                words, lengths = matrix(codes, starts[at[own]], ends[at[own]])
-                self.kept[self.n + own.start : self.n + own.stop] = self.lattice.log_probabilities(words, lengths, self.model.p)
-            self.index.put(new, np.arange(self.n, self.n + len(new), dtype=np.int32))
-            self.n += len(new)
-            found = self.index.get(hashes)
+            for which, words in in_parts(codes, starts[at], ends[at]):
+                self.kept[first + which] = self.lattice.forward(words, self.model.p)[0]
+
+        found = self.known.numbers(codes, starts, ends, learn) if self.model.languages else starts
         totals = [np.bincount(document, self.kept[found, k], len(texts)) for k in range(self.kept.shape[1])]
         return np.stack(totals, axis=1) if totals else np.zeros((len(texts), 0)), letters
 
@@ -249,8 +296,10 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
     name; repeated rows are predicted alike; an empty table gives an empty result.
     """
 
+    name = f"scorer {uuid.uuid4().hex}"
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = kept_by_worker(name, lambda: Scorer(model))
         names = np.array([*model.languages, "und"], object)
         for part in slices(batches):
             total, letters = scorer.scores(part.column("text").fill_null("").to_pylist())

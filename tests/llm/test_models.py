@@ -1,6 +1,5 @@
 """Language identification and toxicity: brute-force scores and held-out accuracy."""
 
-import itertools
 import math
 import zlib
 
@@ -16,8 +15,10 @@ from tarnwell.llm import toxicity as tox
 DATA = "/root/testdata/sf0.001"
 
 
-def marked(word):
-    return np.array([[ord(c) for c in li.WORD_START + word]], np.uint32), np.array([len(word) + 1])
+def marked(*words):
+    own = [li.WORD_START + w for w in words]
+    sizes = np.array([len(w) for w in own])
+    return li.Words(np.array([ord(c) for w in own for c in w], np.uint32), np.cumsum(sizes) - sizes, sizes)
 
 
 def segmentations(text, pieces):
@@ -36,18 +37,60 @@ def test_forward_pass_sums_all_segmentations():
     lattice = li.Lattice(pieces)
     place = {x: i for i, x in enumerate(pieces)}
     for word in ("abc", "abcabc", "xab", "", "cab"):
-        words, lengths = marked(word)
-        got = lattice.log_probabilities(words, lengths, p)[0]
+        words = marked(word)
+        got = lattice.forward(words, p)[0][0]
         for k in range(2):
             total = sum(math.prod(p[place.get(s, -1), k] for s in cut) for cut in segmentations(li.WORD_START + word, place))
             assert got[k] == pytest.approx(math.log(total))
-        expected = lattice.expected(words, lengths, np.array([2.0]), np.array([1]), p)
+        expected = lattice.expected(words, np.array([2.0]), np.array([1]), p)
         cuts = list(segmentations(li.WORD_START + word, place))
         weights = [math.prod(p[place.get(s, -1), 1] for s in cut) for cut in cuts]
         assert expected.sum() == pytest.approx(2 * sum(w * len(c) for w, c in zip(weights, cuts, strict=True)) / sum(weights))
         assert expected[:, 0].sum() == 0
 
 
+def test_words_of_many_lengths_are_summed_together():
+    pieces = ["a", "ab", "aba", "b", "▁", "▁a"]
+    p = np.append(np.linspace(0.05, 0.2, len(pieces)), li.RARE)[:, None] * np.array([[1.0, 0.7, 1e-5]])
+    lattice = li.Lattice(pieces)
+    words = ["ab" * 4, "abaab", "ab", "b", ""]
+    got = lattice.forward(marked(*words), p)[0]
+    for w, row in zip(words, got, strict=True):
+        assert row == pytest.approx(lattice.forward(marked(w), p)[0][0])
+    whole = lattice.expected(marked(*words), np.arange(1.0, 6), np.array([0, 1, 2, 0, 1]), p)
+    parts = sum(lattice.expected(marked(w), np.array([i + 1.0]), np.array([k]), p) for i, (w, k) in enumerate(zip(words, (0, 1, 2, 0, 1), strict=True)))
+    assert whole == pytest.approx(parts)
+
+
+def test_a_long_run_is_summed_whole():
+    """A run of 3,000 letters against the forward recurrence in logarithms, without any cut in it."""
+    pieces = ["a", "ab", "ba", "aab", "b", "▁", "▁a"]
+    p = np.append(np.linspace(0.05, 0.2, len(pieces)), li.RARE)[:, None]
+    word = ("aabab" * 600)[:3000] + "c"
+    text, place = li.WORD_START + word, {x: i for i, x in enumerate(pieces)}
+    logs = [0.0] + [-math.inf] * len(text)
+    for i in range(len(text)):
+        for n in range(1, 4):
+            if i + n <= len(text) and (text[i : i + n] in place or n == 1):
+                logs[i + n] = np.logaddexp(logs[i + n], logs[i] + math.log(p[place.get(text[i : i + n], -1), 0]))
+    assert li.Lattice(pieces).forward(marked(word), p)[0][0, 0] == pytest.approx(logs[-1])
+    assert np.isfinite(li.Lattice(pieces).expected(marked(word), np.ones(1), np.zeros(1, int), p)).all()
+
+
+def test_predictions_are_those_of_the_forward_sums(spark, make):
+    """Each prediction from the word sums of its text alone, one text and word at a time."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "c"]
+    p = np.array([[0.3, 0.1], [0.1, 0.2], [0.2, 0.1], [0.1, 0.3], [0.2, 0.2], [0.1, 0.1], [li.RARE, li.RARE]])
+    model = li.Model(pieces, ["x", "y"], p)
+    rows = [(i, t) for i, t in enumerate(["ab ab c", "bb b", "a-ab1c", "Q zz", "ab" * 40, "", None, "12"])]
+    lattice = li.Lattice(pieces)
+    for r in li.language_id(make(rows), model).collect():
+        words = "".join(c if c.isalpha() else " " for c in (dict(rows)[r["doc_id"]] or "").lower()).split()
+        total = sum((lattice.forward(marked(w), p)[0][0] for w in words), np.zeros(2))
+        assert r["lang_pred"] == ("xy"[int(total.argmax())] if words else "und")
+        assert r["score"] == pytest.approx(1 / np.exp(total - total.max()).sum() if words else 0.0, abs=1e-6)
+
+
 def test_language_id(spark, make):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = li.learn(docs, public_tokenizers.path("piece_bpe_32k.model"), most_documents=60, rounds=2)
@@ -64,9 +107,9 @@ def test_language_id(spark, make):
     assert {r["lang_pred"] for r in li.language_id(make(odd), none).collect()} == {"und"}
 
 
-def test_word_spans_cut_long_runs():
+def test_word_spans_keep_long_runs():
     _, starts, ends, document, letters = li.word_spans(["ab c", "x" * 60, "", "1"])
-    assert (ends - starts).tolist() == [2, 1, 24, 24, 12] and document.tolist() == [0, 0, 1, 1, 1] and letters.tolist() == [True, True, False, False]
+    assert (ends - starts).tolist() == [2, 1, 60] and document.tolist() == [0, 0, 1] and letters.tolist() == [True, True, False, False]
 
 
 def test_hash_index_and_spans():
@@ -129,7 +172,43 @@ def test_noisy_or_is_the_product(spark):
         units = [1 / (1 + math.exp(-x)) for x, owner in zip(z, words.unit_document, strict=True) if owner == d]
         assert got[d] == pytest.approx(1 - 0.95 * math.prod(1 - u for u in units))
     assert got[-1] == pytest.approx(0.05)
-    assert list(itertools.accumulate([1])) == [1]
+
+
+def test_offsets_are_those_of_the_text_as_it_is(spark, make):
+    model = tox.Model(tox.words_of(["scum"]).features[0], np.array([9.0]), -2.0, 0.0)
+    rows = [(1, "İİİ scum here. Fine"), (2, "ok. SCUM!"), (3, None)]
+    got = {r["doc_id"]: (r["start"], r["end"], r["unit"]) for r in tox.offending(make(rows), model).collect()}
+    assert got == {1: (0, 13, "İİİ scum here"), 2: (4, 8, "SCUM")}
+
+
+def test_the_sample_is_bounded_by_bytes(spark, make):
+    docs, labels = toxic_corpus()
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    size = sum(len(t) for _, t in docs)
+    drawn = tox.sampled(make(docs), frame, 10_000, size // 4)
+    assert 0.1 * size < drawn.agg(F.sum(F.octet_length("text"))).first()[0] < 0.45 * size
+    assert 50 < tox.sampled(make(docs), frame, 100, size).count() < 160
+    assert tox.sampled(make(docs), frame, 400, size).count() == 400
+    assert tox.sampled(make([(1, "x" * (tox.LONGEST + 1)), (2, None)]), frame, 400, size).count() == 1
+
+
+def test_fit_without_a_chosen_word(spark, make):
+    """Labels that no word explains leave a model without weights."""
+    docs = [(i, "same words in every text") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = tox.fit(make(docs), labels)
+    assert len(model.keys) == 0
+    assert all(0 <= r["score"] <= 1 for r in tox.toxicity_scores(make([*docs, (None, None)]), model).collect())
+
+
+def test_clean_documents_keep_nulls_and_empty_tables(spark, make):
+    docs, labels = toxic_corpus()
+    frame = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    odd = make([*docs, (None, None), (900, ""), (None, "quiet river")])
+    kept = tox.clean_documents(odd, frame)
+    assert sum(r["doc_id"] is None for r in kept.collect()) == 2 and kept.where("doc_id = 900").count() == 1
+    assert tox.clean_documents(make([]), frame).collect() == []
+
 
 
 def test_one_kind_of_label_gives_its_share(spark, make):
