@@ -101,7 +101,11 @@ def timeline(evidence: DataFrame, config: Config = Config()) -> DataFrame:
         "txn_sure": F.coalesce(F.col("sure_at") > F.coalesce("disarmed", F.lit(-1)), F.lit(False)),
         "s2_then_payee": F.coalesce(F.col("positioned") > F.coalesce("disarmed", F.lit(-1)), F.lit(False)),
     })
-    bonus = F.when(F.col("ato1"), 0.5).otherwise(0.0) + F.when(F.col("ato2"), 0.5).otherwise(0.0) + F.when(F.col("app"), 1.0).otherwise(0.0)
+    if "entities" in evidence.columns:
+        rows = rows.join(cloud_hits(rows), ["case_id", "evidence_id"], "left").withColumn("cloud", hit(F.coalesce("cloud_hit", F.lit(False))))
+    else:
+        rows = rows.withColumn("cloud", F.lit(False))
+    bonus = F.when(F.col("cloud"), 0.3).otherwise(0.0) + F.when(F.col("ato1"), 0.5).otherwise(0.0) + F.when(F.col("ato2"), 0.5).otherwise(0.0) + F.when(F.col("app"), 1.0).otherwise(0.0)
     rows = rows.withColumn("log_odds", logit(F.lit(config.base_rate)) + F.sum("gain").over(case) + bonus)
     rows = rows.withColumn("p_attack", sigmoid(F.col("log_odds")))
     raw = band(F.col("p_attack"), config.medium_band, config.high_band, config.critical_band)
@@ -111,12 +115,19 @@ def timeline(evidence: DataFrame, config: Config = Config()) -> DataFrame:
         "case_id", "evidence_id", "us", "customer", "detector", "stage", "reasons", "weight", "gain", "log_odds", "p_attack", "amount",
         raw.alias("band_before_floors"),
         F.element_at(F.array(*[F.lit(b) for b in BANDS]), floor.cast("int")).alias("band"),
-        named([("ato1", "pat_ATO1"), ("app", "pat_APP_SCAM1"), ("ato2", "pat_ATO2")]).alias("patterns"),
+        named([("ato1", "pat_ATO1"), ("cloud", "pat_CASE_IP_CLOUD"), ("app", "pat_APP_SCAM1"), ("ato2", "pat_ATO2")]).alias("patterns"),
         named([("denied", "floor_CUSTOMER_DENIED"), ("seed_payee", "floor_SEED_PAYEE"), ("three_stages", "floor_THREE_STAGES"), ("s2_then_payee", "floor_S2_THEN_NEW_PAYEE"), ("txn_sure", "floor_TXN_HIGH_CONFIDENCE")]).alias("floors"),
         F.coalesce(F.sum(F.when(F.col("stage") == "S6_MONETIZATION", F.col("amount"))).over(case), F.lit(0)).alias("amount_at_risk"),
     )
 
 
+def cloud_hits(rows: DataFrame) -> DataFrame:
+    """(case_id, evidence_id, cloud_hit): positive cloud items whose ip an earlier positive item of their case has shown."""
+    live = rows.where("weight > 0").select("case_id", "evidence_id", "us", "detector", F.explode("entities").alias("token")).where(F.col("token").startswith("ip:"))
+    before = F.row_number().over(Window.partitionBy("case_id", "token").orderBy("us", "evidence_id")) > 1
+    return live.withColumn("cloud_hit", before).where("cloud_hit and detector = 'cyber'").select("case_id", "evidence_id", "cloud_hit").distinct()
+
+
 def fused(points: DataFrame) -> DataFrame:
     """The last point of each case."""
     columns = [c for c in points.columns if c != "case_id"]
