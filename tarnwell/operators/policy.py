@@ -76,12 +76,12 @@ def decisions(points: DataFrame) -> DataFrame:
 
 
 def replay(decided: DataFrame, hold: int = 2) -> DataFrame:
-    """Per case: the first intervention, its lead on the first payment, and the money after it."""
-    eip = decided.where(F.col("severity") >= hold).groupBy("case_id").agg(F.min(F.struct("us", "evidence_id")).alias("e")).select("case_id", F.col("e.us").alias("eip_us"), F.col("e.evidence_id").alias("eip"))
-    paid = decided.where("stage = 'S6_MONETIZATION'").select("case_id", "us", "amount")
-    first = paid.groupBy("case_id").agg(F.min("us").alias("paid_us"))
-    saved = paid.join(eip, "case_id").where("us >= eip_us").groupBy("case_id").agg(F.sum("amount").alias("money_protected"))
-    lead = F.floor((F.col("paid_us") - F.col("eip_us")) / 1_000_000)
-    cases = decided.select("case_id").distinct()
-    rows = cases.join(eip, "case_id", "left").join(first, "case_id", "left").join(saved, "case_id", "left")
-    return rows.select("case_id", "eip", "eip_us", lead.alias("lead_s"), F.coalesce("money_protected", F.lit(0)).alias("money_protected"))
+    """Per case: the first intervention, its lead on the first payment, and the money after it; one pass over the decisions."""
+    first = F.min(F.when(F.col("severity") >= hold, F.struct("us", "evidence_id"))).over(Window.partitionBy("case_id"))
+    paid = F.col("stage") == "S6_MONETIZATION"
+    rows = decided.select("case_id", "us", "amount", paid.alias("paid"), first.alias("e"))
+    found = rows.groupBy("case_id").agg(
+        F.first("e").alias("e"), F.min(F.when(F.col("paid"), F.col("us"))).alias("paid_us"), F.sum(F.when(F.col("paid") & (F.col("us") >= F.col("e.us")), F.col("amount"))).alias("saved")
+    )
+    lead = F.floor((F.col("paid_us") - F.col("e.us")) / 1_000_000)
+    return found.select("case_id", F.col("e.evidence_id").alias("eip"), F.col("e.us").alias("eip_us"), lead.alias("lead_s"), F.coalesce("saved", F.lit(0)).alias("money_protected"))

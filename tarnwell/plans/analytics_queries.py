@@ -113,8 +113,8 @@ def _(spark, sf_dir):
     return analytics.feedback(verdicts, fusion.contributions(items), own)[0].drop("us")
 
 
-@query("x2_narrative", EVIDENCE + r""", z AS (SELECT *, strftime(make_timestamp(us) + INTERVAL 330 MINUTE, '%H:%M') AS hm, CASE reason WHEN 'CREDENTIAL_STUFFING_IP' THEN 'credential stuffing against many customers' WHEN 'PAYEE_NAME_MISMATCH' THEN 'does not match the payee''s name' ELSE replace(lower(reason), '_', ' ') END AS r FROM w)
-SELECT case_id, evidence_id, 'At ' || hm || CASE stage WHEN 'S0_RECON' THEN ' ' || r || ' was seen' WHEN 'S1_INITIAL_ACCESS' THEN ' a login succeeded from ' || r WHEN 'S5_POSITIONING' THEN ' a payee was added that ' || r WHEN 'S6_MONETIZATION' THEN ' a transfer was attempted (' || r || ')' ELSE ' ' || r END || ' [' || evidence_id || '].' AS sentence FROM z""")
+@query("x2_narrative", EVIDENCE + r""", z AS (SELECT *, strftime(make_timestamp(us) + INTERVAL 330 MINUTE, '%H:%M') AS hm, CASE reason WHEN 'CREDENTIAL_STUFFING_IP' THEN 'credential stuffing against many customers' WHEN 'PAYEE_NAME_MISMATCH' THEN 'does not match the payee''s name' ELSE replace(lower(reason), '_', ' ') END AS rs FROM w)
+SELECT case_id, evidence_id, 'At ' || hm || CASE stage WHEN 'S0_RECON' THEN ' ' || rs || ' was seen' WHEN 'S1_INITIAL_ACCESS' THEN ' a login succeeded from ' || rs WHEN 'S5_POSITIONING' THEN ' a payee was added that ' || rs WHEN 'S6_MONETIZATION' THEN ' a transfer was attempted (' || rs || ')' ELSE ' ' || rs END || ' [' || evidence_id || '].' AS sentence FROM z""")
 def _(spark, sf_dir):
     return analytics.narrative(evidence(spark, sf_dir))
 
