@@ -54,6 +54,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this session wrote to the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """``df``, to be broadcast if it has at most ``most`` rows (of a few numbers each), else as it is."""
     return F.broadcast(df) if df.count() <= most else df
