@@ -109,21 +109,20 @@ class Model:
 def fitted(y: np.ndarray, bare: np.ndarray | None, document: np.ndarray, unit: np.ndarray, feature: np.ndarray, start: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 0.02, lasso: float = 0.7) -> tuple[np.ndarray, float, float]:
     """(weights, bias, leak) by gradient ascent (Adam) on the likelihood of the document labels.
 
-    document, unit, feature: of each occurrence. The lasso pulls the weights of all but the features
+    document, unit, feature: of each occurrence, in order of unit. The lasso pulls the weights of all but the features
     that explain the labels to 0: a step ends with the soft threshold of its own size. bare: number of
     each document's units without an occurrence, which share the bias; if None, such units score 0, no
     weight may be negative and the bias stays as it is.
     """
-    seen, unit = np.unique(unit, return_inverse=True)
-    owner = np.zeros(len(seen), np.int64)
-    owner[unit] = document
+    fresh = np.append(True, unit[1:] != unit[:-1]) if len(unit) else np.zeros(0, bool)
+    unit, owner = np.cumsum(fresh, dtype=np.int32) - np.int32(1), document[fresh]
     x = np.concatenate([start, [-6.0, -4.0] if bare is not None else [-4.0, -3.0]])
     lowest, free = (-np.inf, 1.0) if bare is not None else (0.0, 0.0)
     bare = np.zeros(len(y)) if bare is None else bare - np.bincount(owner, minlength=len(y))
     first, second = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
         w, bias, leak = x[:-2], x[-2], x[-1]
-        z = bias + np.bincount(unit, w[feature], len(seen))
+        z = bias + np.bincount(unit, w[feature], len(owner))
         clean = np.bincount(owner, np.logaddexp(0, z), len(y)) + bare * np.logaddexp(0, bias) + np.logaddexp(0, leak)
         toxic = np.maximum(-np.expm1(-clean), 1e-12)
         pull = np.where(y == 1, np.exp(-clean) / toxic, -1.0)
@@ -200,12 +199,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, feat
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(n, pa.int32()), *lists], ["toxic", "units", "unit", "feature"])
 
     rows = sample.mapInArrow(occurrences, "toxic int, units int, unit array<int>, feature array<int>").toArrow()
+    units, y = rows.column("units").to_numpy(), rows.column("toxic").to_numpy()
     sizes = rows.column("feature").combine_chunks().value_lengths().to_numpy()
-    document = np.repeat(np.arange(len(sizes)), sizes)
-    unit = rows.column("unit").combine_chunks().flatten().to_numpy().astype(np.int64)
     feature = rows.column("feature").combine_chunks().flatten().to_numpy()
-    units, y = rows.column("units").to_numpy(), rows.column("toxic").to_numpy()
-    unit += document * (1 << 32)
+    unit = rows.column("unit").combine_chunks().flatten().to_numpy().copy()
+    del rows
+    document = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    # units are numbered within the part that a task read at once; two documents never share one here
+    unit = np.cumsum(np.append(0, (unit[1:] != unit[:-1]) | (document[1:] != document[:-1])), dtype=np.int32) if len(unit) else unit
     weights, _, _ = fitted(y, units, document, unit, feature, start)
     # the features that explain toxic labels are fitted again by themselves
     chosen = weights > 0.1
