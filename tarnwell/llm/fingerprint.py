@@ -19,6 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, stable
+
+#: Bytes of text in a range of doc_id, as far as documents are of even size.
+RANGE_BYTES = 64 << 20
 WIDE, PACKED, UNIT, SEEDS = 4, 32, 8, (42, 43)
 LANES = 2 * PACKED * len(SEEDS)
 WIDE_MASK = (1 << 62) - 1
@@ -33,27 +37,27 @@ def _wide_added(total: Column, line: Column) -> Column:
     return F.array(*[lane(k) for k in range(WIDE)])
 
 
-def _pair_sum(codes: str, k: int) -> Column:
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda t, h: t + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(PAIR)))
-
-
-def _hashed(units: str, seed: int) -> Column:
-    return F.transform(units, lambda u: F.xxhash64(u, F.lit(seed)))
+def _wide(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
+    return F.aggregate(lines, F.array(*[F.lit(0).cast("long")] * WIDE), _wide_added)
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the fingerprint of its column ``text``; null and blank texts have all lanes 0.
+def with_fingerprint(df: DataFrame, text: str, name: str, keys: list[str]) -> DataFrame:
+    """(keys, name): the fingerprint of ``text`` for each row of ``df``, which ``keys`` tell apart; null
+    and blank texts have all lanes 0.
 
-    Units and their hashes are columns of steps of their own, so that each is computed once.
+    The units become rows whose hashes' bits are summed by ``keys``: a partial and a final aggregate,
+    without a shuffle of their own where ``df`` is dealt by some of the keys already.
     """
-    own = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(own, "\n"), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
-    wide = F.aggregate(lines, F.array(*[F.lit(0).cast("long")] * WIDE), _wide_added)
-    steps = df.withColumn("_units", F.regexp_extract_all(own, F.lit(UNITS), F.lit(0)))
-    steps = steps.withColumns({f"_codes{s}": _hashed("_units", s) for s in SEEDS})
-    pairs = [_pair_sum(f"_codes{s}", k) for s in SEEDS for k in range(PACKED)]
-    steps = steps.withColumn(name, F.concat(wide, F.array(F.size("_units").cast("long"), *pairs)))
-    return steps.drop("_units", *[f"_codes{s}" for s in SEEDS])
+    body = F.coalesce(F.col(text), F.lit(""))
+    # in a step of its own, or the lanes would be computed for every unit
+    own = df.select(*keys, _wide(body).alias("_wide"), F.regexp_extract_all(body, F.lit(UNITS), F.lit(0)).alias("_units"))
+    own = own.select(*keys, "_wide", F.explode_outer("_units").alias("_unit"))
+    seen = F.col("_unit").isNotNull()
+    own = own.select(*keys, "_wide", seen.cast("long").alias("_n"), *[F.when(seen, F.xxhash64("_unit", F.lit(s))).otherwise(0).alias(f"_h{s}") for s in SEEDS])
+    lanes = [F.sum(F.shiftrightunsigned(f"_h{s}", k).bitwiseAND(F.lit(PAIR))).alias(f"_l{s}_{k}") for s in SEEDS for k in range(PACKED)]
+    summed = own.groupBy(*keys, "_wide").agg(F.sum("_n").alias("_n"), *lanes)
+    return summed.select(*keys, F.concat("_wide", F.array("_n", *[f"_l{s}_{k}" for s in SEEDS for k in range(PACKED)])).alias(name))
 
 
 def combined(a: Column, b: Column, sign: int) -> Column:
@@ -96,30 +100,50 @@ def likeness(a: Column, b: Column, a_signed: Column, b_signed: Column) -> Column
     return F.when(a == b, 1.0).when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), inner(a_signed, b_signed) / size))).otherwise(0.0)
 
 
-def with_next(docs: DataFrame, buckets: int) -> tuple[DataFrame, object]:
+def ranged(rows: DataFrame, ranges: int, fan: int = 1024) -> DataFrame:
+    """``rows`` with ``bucket``: about ``ranges`` ranges of ``k`` of about as many rows each.
+
+    Ranges are found in two levels of at most ``fan`` and as many as are needed: quantiles of all rows,
+    then quantiles within each of those. (They are taken of doubles, which beyond 2^53 makes ranges less
+    even, not wrong.)
+    """
+    coarse = max(1, min(ranges, fan))
+    fine = -(-ranges // coarse)
+
+    def cuts(n: int) -> Column:
+        at = [i / n for i in range(1, n)]
+        return F.array_distinct(F.percentile_approx("k", F.array(*map(F.lit, at)), F.lit(10 * n))) if at else F.array().cast("array<bigint>")
+
+    def place(bounds: Column) -> Column:
+        return F.size(F.filter(F.coalesce(bounds, F.array().cast("array<bigint>")), lambda x: x <= F.col("k")))
+
+    keys = rows.where("doc_id is not null").select("k")
+    bounds = keys.agg(cuts(coarse).alias("b")).first()["b"] or []
+    first = place(F.array(*map(F.lit, bounds)).cast("array<bigint>"))
+    # at most ``fan`` rows of at most ``ranges / fan`` bounds
+    inner = keys.withColumn("b0", first).groupBy("b0").agg(cuts(fine).alias("b1"))
+    rows = rows.withColumn("b0", first).join(F.broadcast(inner), "b0", "left")
+    return rows.withColumn("bucket", F.col("b0").cast("long") * fine + place(F.col("b1"))).drop("b0", "b1")
+
+
+def with_next(docs: DataFrame, ranges: int, fan: int = 1024) -> tuple[DataFrame, object]:
     """(bucket, echo, k, doc_id, text) and the window in which the next row is the next document.
 
-    Rows go by doc_id (null first, ties by text) into at most ``buckets`` ranges. Each range also
-    holds an echo of the first document of the next one (the last range: of the first), so the
-    window never leaves its range and the texts are shuffled once.
+    Rows go by doc_id (null first, ties by text) into ranges. Each range also holds an echo of the first
+    document of the next one (the last range: of the first), so the window never leaves its range and
+    the texts are shuffled once.
     """
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(k.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    at = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(rows.where("doc_id is not null").select(F.col("k").cast("double")).approxQuantile("k", at, 0.1 / buckets))) if at else []
-    bucket = F.size(F.filter(F.array(*[F.lit(int(x)) for x in bounds]).cast("array<bigint>"), lambda x: x <= F.col("k"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
-    firsts = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.min("k")).collect())
+    rows = ranged(docs.select(k.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), ranges, fan)
     window = Window.partitionBy("bucket").orderBy("echo", "k", "text")
-    if not firsts:
-        return rows.withColumn("echo", F.lit(False)), window
-    targets = [F.struct(F.lit(first).alias("k"), F.lit(firsts[i - 1][0]).alias("bucket")) for i, (_, first) in enumerate(firsts)]
-    echo = docs.sparkSession.range(1).select(F.inline(F.array(*targets)))
-    echoes = rows.drop("bucket").join(F.broadcast(echo), "k").withColumn("echo", F.lit(True))
+    # one row per range
+    firsts = rows.groupBy("bucket").agg(F.min("k").alias("k"))
+    echo = firsts.select("k", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("to"))
+    echoes = rows.drop("bucket").join(small(stable(echo)), "k").withColumnRenamed("to", "bucket").withColumn("echo", F.lit(True))
     return rows.withColumn("echo", F.lit(False)).unionByName(echoes), window
 
 
-def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None, fan: int = 1024) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
 
@@ -127,16 +151,24 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     next document's text (by doc_id; after the last one: the first). A null text counts as empty; a
     null doc_id comes first; rows of one doc_id go by text. A single document is its own next one.
     Needs doc_id and text; other columns are not read. An empty table gives an empty result.
+
+    ``ranges``: how many ranges of doc_id tasks work on; by default one for ``RANGE_BYTES`` of text, and
+    two for each shuffle partition at least.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, window = with_next(docs, buckets or min(1024, 2 * n))
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    rows, window = with_next(docs, ranges, fan)
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), F.expr("substring(next_text, 1, floor(length(text) / 2))"))
-    rows = rows.withColumn("next_text", F.lead("text").over(window)).withColumn("edited", edited).drop("next_text")
-    rows = with_fingerprint(with_fingerprint(rows, "text", "f"), "edited", "e")
-    rows = rows.select("bucket", "echo", "k", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "f", "e")
-    rows = rows.withColumn("x", F.lead("f").over(window)).where("not echo").drop("text")
-    rows = rows.withColumns({"fs": signed(F.col("f")), "es": signed(F.col("e")), "xs": signed(F.col("x"))})
+    rows = rows.withColumns({"next_text": F.lead("text").over(window), "place": F.row_number().over(window)}).withColumn("edited", edited)
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))
+    sha = F.when(~F.col("echo"), F.sha2(F.col("edited").cast("binary"), 256))
+    rows = rows.select("bucket", "place", "echo", "doc_id", F.length("text").cast("long").alias("n_chars"), sha.alias("edited_sha256"), F.inline(sides))
+    both = with_fingerprint(rows, "body", "f", ["bucket", "place", "side", "echo", "doc_id", "n_chars", "edited_sha256"])
+    own = Window.partitionBy("bucket").orderBy("place", "side")
+    both = both.withColumns({"e": F.lead("f", 1).over(own), "x": F.lead("f", 2).over(own)}).where("side = 0 and not echo")
+    both = both.withColumns({"fs": signed(F.col("f")), "es": signed(F.col("e")), "xs": signed(F.col("x"))})
     near = lambda o: likeness(F.col("f"), F.col(o), F.col("fs"), F.col(f"{o}s"))
-    return rows.select(
+    return both.select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("f")).alias("fingerprint"), as_hex(F.col("e")).alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next")
     )

@@ -1,6 +1,7 @@
 """Chat formatting and fingerprints: exact round trips and brute force."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,9 +64,9 @@ def edited(rows):
 DOCS = [(4, "one two. three\nfour"), (1, None), (9, "é🙂x" * 9), (2, ""), (6, "a\nb\nc"), (7, "c\n\na\nb"), (5, "w " * 40_000), (5, "w " * 40_000), (None, "none"), (12, "one two. three\nfour")]
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 50])
-def test_edited_texts(spark, make, buckets):
-    rows = fp.fingerprints(make(DOCS), buckets).collect()
+@pytest.mark.parametrize(("ranges", "fan"), [(1, 8), (3, 8), (50, 8), (16, 2)])
+def test_edited_texts(spark, make, ranges, fan):
+    rows = fp.fingerprints(make(DOCS), ranges, fan).collect()
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["n_chars"], r["edited_sha256"]) for r in rows) == edited(DOCS)
     prints = {}
     for r in rows:
@@ -82,18 +83,41 @@ def test_empty_and_single(spark, make):
     assert row["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def printed(df, *texts):
+    """(i, f<text>...): the fingerprints of the text columns."""
+    df, out = df.withColumn("i", F.monotonically_increasing_id()).cache(), None
+    for c in texts:
+        own = fp.with_fingerprint(df, c, f"f{c}", ["i"])
+        out = own if out is None else out.join(own, "i")
+    return out
+
+
+def test_fingerprints_are_sums_of_hashed_bits(spark, make):
+    """Fingerprints from their definition, in Python but for xxhash64."""
+    texts = ["one two. three\nfour\n\n \nfour", "a b c d e f g h i j k. l\tm!\nn", "é🙂 x", ""]
+    lines = [[p for p in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", p)] for t in texts]
+    units = [re.findall(fp.UNITS, t) for t in texts]
+    strings = sorted({v for own in lines + units for v in own})
+    seeds = [*range(fp.WIDE), *fp.SEEDS]
+    hashed = {r["v"]: [x & (1 << 64) - 1 for x in r["h"]] for r in spark.createDataFrame([(v,) for v in strings], "v string").select("v", F.array(*[F.xxhash64("v", F.lit(s)) for s in seeds]).alias("h")).collect()}
+    got = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprints(make(list(enumerate(texts)))).collect()}
+    for i in range(len(texts)):
+        wide = [sum(hashed[v][k] & fp.WIDE_MASK for v in lines[i]) % (1 << 62) for k in range(fp.WIDE)]
+        bits = [[sum(hashed[v][fp.WIDE + s] >> j & 1 for v in units[i]) for j in range(64)] for s in range(len(fp.SEEDS))]
+        packed = [own[j] + (own[j + 32] << 32) for own in bits for j in range(32)]
+        assert got[i] == "".join(f"{x:016x}" for x in [*wide, len(units[i]), *packed])
+
+
 def test_paragraphs_are_added_and_removed(spark):
     df = spark.createDataFrame([("p one. and more\np two", "p three\n", "p three\np two\np one. and more")], "a string, b string, ab string")
-    for c in df.columns:
-        df = fp.with_fingerprint(df, c, f"f{c}")
-    row = df.select((fp.added(F.col("fa"), F.col("fb")) == F.col("fab")).alias("add"), (fp.removed(F.col("fab"), F.col("fb")) == F.col("fa")).alias("cut"), (F.col("fa") == F.col("fb")).alias("same")).first()
+    row = printed(df, *df.columns).select((fp.added(F.col("fa"), F.col("fb")) == F.col("fab")).alias("add"), (fp.removed(F.col("fab"), F.col("fb")) == F.col("fa")).alias("cut"), (F.col("fa") == F.col("fb")).alias("same")).first()
     assert row["add"] and row["cut"] and not row["same"]
 
 
 def test_likeness_follows_the_shared_part(spark):
     line = lambda i: f"sentence number {i} talks of thing {i * 7} and {i * 13}."
     rows = [("\n".join(map(line, range(40))), "\n".join(map(line, range(40 - s, 80 - s)))) for s in (40, 20, 0)]
-    df = fp.with_fingerprint(fp.with_fingerprint(spark.createDataFrame(rows, "a string, b string"), "a", "fa"), "b", "fb")
+    df = printed(spark.createDataFrame(rows, "a string, b string"), "a", "b").orderBy("i")
     df = df.withColumns({"sa": fp.signed(F.col("fa")), "sb": fp.signed(F.col("fb"))})
     got = [r[0] for r in df.select(fp.likeness(F.col("fa"), F.col("fb"), F.col("sa"), F.col("sb"))).collect()]
     assert got[0] == 1.0 and abs(got[1] - 0.5) < 0.3 and got[2] < 0.3
