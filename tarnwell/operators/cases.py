@@ -1,7 +1,7 @@
 """Joining evidence into cases: tokens, links, safe payee bridges, and the cases that links make.
 
-An item's join tokens are its entities of the kinds that identify someone, without excluded ones (hubs)
-and without reputable payees. It continues the case of the item that last showed one of its tokens, if
+An item's join tokens are its entities of the kinds that identify someone, and what lies near them in the
+graph, without excluded ones (hubs) and without reputable payees. It continues the case of the item that last showed one of its tokens, if
 that was at most ``WINDOW`` ago, or at most ``STICKY`` ago where both are of one customer and the earlier
 one is of stage S2 or later. An item that links several cases makes them one, so a case is a connected
 component of such links.
@@ -23,40 +23,66 @@ from pyspark.sql import functions as F
 from ..functions.scalars import HOUR, kind
 from .components import components
 from .fusion import STAGES
+from .graph import walk
 
 #: Kinds that join, hours that a case stays open, and from which stage on it stays open longer.
 KINDS, WINDOW, STICKY, STICKY_FROM, BRIDGES = ("cust", "acct", "dev", "ip", "phone"), 6 * HOUR, 72 * HOUR, "S2_CONTROL_TAKEOVER", 2
+#: How many tokens join an item at most, the nearest ones, and edges that payments make.
+MOST_TOKENS, PAYMENT = 200, ("SENT", "ADDED_PAYEE")
 
 
-def join_tokens(evidence: DataFrame, excluded: DataFrame, reputable: DataFrame) -> DataFrame:
-    """(evidence_id, us, customer, stage, p, token, bridge) for each token that an item may be joined by.
+def neighbours(edges: DataFrame, tokens: DataFrame, skip: DataFrame, hops: int = 2, least: float = 0.5) -> DataFrame:
+    """(start, token, hops, direct) of each of ``tokens`` (token): what lies within ``hops`` over sure edges, and
+    whether it does so without a payment edge. ``skip`` (token) is neither reached nor crossed."""
+    starts = tokens.select(F.col("token").alias("start")).distinct()
+    near = walk(edges, starts, hops, least, skip)
+    direct = walk(edges.where(~F.col("edge_type").isin(*PAYMENT)), starts, hops, least, skip).select("start", "token", F.lit(True).alias("direct"))
+    return near.join(direct, ["start", "token"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
 
-    excluded: token; reputable: token. Both are joined by token, so neither has to be small.
+
+def join_tokens(evidence: DataFrame, excluded: DataFrame, reputable: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(evidence_id, us, customer, stage, p, token, bridge, shown) for each token that an item may be joined by.
+
+    excluded: token; reputable: token. Both are joined by token, so neither has to be small. ``near`` (see
+    :func:`neighbours`) adds what lies near an item's own tokens; of all, the nearest ``MOST_TOKENS`` of an
+    item stay (ties by token). ``shown`` says whether the item itself shows the token.
     """
     rows = evidence.select("evidence_id", "us", "customer", "stage", "p", "own", F.explode(F.array_distinct("entities")).alias("token"))
     rows = rows.where(kind(F.col("token")).isin(*KINDS)).join(excluded.select("token"), "token", "left_anti")
     bridge = (kind(F.col("token")) == "acct") & ~F.array_contains("own", F.col("token"))
-    rows = rows.withColumn("bridge", bridge).drop("own")
+    rows = rows.withColumn("bridge", bridge)
     known = reputable.select("token").distinct().withColumn("known", F.lit(True))
-    return rows.join(known, "token", "left").where("not bridge or known is null").drop("known")
+
+    def allowed(found: DataFrame) -> DataFrame:
+        theirs = (kind(F.col("token")) == "acct") & ~F.array_contains("own", F.col("token"))
+        return found.join(known, "token", "left").where(~theirs | F.col("known").isNull()).drop("known")
+
+    rows = allowed(rows).withColumns({"hops": F.lit(0), "shown": F.lit(True)})
+    if near is not None:
+        further = rows.drop("hops", "shown").withColumnRenamed("token", "start").join(near, "start").withColumn("bridge", F.col("bridge") | ~F.col("direct")).drop("start", "direct")
+        item = ["evidence_id", "us", "customer", "stage", "p", "own", "token"]
+        both = rows.unionByName(allowed(further.withColumn("shown", F.lit(False))))
+        rows = both.groupBy(*item).agg(F.min("bridge").alias("bridge"), F.min("hops").alias("hops"), F.max("shown").alias("shown"))
+    rank = F.row_number().over(Window.partitionBy("evidence_id").orderBy("hops", "token"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= MOST_TOKENS).drop("rank", "hops", "own")
 
 
 def links(tokens: DataFrame, suspicious: DataFrame, base_rate: float = 0.01) -> DataFrame:
-    """(a, b): items whose cases are one, from each token's consecutive sightings.
+    """(a, b): items whose cases are one, from the last item that showed each of an item's tokens.
 
     A token held by many makes one link per sighting, never a pair of all its holders.
     """
-    order = Window.partitionBy("token").orderBy("us", "evidence_id")
-    before = {c: F.lag(c).over(order) for c in ("evidence_id", "us", "customer", "stage", "p", "bridge")}
-    seen = tokens.select("*", *[c.alias(f"last_{n}") for n, c in before.items()]).where("last_evidence_id is not null")
+    order = Window.partitionBy("token").orderBy("us", "evidence_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("shown"), F.struct("evidence_id", "us", "customer", "stage", "p", "bridge")), True).over(order)
+    seen = tokens.withColumn("last", before).where("last is not null")
     place = lambda c: F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col(c))
-    gap = F.col("us") - F.col("last_us")
-    sticky = (F.col("customer") == F.col("last_customer")) & (place("last_stage") >= STAGES.index(STICKY_FROM) + 1) & (gap <= STICKY)
+    gap = F.col("us") - F.col("last.us")
+    sticky = (F.col("customer") == F.col("last.customer")) & (place("last.stage") >= STAGES.index(STICKY_FROM) + 1) & (gap <= STICKY)
     seen = seen.where((gap <= WINDOW) | sticky)
     odd = suspicious.select("token").distinct().withColumn("odd", F.lit(True))
-    seen = seen.join(odd, "token", "left").withColumn("crossing", F.col("bridge") | F.col("last_bridge"))
-    both = (F.col("p") > base_rate) & (F.col("last_p") > base_rate)
-    pairs = seen.groupBy(F.col("last_evidence_id").alias("a"), F.col("evidence_id").alias("b")).agg(
+    seen = seen.join(odd, "token", "left").withColumn("crossing", F.col("bridge") | F.col("last.bridge"))
+    both = (F.col("p") > base_rate) & (F.col("last.p") > base_rate)
+    pairs = seen.groupBy(F.col("last.evidence_id").alias("a"), F.col("evidence_id").alias("b")).agg(
         F.count_if(~F.col("crossing")).alias("direct"), F.count_if(F.col("crossing")).alias("bridges"), F.coalesce(F.bool_or(F.col("odd") & both), F.lit(False)).alias("odd")
     )
     return pairs.where((F.col("direct") > 0) | (F.col("bridges") >= BRIDGES) | F.col("odd")).select("a", "b")

@@ -52,15 +52,15 @@ def with_standing(spark: SparkSession, rows: DataFrame, edges: DataFrame, skip:
     return out.join(mules.select("account", F.col("codes").alias("sender_mule")), "account", "left")
 
 
-def cased(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> DataFrame:
-    """``evidence`` with the case of each item."""
+def cased(spark: SparkSession, sf_dir: str, evidence: DataFrame, deep: bool = False) -> DataFrame:
+    """``evidence`` with the case of each item; ``deep`` joins by what lies near an item's tokens too."""
     edges = edge_table(spark, sf_dir)
-    standing = stable(graph.reputation(edges, NOW))
+    standing, skip = stable(graph.reputation(edges, NOW)), stable(graph.excluded(edges))
     good = standing.where("reputable").select(F.col("account").alias("token"))
-    odd = standing.where("tenured < 3").select(F.col("account").alias("token")).unionByName(graph.mule_signals(edges, NOW, graph.excluded(edges)).select(F.col("account").alias("token"))).distinct()
+    odd = standing.where("tenured < 3").select(F.col("account").alias("token")).unionByName(graph.mule_signals(edges, NOW, skip).select(F.col("account").alias("token"))).distinct()
     evidence = stable(evidence)
-    found = cases.links(cases.join_tokens(evidence, graph.excluded(edges), good), odd)
-    return cases.joined(evidence, found)
+    near = cases.neighbours(edges, evidence.select(F.explode("entities").alias("token")), skip) if deep else None
+    return cases.joined(evidence, cases.links(cases.join_tokens(evidence, skip, good, near), odd))
 
 
 def sample_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,12 @@ def _(spark, sf_dir):
     return cases.case_table(cased(spark, sf_dir, sample_evidence(spark, sf_dir))).drop("stages")
 
 
+@query("c1_near_cases")
+def _(spark, sf_dir):
+    """Cases of the sample evidence joined by what lies near its tokens too; the graph is that of ``NOW``."""
+    return cases.case_table(cased(spark, sf_dir, sample_evidence(spark, sf_dir), deep=True)).withColumn("stages", F.array_join("stages", ","))
+
+
 @query("r1_detected_cases")
 def _(spark, sf_dir):
     """Every step from events to decisions: detectors, joining, fusion, policy; one row per case."""

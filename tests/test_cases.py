@@ -117,6 +117,21 @@ def test_cases_close_after_their_window_but_stick_past_a_takeover(spark):
     assert joined(spark, items(S2)) == {frozenset({0, 1}), frozenset({2})}
 
 
+def test_items_join_through_neighbours_and_the_nearest_tokens_stay(spark, monkeypatch):
+    edges = edges_of(spark, [("acct:1", "dev:1", "LOGGED_IN_FROM", 1, None), ("acct:2", "dev:1", "LOGGED_IN_FROM", 1, None), ("acct:1", "acct:9", "SENT", 1, None), ("acct:3", "acct:9", "SENT", 1, None)])
+    near = cases.neighbours(edges, frame(spark, ["acct:1", "acct:2", "acct:3"]), frame(spark, []))
+    assert {(r["start"], r["token"], r["hops"], r["direct"]) for r in near.where("start = 'acct:1'").collect()} == {("acct:1", "dev:1", 1, True), ("acct:1", "acct:9", 1, False), ("acct:1", "acct:2", 2, True), ("acct:1", "acct:3", 2, False)}
+    items = [(1, 0, "cust:1", S5, 0.2, ["acct:1"], ["cust:1", "acct:1"]), (2, HOUR, "cust:2", S5, 0.2, ["acct:2"], ["cust:2", "acct:2"]), (3, 2 * HOUR, "cust:3", S5, 0.2, ["acct:3"], ["cust:3", "acct:3"])]
+    df = spark.createDataFrame(items, ITEM)
+    links = lambda tokens: {tuple(r) for r in cases.links(tokens, frame(spark, [])).collect()}
+    assert links(cases.join_tokens(df, frame(spark, []), frame(spark, []))) == set()
+    tokens = cases.join_tokens(df, frame(spark, []), frame(spark, []), near)
+    assert links(tokens) == {(1, 2)}  # by the device; by the payee alone the third stays apart
+    monkeypatch.setattr(cases, "MOST_TOKENS", 3)
+    kept = {(r["evidence_id"], r["token"]) for r in cases.join_tokens(df, frame(spark, []), frame(spark, []), near).collect()}
+    assert kept == {(1, "cust:1"), (1, "acct:1"), (1, "acct:9"), (2, "cust:2"), (2, "acct:2"), (2, "dev:1"), (3, "cust:3"), (3, "acct:3"), (3, "acct:9")}
+
+
 def edges_of(spark, rows):
     return spark.createDataFrame([(s, d, t, 1.0, f, f if last is None else last) for s, d, t, f, last in rows], "src string, dst string, edge_type string, confidence double, first_seen long, last_seen long")
 
