@@ -89,7 +89,8 @@ def tiled(rows: DataFrame) -> DataFrame:
     def tiles(which: Column) -> Column:
         return F.ceil(F.greatest(F.count_if(which) / TILE, F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0)) / TILE_SHINGLES)).cast("int")
 
-    rows = rows.join(rows.groupBy("key").agg(tiles(own).alias("mains"), tiles(~own).alias("others")), "key")
+    rows = stable(rows)
+    rows = rows.join(small(stable(rows.groupBy("key").agg(tiles(own).alias("mains"), tiles(~own).alias("others")))), "key")
     place = lambda n: F.pmod(F.xxhash64("c"), F.greatest(n, F.lit(1))).cast("int")
     rows = rows.withColumn("tile", F.when(own, place(F.col("mains"))).otherwise(F.col("mains") + place(F.col("others"))))
     meets = F.when(own & (F.col("others") > 0), F.sequence("mains", F.col("mains") + F.col("others") - 1)).when(~own, F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1))
@@ -173,18 +174,19 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame,
     reps = stable(matched(rows, classes, ["fingerprint", "doc_id", "h"]).select("c", "n_shingles", "signature").dropDuplicates(["c"]))
     key = lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))
     banded = reps.select("c", "n_shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("band", "key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # sizes and centers are tables of their own, so that Spark may split a hot bucket in the joins with them
+    sizes = stable(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     shared = stable(banded.join(sizes, "key"))
     weight = shared.groupBy("c").agg(F.sum("size").alias("weight"))
     center = F.max_by(F.struct("c", "n_shingles"), F.struct("weight", -F.col("c")))
-    centers = shared.join(weight, "c").groupBy("key").agg(center.alias("x")).select("key", F.col("x.c").alias("center"), F.col("x.n_shingles").alias("center_n"))
+    centers = stable(shared.join(weight, "c").groupBy("key").agg(center.alias("x")).select("key", F.col("x.c").alias("center"), F.col("x.n_shingles").alias("center_n")))
     filed = stable(shared.join(centers, "key"))
     star = filed.where("c != center").where(fits(F.col("n_shingles"), F.col("center_n"), percent)).select(F.least("center", "c").alias("a"), F.greatest("center", "c").alias("b")).distinct()
     links = stable(verified(star, classes, docs, k, percent))
     roots = stable(components(links))
     labelled = stable(filed.where("size > 2").join(roots, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("root", "c")).drop("node", "root"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("c") == F.col("center"), F.col("label"))).alias("main")).where("x != y").select("key", "main")
-    rest = labelled.where("c != center").join(mixed, "key").join(reps.select("c", "signature"), "c")
+    rest = labelled.where("c != center").join(small(stable(mixed)), "key").join(reps.select("c", "signature"), "c")
     partners = stable(with_partner(tiled(rest), percent))
     if not partners.isEmpty():
         roots = components(links.unionByName(stable(tile_links(partners, classes, docs, k, percent))))
