@@ -153,11 +153,11 @@ def fingerprints(docs: DataFrame, ranges: int | None = None, fan: int = 1024) ->
     Needs doc_id and text; other columns are not read. An empty table gives an empty result.
 
     ``ranges``: how many ranges of doc_id tasks work on; by default one for ``RANGE_BYTES`` of text, and
-    two for each shuffle partition at least.
+    eight for each shuffle partition at least, so that partitions get about as many.
     """
     if ranges is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+        ranges = max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     rows, window = with_next(docs, ranges, fan)
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), F.expr("substring(next_text, 1, floor(length(text) / 2))"))
     rows = rows.withColumns({"next_text": F.lead("text").over(window), "place": F.row_number().over(window)}).withColumn("edited", edited)
