@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment
 from .chat_format import chat_examples, read_back
 from .common import shared_folder, table
 from .exact_dedup import exact_dedup
@@ -14,6 +15,8 @@ from .language_id import language_id, learn
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import packed
+from .resampling import resample
+from .simhash import simhash_dedup
 from .token_count import token_counts
 from .token_file import read_token_file, write_token_file
 from .toxicity import fit, toxicity_scores
@@ -72,6 +75,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"), k=3)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"), byte_bpe(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP3_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents),
 g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
@@ -80,7 +95,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op6_mixing, op7_near_dedup, op8_packing, op9_fingerprint, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_file, op3_exact_dedup, op4_chat_format, op5_token_count, op6_mixing, op7_near_dedup, op8_packing, op9_fingerprint, op10_toxicity, op11_simhash, op12_alignment, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
