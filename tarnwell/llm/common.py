@@ -92,6 +92,15 @@ def crc_remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: Shares are compared with hashes of so many values, so that the share of a billionth of a table is not none.
+SHARES = 1 << 62
+
+
+def in_share(key: Column, share: Column) -> Column:
+    """Whether a row belongs to a share (0 to 1, in :data:`SHARES`) of all rows, by the hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(SHARES)) < share
+
+
 def text_hash(text: str = "text") -> Column:
     """Tells apart rows of one doc_id (or of none); null counts as empty."""
     return F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit("")))

@@ -2,7 +2,8 @@
 
 A paragraph is a line that is not blank. Each paragraph gives a wide vector, and a document's
 fingerprint is the sum of its paragraphs' vectors modulo powers of two: ``WIDE`` lanes modulo 2^62,
-each fed by an xxhash64 of the paragraph under its own seed, and ``LANES`` counters modulo 2^32, fed
+each fed by an xxhash64 of the paragraph under its own seed (the hash of the lane's number, which goes
+in first: after the paragraph it would mix all lanes from one hash), and ``LANES`` counters modulo 2^32, fed
 by the bits of the hashes of the paragraph's units (its sentences, cut every ``UNIT`` words). Order
 of paragraphs does not matter; :func:`added` and :func:`removed` insert and delete paragraphs without
 the rest of the text.
@@ -32,7 +33,7 @@ UNITS = r"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09]+){0,%d}[^\x20\x09-\x
 
 def _wide_added(total: Column, line: Column) -> Column:
     def lane(k: int) -> Column:
-        return (F.get(total, F.lit(k)) + F.xxhash64(line, F.lit(k)).bitwiseAND(F.lit(WIDE_MASK))).bitwiseAND(F.lit(WIDE_MASK))
+        return (F.get(total, F.lit(k)) + F.xxhash64(F.lit(k), line).bitwiseAND(F.lit(WIDE_MASK))).bitwiseAND(F.lit(WIDE_MASK))
 
     return F.array(*[lane(k) for k in range(WIDE)])
 
@@ -54,7 +55,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, keys: list[str]) -> Da
     own = df.select(*keys, _wide(body).alias("_wide"), F.regexp_extract_all(body, F.lit(UNITS), F.lit(0)).alias("_units"))
     own = own.select(*keys, "_wide", F.explode_outer("_units").alias("_unit"))
     seen = F.col("_unit").isNotNull()
-    own = own.select(*keys, "_wide", seen.cast("long").alias("_n"), *[F.when(seen, F.xxhash64("_unit", F.lit(s))).otherwise(0).alias(f"_h{s}") for s in SEEDS])
+    own = own.select(*keys, "_wide", seen.cast("long").alias("_n"), *[F.when(seen, F.xxhash64(F.lit(s), "_unit")).otherwise(0).alias(f"_h{s}") for s in SEEDS])
     lanes = [F.sum(F.shiftrightunsigned(f"_h{s}", k).bitwiseAND(F.lit(PAIR))).alias(f"_l{s}_{k}") for s in SEEDS for k in range(PACKED)]
     summed = own.groupBy(*keys, "_wide").agg(F.sum("_n").alias("_n"), *lanes)
     return summed.select(*keys, F.concat("_wide", F.array("_n", *[f"_l{s}_{k}" for s in SEEDS for k in range(PACKED)])).alias(name))

@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from . import textscan as ts
-from .common import crc_remainder, slices, stable
+from .common import SHARES, crc_remainder, in_share, slices, stable
 
 RARE, SMOOTHING = 1e-8, 0.01
 MOST_DOCUMENTS, ROUNDS = 1500, 3
+#: The model has a column, and the driver a number, for each language; more are an error.
+MOST_LANGUAGES = 1000
 WORD_START = "▁"
 MARK = ts.NUMBER
 #: Words times languages whose probabilities a worker keeps before it starts afresh; letters summed at once.
@@ -206,17 +208,19 @@ def learn(docs: DataFrame, path: str, most_documents: int = MOST_DOCUMENTS, roun
 
     The words of the sample, the piece counts of each round (languages times pieces) and the list of
     languages are the only things gathered; the sample bounds the first, the vocabulary the second.
-    Without usable rows the model knows no language.
+    Without usable rows the model knows no language; a language of which no document is drawn is an error.
     """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     rows = rows.where(F.coalesce(crc_remainder("doc_id", 4) != 2, F.lit(True)))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages, pieces = sorted(sizes), vocabulary(path)
     if not languages:
         return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
     place = F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, i)]), F.col("lang"))
-    least = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int((1 << 20) * min(1.0, most_documents / n)))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < least).select(place.alias("language"), "text")
+    least = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(SHARES * min(1.0, most_documents / n)))]), F.col("lang"))
+    sample = rows.where(in_share(F.col("doc_id"), least)).select(place.alias("language"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -225,9 +229,15 @@ def learn(docs: DataFrame, path: str, most_documents: int = MOST_DOCUMENTS, roun
             number = ts.SpanTable(1 << 62).numbers(codes, starts, ends, lambda first, at: None)
             keys, first, n = np.unique(number.astype(np.int64) * len(languages) + language, return_index=True, return_counts=True)
             texts = [codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[first], ends[first], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys % len(languages), pa.int32()), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["language", "word", "n"])
+            own, documents = np.unique(part.column("language").to_numpy(), return_counts=True)
+            found = np.append(keys % len(languages), own), texts + [None] * len(own), np.append(n, documents)  # documents: rows without a word
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64())], ["language", "word", "n"])
 
     counted = stable(sample.mapInArrow(count, "language int, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n")))
+    drawn = {r["language"] for r in counted.where("word is null").select("language").collect()}
+    if len(drawn) < len(languages):
+        raise ValueError(f"no document was drawn of {sorted(set(languages) - {languages[i] for i in drawn})}; raise most_documents")
+    counted = counted.where("word is not null")
     p = np.full((len(pieces) + 1, len(languages)), 1 / len(pieces))
     p[-1], name = RARE, f"lattice {path}"
     for _ in range(rounds):

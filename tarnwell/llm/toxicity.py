@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import crc_remainder, slices, small, stable, written
+from .common import SHARES, crc_remainder, in_share, slices, small, stable, written
 
 PREFIXES = (4, 5, 6)
 UNIT_WORDS = 32
@@ -141,14 +141,17 @@ def fitted(y: np.ndarray, bare: np.ndarray | None, document: np.ndarray, unit: n
 
 def sampled(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> DataFrame:
     """(text, toxic) of labelled documents, written once: about ``most`` of them and ``most_bytes`` at
-    most, by a hash of doc_id; all where there are not so many."""
+    most, by a hash of doc_id; all where there are not so many. A label of which none is drawn is an error."""
     sizes = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    total = sizes.where(F.col("size") <= LONGEST).join(labels, "doc_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    total = sizes.where(F.col("size") <= LONGEST).join(labels, "doc_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.collect_set("toxic").alias("kinds")).first()
     share = min(1.0, most / max(1, total["n"]), most_bytes / max(1, total["size"]))
     if share < 1:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * share)))
+        labels = labels.where(in_share(F.col("doc_id"), F.lit(int(SHARES * share))))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
-    return written(rows.join(small(labels), "doc_id").select("text", "toxic"))
+    sample = written(rows.join(small(labels), "doc_id").select("text", "toxic"))
+    if {r["toxic"] for r in sample.select("toxic").distinct().collect()} != set(total["kinds"]):
+        raise ValueError("no document of one label was drawn; raise most_labels or most_bytes")
+    return sample
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, features: int = FEATURES, most_bytes: int = MOST_BYTES) -> Model:

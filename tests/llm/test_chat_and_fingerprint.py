@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tarnwell.llm import chat_format as cf
@@ -99,7 +100,7 @@ def test_fingerprints_are_sums_of_hashed_bits(spark, make):
     units = [re.findall(fp.UNITS, t) for t in texts]
     strings = sorted({v for own in lines + units for v in own})
     seeds = [*range(fp.WIDE), *fp.SEEDS]
-    hashed = {r["v"]: [x & (1 << 64) - 1 for x in r["h"]] for r in spark.createDataFrame([(v,) for v in strings], "v string").select("v", F.array(*[F.xxhash64("v", F.lit(s)) for s in seeds]).alias("h")).collect()}
+    hashed = {r["v"]: [x & (1 << 64) - 1 for x in r["h"]] for r in spark.createDataFrame([(v,) for v in strings], "v string").select("v", F.array(*[F.xxhash64(F.lit(s), "v") for s in seeds]).alias("h")).collect()}
     got = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprints(make(list(enumerate(texts)))).collect()}
     for i in range(len(texts)):
         wide = [sum(hashed[v][k] & fp.WIDE_MASK for v in lines[i]) % (1 << 62) for k in range(fp.WIDE)]
@@ -108,6 +109,16 @@ def test_fingerprints_are_sums_of_hashed_bits(spark, make):
         assert got[i] == "".join(f"{x:016x}" for x in [*wide, len(units[i]), *packed])
 
 
+def test_each_lane_hashes_the_paragraph_under_a_seed_of_its_own(spark):
+    lines = ["one paragraph", "é🙂", "x" * 100]
+    df = spark.createDataFrame([(v,) for v in lines], "v string")
+    seeds = [*range(fp.WIDE), *fp.SEEDS]
+    own = df.select("v", F.array(*[F.xxhash64(F.lit(s)) for s in seeds]).alias("seed"), fp._wide(F.col("v")).alias("lanes")).collect()
+    for r in own:
+        assert len(set(r["seed"])) == len(seeds)
+        assert r["lanes"] == [xxhash.xxh64_intdigest(r["v"].encode(), s & (1 << 64) - 1) & fp.WIDE_MASK for s in r["seed"][: fp.WIDE]]
+
+
 def test_paragraphs_are_added_and_removed(spark):
     df = spark.createDataFrame([("p one. and more\np two", "p three\n", "p three\np two\np one. and more")], "a string, b string, ab string")
     row = printed(df, *df.columns).select((fp.added(F.col("fa"), F.col("fb")) == F.col("fab")).alias("add"), (fp.removed(F.col("fab"), F.col("fb")) == F.col("fa")).alias("cut"), (F.col("fa") == F.col("fb")).alias("same")).first()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm import language_id as li
 from tarnwell.llm import textscan as ts
 from tarnwell.llm import toxicity as tox
+from tarnwell.llm.common import SHARES, in_share
 
 DATA = "/root/testdata/sf0.001"
 
@@ -192,6 +193,20 @@ def test_the_sample_is_bounded_by_bytes(spark, make):
     assert tox.sampled(make([(1, "x" * (tox.LONGEST + 1)), (2, None)]), frame, 400, size).count() == 1
 
 
+def test_tiny_shares_draw_or_raise(spark, make):
+    """A share of 2^-30 of a table, as a billion times the bound would give: never a model of nothing."""
+    texts = [(i, f"some words {i}") for i in range(60)]
+    docs = make(texts).withColumn("lang", F.lit("en"))
+    with pytest.raises(ValueError, match="no document was drawn"):
+        li.learn(docs, public_tokenizers.path("piece_bpe_32k.model"), most_documents=60 / 2**30)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="no document of one label"):
+        tox.fit(make(texts), labels, most_labels=60 / 2**30)
+    keys = spark.range(1 << 20).withColumn("hit", in_share(F.col("id"), F.lit(SHARES >> 12)))
+    assert 150 < keys.where("hit").count() < 370
+    assert spark.range(1000).where(in_share(F.col("id"), F.lit(SHARES))).count() == 1000
+
+
 def test_fit_without_a_chosen_word(spark, make):
     """Labels that no word explains leave a model without weights."""
     docs = [(i, "same words in every text") for i in range(60)]
