@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,6 @@ NETWORKS = (
 )
 
 
-def ip_number(ip: Column) -> Column:
-    """An IPv4 address as a number; null for anything else."""
-    part = lambda i: F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("long")
-    return ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
-
-
 def network_table(spark, networks: tuple = NETWORKS) -> DataFrame:
     """(first, last, prefix, network_type, asn, zone, confidence) of CIDR blocks."""
     rows = []
@@ -87,11 +83,19 @@ def platform(agent: Column) -> Column:
     return F.concat(F.lit("ua:"), F.when(low.contains("android"), "android").when(low.contains("iphone") | low.contains("ipad"), "ios").when(low.contains("windows"), "windows").when(low.contains("mac"), "macos").when(low.contains("linux"), "linux").otherwise("other"))
 
 
+#: Names of time zones that Spark knows too: regions, and UTC; others are compared by name.
+ZONES = sorted(z for z in available_timezones() if "/" in z and not z.startswith(("Etc/", "SystemV/")) or z == "UTC")
+
+
 def zone_mismatch(us: Column, browser: Column, network: Column) -> Column:
-    """Whether two named zones have different offsets at the instant; null or unknown zones never differ."""
-    at = F.timestamp_micros(us)
-    differ = F.from_utc_timestamp(at, browser) != F.from_utc_timestamp(at, network)
-    return F.when(browser.isNotNull() & network.isNotNull(), differ).otherwise(F.lit(False))
+    """Whether two zones have different offsets at the instant; where one of them is no known zone, whether their
+    names differ. Null and empty zones never differ."""
+    at, known = F.timestamp_micros(us), browser.isin(*ZONES) & network.isin(*ZONES)
+    # an unknown name would end the query, so it comes to the conversion as null
+    local = lambda zone: F.from_utc_timestamp(at, F.when(zone.isin(*ZONES), zone))
+    named = (F.trim(browser) != "") & (F.trim(network) != "")
+    differ = F.when(known, local(browser) != local(network)).otherwise(F.lower(F.trim(browser)) != F.lower(F.trim(network)))
+    return F.coalesce(named & differ, F.lit(False))
 
 
 def device_mask(platform: Column, pointer: Column, gpu: Column, short_side: Column, first_platform: Column) -> Column:

@@ -20,18 +20,22 @@ ANONYMISING = ("hosting", "vpn", "tor")
 
 
 def folded(rows: DataFrame, key: str, order: list[str], start: Callable, schema: str) -> DataFrame:
-    """``start()`` gives a key's fold, which takes that key's next events in order and gives rows of ``schema``."""
+    """``start()`` gives a key's fold, which takes that key's next events in order and gives rows of ``schema``.
+
+    Rows without a key have nothing in common: each is folded by itself, and they are dealt to all tasks.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, fold = None, None
         for part in parts:
-            for _, own in part.groupby((part[key] != part[key].shift()).cumsum(), sort=False):
+            alone = part[key].isna()
+            for _, own in part.groupby(((part[key] != part[key].shift()) | alone).cumsum(), sort=False):
                 now = own[key].iloc[0]
-                if fold is None or now != at:
+                if fold is None or pd.isna(now) or now != at:
                     at, fold = now, start()
                 yield fold(own)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(key, F.when(F.col(key).isNull(), F.xxhash64(*order))).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def rearming_flags(rows: DataFrame, key: str, hit: str, span: int = HOUR) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics, features, fusion, models
-from ..sources.bridge import EVENTS_SQL, events, ordered
+from ..sources.bridge import EVENTS_SQL, events, ordered, table, typed
 from ..sources.stable import stable
 from .fusion_queries import CONTRIBUTED, EVIDENCE, PREFIX, evidence, points
 from .graph_queries import FLOW, NOW, OBS, edge_table
@@ -13,7 +13,7 @@ from .graph_queries import graph as graph_operators
 from .registry import query
 
 EV = f"WITH {EVENTS_SQL} "
-STATUS = "['OPEN', 'INVESTIGATING', 'FALSE_POSITIVE', 'CONFIRMED_FRAUD'][CAST(substr({0}, 6) AS INTEGER) % 4 + 1]"
+STATUS = "['OPEN', 'INVESTIGATING', 'FALSE_POSITIVE', 'CONFIRMED_FRAUD'][CAST(substr({0}, 6) AS BIGINT) % 4 + 1]"
 
 
 def status(case: str):
@@ -23,9 +23,9 @@ def status(case: str):
 
 @query("src9_scan_since", EV + f"SELECT event_id, us, kind FROM ev WHERE us >= {NOW}")
 def _(spark, sf_dir):
-    """The filter is on the table's own column, so it reaches the scan."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id")
-    return events(spark, sf_dir).join(e, "event_id", "left_semi").select("event_id", "us", "kind")
+    """The filter is on the table's own column, so it reaches the scan; bursts move events back, never forward."""
+    recent = table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    return typed(recent).where(F.col("us") >= NOW).select("event_id", "us", "kind")
 
 
 @query("src15_payments_as_events", EV + """, t AS (SELECT *, row_number() OVER (PARTITION BY customer, payee ORDER BY us, event_id) AS n FROM ev WHERE kind = 'transaction')
@@ -95,12 +95,12 @@ def _(spark, sf_dir):
     return fusion.fused(points(spark, sf_dir)).orderBy(F.round("log_odds", 9).desc(), "case_id").limit(8).select("case_id", "p_attack")
 
 
-@query("s7_g18_subgraph", OBS + f""", both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT 'acct:7' AS token, 0 AS hops UNION SELECT s.dst, w.hops + 1 FROM w JOIN both_ways s ON s.src = w.token WHERE w.hops < 2 AND w.token NOT IN (SELECT token FROM hub)),
+@query("s7_g18_subgraph", OBS + f""", both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT 'acct:11' AS token, 0 AS hops UNION SELECT s.dst, w.hops + 1 FROM w JOIN both_ways s ON s.src = w.token WHERE w.hops < 2 AND w.token NOT IN (SELECT token FROM hub)),
 near AS (SELECT token, min(hops) AS hops FROM w GROUP BY 1), top AS (SELECT token FROM near ORDER BY hops, token LIMIT 40)
-SELECT 'acct:7' AS start, src, dst, edge_type FROM edges WHERE src IN (SELECT token FROM top) AND dst IN (SELECT token FROM top)""")
+SELECT 'acct:11' AS start, src, dst, edge_type FROM edges WHERE src IN (SELECT token FROM top) AND dst IN (SELECT token FROM top)""")
 def _(spark, sf_dir):
     edges = edge_table(spark, sf_dir)
-    start = spark.range(1).select(F.lit("acct:7").alias("start"))
+    start = spark.range(1).select(F.lit("acct:11").alias("start"))
     return analytics.subgraph(edges, start, 2, graph_operators.excluded(edges), 40)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import detectors, enrich, features, reports, state
+from ..sources import files
 from ..sources.bridge import EVENTS_SQL, events, ordered, table
 from . import feature_queries as fq
 from .registry import query
@@ -185,7 +186,7 @@ def _(spark, sf_dir):
     k = F.col("k")
     block = F.when(k % 4 == 0, "192.0.2").when(k % 4 == 1, "198.51.100").when(k % 4 == 2, "49.207.10").otherwise(F.concat(F.lit("10.1."), k % 7))
     rows = events(spark, sf_dir).select("event_id", F.concat_ws(".", block, (F.col("event_id") % 256).cast("string")).alias("raw"))
-    joined = enrich.range_join(rows.withColumn("ip_number", enrich.ip_number(F.col("raw"))), enrich.network_table(spark))
+    joined = enrich.range_join(rows.withColumn("ip_number", files.ipv4(F.col("raw"))), enrich.network_table(spark))
     return joined.select("event_id", "raw", "network_type", "zone", "confidence", enrich.geo_confidence(F.col("network_type"), F.col("confidence")).alias("geo"))
 
 
@@ -276,11 +277,11 @@ def _(spark, sf_dir):
     return rows.groupBy(F.floor(F.col("p") * 10).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))
 
 
-@query("u_new_customers", f"""WITH {EVENTS_SQL} (SELECT customer FROM ev WHERE kind = 'transaction' UNION SELECT customer FROM ev WHERE kind = 'payee_added') EXCEPT SELECT customer FROM ev WHERE kind = 'mfa_change'""")
+@query("u_new_customers", f"""WITH {EVENTS_SQL} (SELECT customer FROM ev WHERE kind = 'transaction' UNION SELECT customer FROM ev WHERE kind = 'payee_added') EXCEPT SELECT customer FROM ev WHERE kind = 'mfa_change' AND k % 10 = 0""")
 def _(spark, sf_dir):
     e = events(spark, sf_dir)
     some = lambda c: e.where(c).select("customer")
-    return some("kind = 'transaction'").union(some("kind = 'payee_added'")).distinct().subtract(some("kind = 'mfa_change'"))
+    return some("kind = 'transaction'").union(some("kind = 'payee_added'")).distinct().subtract(some("kind = 'mfa_change' and k % 10 = 0"))
 
 
 @query("snk4_audit_chain", f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT event_id, k // 10 AS chain, event_id || '|' || kind AS body, row_number() OVER (PARTITION BY k // 10 ORDER BY event_id) AS n FROM ev),

@@ -1,7 +1,7 @@
 """Fusion, policy, replay and metric queries.
 
-Their evidence is a simple function of every event (see :func:`evidence`), dense enough to exercise every
-rule, so that the SQL can restate the fusion itself prefix by prefix with self-joins. The chain from
+Their evidence is a simple function of every event (see :func:`evidence`) in which every band, floor, pattern
+and policy rule occurs, so that the SQL can restate the fusion itself prefix by prefix with self-joins. The chain from
 detectors to decisions is in :mod:`case_queries`.
 """
 
@@ -16,28 +16,42 @@ from .registry import query
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One item per event: the customer is the case."""
-    e = events(spark, sf_dir)
-    detector = F.when(F.col("kind") == "transaction", "txn").when(F.col("kind") == "payee_added", "graph").when(F.col("kind") == "login", F.when(F.col("result") == "success", "behaviour").otherwise("netsec")).otherwise("auth")
-    stage = F.when(F.col("detector") == "txn", "S6_MONETIZATION").when(F.col("detector") == "graph", "S5_POSITIONING").when(F.col("detector") == "behaviour", "S1_INITIAL_ACCESS").when(F.col("detector") == "netsec", "S0_RECON").otherwise("S2_CONTROL_TAKEOVER")
-    reason = F.when((F.col("detector") == "graph") & (F.col("k") % 4 == 0), "PAYEE_NAME_MISMATCH").when((F.col("detector") == "auth") & (F.col("k") % 9 == 1), "STEP_UP_PASSED_TRUSTED").when((F.col("detector") == "txn") & (F.col("k") % 12 == 5), "APP_SCAM_WARNING").when(F.col("detector") == "netsec", "CREDENTIAL_STUFFING_IP").otherwise("RULE")
+    """One item per event. A customer's cases are spans of 1, 2, 4 or 8 days, so that some have two items and
+    some twenty, and all bands, floors, patterns and policy rules occur among them."""
+    e, k = events(spark, sf_dir), F.col("k")
+    login, paid = F.col("kind") == "login", F.col("kind") == "transaction"
+    detector = F.when(paid, "txn").when(F.col("kind") == "payee_added", "graph").when(login, F.when(F.col("result") == "success", "behaviour").otherwise("netsec")).when((F.col("kind") == "mfa_change") & (k % 5 == 0), "cyber").otherwise("auth")
+    is_ = lambda name: F.col("detector") == name
+    stage = F.when(is_("txn"), "S6_MONETIZATION").when(is_("graph"), "S5_POSITIONING").when(is_("behaviour"), "S1_INITIAL_ACCESS").when(is_("netsec"), "S0_RECON").when(is_("cyber"), "S4_ESCALATION").otherwise("S2_CONTROL_TAKEOVER")
+    reason = (
+        F.when(is_("graph") & (k % 4 == 0), "PAYEE_NAME_MISMATCH").when(is_("graph") & (k % 16 == 5), "SEED_DISTANCE_0")
+        .when(is_("auth") & (k % 50 == 7), "CUSTOMER_DENIED").when(is_("auth") & (k % 9 == 1), "STEP_UP_PASSED_TRUSTED").when(is_("auth") & (k % 13 == 4), "INSIDER_CHANGE_AFTER_NEW_DEVICE_LOGIN")
+        .when(is_("txn") & (k % 12 == 5), "APP_SCAM_WARNING").when(is_("txn") & (k % 12 == 7), "APP_SCAM_COOLING_OFF")
+        .when(is_("netsec") & (k % 3 == 0), "CREDENTIAL_STUFFING_IP").when(is_("netsec") & (k % 3 == 1), "ACCOUNT_DISTRIBUTED_FAILURES")
+        .when(is_("behaviour") & (k % 6 == 2), "SESSION_CONTEXT_CHANGE").otherwise("RULE")
+    )
     family = F.element_at(F.create_map(*[F.lit(x) for pair in fusion.FAMILY.items() for x in pair]), F.col("detector"))
     trust = F.element_at(F.create_map(*[F.lit(x) for d, (a, b) in fusion.RELIABILITY.items() for x in (d, a / (a + b))]), F.col("detector"))
-    rows = e.withColumn("detector", detector)
-    return rows.select(
-        F.col("event_id").alias("evidence_id"), F.col("customer").alias("case_id"), "us", "customer", "detector", family.alias("family"), stage.alias("stage"),
-        (0.004 + (F.col("k") % 23) * 0.0021 + (F.col("event_id") % 997) * 0.000001).alias("p"), trust.alias("reliability"), F.array(reason).alias("reasons"), "amount",
+    number = F.substring("customer", 6, 20).cast("long")
+    days = F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), (number % 4 + 1).cast("int"))
+    p = F.when(k % 25 == 24, 0.93).when(k % 25 == 12, 0.3).otherwise(0.002 + (k % 23) * 0.0021) + (F.col("event_id") % 997) * 0.000001
+    return e.withColumn("detector", detector).select(
+        F.col("event_id").alias("evidence_id"), F.concat(F.lit("case:"), number * 100_000 + F.floor(F.col("us") / (days * 86_400_000_000))).alias("case_id"), "us", "customer", "detector", family.alias("family"), stage.alias("stage"),
+        p.alias("p"), trust.alias("reliability"), F.array(reason).alias("reasons"), "amount", F.array("ip").alias("entities"),
     )
 
 
 EVIDENCE = f"""WITH {EVENTS_SQL},
-d AS (SELECT *, CASE kind WHEN 'transaction' THEN 'txn' WHEN 'payee_added' THEN 'graph' WHEN 'login' THEN CASE WHEN result = 'success' THEN 'behaviour' ELSE 'netsec' END ELSE 'auth' END AS detector FROM ev),
-item AS (SELECT event_id AS evidence_id, customer AS case_id, us, detector, amount,
-  CASE detector WHEN 'txn' THEN 'transaction' WHEN 'behaviour' THEN 'identity' WHEN 'auth' THEN 'device' WHEN 'netsec' THEN 'cyber' ELSE 'graph' END AS family,
-  CASE detector WHEN 'txn' THEN 'S6_MONETIZATION' WHEN 'graph' THEN 'S5_POSITIONING' WHEN 'behaviour' THEN 'S1_INITIAL_ACCESS' WHEN 'netsec' THEN 'S0_RECON' ELSE 'S2_CONTROL_TAKEOVER' END AS stage,
-  CASE WHEN detector = 'graph' AND k % 4 = 0 THEN 'PAYEE_NAME_MISMATCH' WHEN detector = 'auth' AND k % 9 = 1 THEN 'STEP_UP_PASSED_TRUSTED' WHEN detector = 'txn' AND k % 12 = 5 THEN 'APP_SCAM_WARNING' WHEN detector = 'netsec' THEN 'CREDENTIAL_STUFFING_IP' ELSE 'RULE' END AS reason,
-  0.004::DOUBLE + (k % 23) * 0.0021::DOUBLE + (event_id % 997) * 0.000001::DOUBLE AS p,
-  CASE detector WHEN 'txn' THEN 0.85 WHEN 'behaviour' THEN 0.6 WHEN 'auth' THEN 0.7 WHEN 'netsec' THEN 0.5 ELSE 0.8 END AS r FROM d),
+d AS (SELECT *, CASE kind WHEN 'transaction' THEN 'txn' WHEN 'payee_added' THEN 'graph' WHEN 'login' THEN CASE WHEN result = 'success' THEN 'behaviour' ELSE 'netsec' END ELSE CASE WHEN kind = 'mfa_change' AND k % 5 = 0 THEN 'cyber' ELSE 'auth' END END AS detector, CAST(substr(customer, 6) AS BIGINT) AS cn FROM ev),
+item AS (SELECT event_id AS evidence_id, 'case:' || (cn * 100000 + us // (86400000000 * [1, 2, 4, 8][cn % 4 + 1])) AS case_id, us, detector, amount, ip,
+  CASE detector WHEN 'txn' THEN 'transaction' WHEN 'behaviour' THEN 'identity' WHEN 'auth' THEN 'device' WHEN 'netsec' THEN 'cyber' WHEN 'cyber' THEN 'cyber' ELSE 'graph' END AS family,
+  CASE detector WHEN 'txn' THEN 'S6_MONETIZATION' WHEN 'graph' THEN 'S5_POSITIONING' WHEN 'behaviour' THEN 'S1_INITIAL_ACCESS' WHEN 'netsec' THEN 'S0_RECON' WHEN 'cyber' THEN 'S4_ESCALATION' ELSE 'S2_CONTROL_TAKEOVER' END AS stage,
+  CASE WHEN detector = 'graph' AND k % 4 = 0 THEN 'PAYEE_NAME_MISMATCH' WHEN detector = 'graph' AND k % 16 = 5 THEN 'SEED_DISTANCE_0'
+    WHEN detector = 'auth' AND k % 50 = 7 THEN 'CUSTOMER_DENIED' WHEN detector = 'auth' AND k % 9 = 1 THEN 'STEP_UP_PASSED_TRUSTED' WHEN detector = 'auth' AND k % 13 = 4 THEN 'INSIDER_CHANGE_AFTER_NEW_DEVICE_LOGIN'
+    WHEN detector = 'txn' AND k % 12 = 5 THEN 'APP_SCAM_WARNING' WHEN detector = 'txn' AND k % 12 = 7 THEN 'APP_SCAM_COOLING_OFF'
+    WHEN detector = 'netsec' AND k % 3 = 0 THEN 'CREDENTIAL_STUFFING_IP' WHEN detector = 'netsec' AND k % 3 = 1 THEN 'ACCOUNT_DISTRIBUTED_FAILURES' WHEN detector = 'behaviour' AND k % 6 = 2 THEN 'SESSION_CONTEXT_CHANGE' ELSE 'RULE' END AS reason,
+  CASE k % 25 WHEN 24 THEN 0.93::DOUBLE WHEN 12 THEN 0.3::DOUBLE ELSE 0.002::DOUBLE + (k % 23) * 0.0021::DOUBLE END + (event_id % 997) * 0.000001::DOUBLE AS p,
+  CASE detector WHEN 'txn' THEN 0.85 WHEN 'behaviour' THEN 0.6 WHEN 'auth' THEN 0.7 WHEN 'netsec' THEN 0.5 WHEN 'cyber' THEN 0.5 ELSE 0.8 END AS r FROM d WHERE true),
 w AS (SELECT *, CAST(r AS DOUBLE) * greatest(-2.0, least(3.0, ln(p / (1 - p)) - ln(0.01::DOUBLE / 0.99))) AS ell, row_number() OVER (PARTITION BY case_id ORDER BY us, evidence_id) AS k FROM item)"""
 
 PREFIX = EVIDENCE + """,
@@ -52,22 +66,26 @@ firsts AS (SELECT case_id, stage, min(k) AS k, min(us) AS us FROM w WHERE ell >
 three AS (SELECT a.case_id, min(greatest(a.k, b.k, c.k)) AS k FROM firsts a JOIN firsts b ON a.case_id = b.case_id AND a.stage < b.stage JOIN firsts c ON c.case_id = b.case_id AND b.stage < c.stage
   WHERE greatest(a.us, b.us, c.us) - least(a.us, b.us, c.us) <= 1800000000 GROUP BY 1),
 pairs AS (SELECT b.case_id, b.k, a.us FROM w b JOIN w a ON a.case_id = b.case_id AND a.k < b.k AND a.ell > 0 AND b.ell > 0 AND a.stage = 'S2_CONTROL_TAKEOVER' AND b.stage = 'S5_POSITIONING' AND b.us - a.us <= 86400000000),
+cloud AS (SELECT b.case_id, min(b.k) AS k FROM w b JOIN w a ON a.case_id = b.case_id AND a.k < b.k AND a.ip = b.ip AND a.ell > 0 AND b.ell > 0 AND b.detector = 'cyber' GROUP BY 1),
+marks AS (SELECT case_id, k, bool_or(reason = 'CUSTOMER_DENIED') OVER upto AS denied, bool_or(detector = 'graph' AND reason = 'SEED_DISTANCE_0') OVER upto AS seed,
+  coalesce(max(CASE WHEN detector = 'txn' AND p >= 0.9 THEN us END) OVER upto > coalesce(max(CASE WHEN reason = 'STEP_UP_PASSED_TRUSTED' THEN us END) OVER upto, -1), false) AS sure FROM w WINDOW upto AS (PARTITION BY case_id ORDER BY k)),
 positioned AS (SELECT DISTINCT x.case_id, x.k FROM w x JOIN pairs p ON p.case_id = x.case_id AND p.k <= x.k WHERE NOT EXISTS (SELECT 1 FROM w d WHERE d.case_id = x.case_id AND d.k <= x.k AND d.reason = 'STEP_UP_PASSED_TRUSTED' AND d.us >= p.us)),
 f AS (SELECT w.*, s.total, s.amount AS risk, coalesce(ato1.k <= w.k, false) AS ato1, coalesce(ato2.k <= w.k, false) AND NOT coalesce(ato1.k <= w.k, false) AS ato2, coalesce(app.k <= w.k, false) AND NOT coalesce(s2.k <= w.k, false) AS app,
-  coalesce(three.k <= w.k, false) AS three, positioned.k IS NOT NULL AS pos FROM w JOIN s ON s.case_id = w.case_id AND s.upto = w.k LEFT JOIN ato1 ON ato1.case_id = w.case_id LEFT JOIN ato2 ON ato2.case_id = w.case_id LEFT JOIN app ON app.case_id = w.case_id
+  coalesce(three.k <= w.k, false) AS three, positioned.k IS NOT NULL AS pos, coalesce(cloud.k <= w.k, false) AS cloud, marks.denied, marks.seed, marks.sure FROM w JOIN marks ON marks.case_id = w.case_id AND marks.k = w.k LEFT JOIN cloud ON cloud.case_id = w.case_id JOIN s ON s.case_id = w.case_id AND s.upto = w.k LEFT JOIN ato1 ON ato1.case_id = w.case_id LEFT JOIN ato2 ON ato2.case_id = w.case_id LEFT JOIN app ON app.case_id = w.case_id
   LEFT JOIN s2 ON s2.case_id = w.case_id LEFT JOIN three ON three.case_id = w.case_id LEFT JOIN positioned ON positioned.case_id = w.case_id AND positioned.k = w.k),
-g AS (SELECT *, ln(0.01::DOUBLE / 0.99) + total + CASE WHEN ato1 THEN 0.5 ELSE 0 END + CASE WHEN ato2 THEN 0.5 ELSE 0 END + CASE WHEN app THEN 1.0 ELSE 0 END AS log_odds FROM f),
+g AS (SELECT *, ln(0.01::DOUBLE / 0.99) + total + CASE WHEN ato1 THEN 0.5 ELSE 0 END + CASE WHEN ato2 THEN 0.5 ELSE 0 END + CASE WHEN app THEN 1.0 ELSE 0 END + CASE WHEN cloud THEN 0.3 ELSE 0 END AS log_odds FROM f),
 h AS (SELECT *, 1 / (1 + exp(-log_odds)) AS p_attack FROM g),
-b AS (SELECT *, CASE WHEN p_attack >= 0.8 THEN 4 WHEN p_attack >= 0.5 THEN 3 WHEN p_attack >= 0.2 THEN 2 ELSE 1 END AS raw, greatest(raw, CASE WHEN pos THEN 3 ELSE 1 END, CASE WHEN three THEN 2 ELSE 1 END) AS lvl FROM h),
+b AS (SELECT *, CASE WHEN p_attack >= 0.8 THEN 4 WHEN p_attack >= 0.5 THEN 3 WHEN p_attack >= 0.2 THEN 2 ELSE 1 END AS raw, greatest(raw, CASE WHEN denied THEN 4 WHEN pos OR seed OR sure THEN 3 ELSE 1 END, CASE WHEN three THEN 2 ELSE 1 END) AS lvl FROM h),
 t AS (SELECT *, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][lvl] AS band FROM b)"""
 
 DECIDED = PREFIX + """,
-rule AS (SELECT *, CASE WHEN band = 'CRITICAL' THEN 'critical' WHEN pos THEN 'ato_new_payee_hold' WHEN band = 'HIGH' THEN 'high' WHEN app THEN 'app_scam_hold' WHEN band = 'MEDIUM' AND reason = 'APP_SCAM_WARNING' THEN 'app_scam_warning_medium'
-  WHEN band = 'MEDIUM' THEN 'medium' WHEN reason = 'APP_SCAM_WARNING' THEN 'app_scam_warning' WHEN reason = 'CREDENTIAL_STUFFING_IP' THEN 'credential_stuffing' ELSE 'low' END AS rule0 FROM t),
-own AS (SELECT *, CASE WHEN rule0 = 'critical' THEN 2 WHEN rule0 IN ('ato_new_payee_hold', 'high', 'app_scam_hold') THEN 1 ELSE 0 END AS own FROM rule),
-cand AS (SELECT a.*, a.detector = 'auth' AND a.ell > 0 AND a.reason <> 'STEP_UP_PASSED_TRUSTED' AND a.lvl >= 3 AND a.own < 2 AND coalesce((SELECT max(x.own) FROM own x WHERE x.case_id = a.case_id AND x.k < a.k), 0) = 1 AS c FROM own a),
+rule AS (SELECT *, CASE WHEN band = 'CRITICAL' THEN 'critical' WHEN pos THEN 'ato_new_payee_hold' WHEN sure THEN 'txn_high_confidence_hold' WHEN reason = 'APP_SCAM_COOLING_OFF' THEN 'app_scam_cooling_off' WHEN band = 'HIGH' THEN 'high' WHEN app THEN 'app_scam_hold'
+  WHEN reason = 'INSIDER_CHANGE_AFTER_NEW_DEVICE_LOGIN' THEN 'insider_staff_change' WHEN band = 'MEDIUM' AND reason = 'APP_SCAM_WARNING' THEN 'app_scam_warning_medium'
+  WHEN band = 'MEDIUM' THEN 'medium' WHEN reason = 'APP_SCAM_WARNING' THEN 'app_scam_warning' WHEN reason = 'CREDENTIAL_STUFFING_IP' THEN 'credential_stuffing' WHEN reason = 'ACCOUNT_DISTRIBUTED_FAILURES' THEN 'distributed_stuffing' WHEN reason = 'SESSION_CONTEXT_CHANGE' THEN 'session_context_change' ELSE 'low' END AS rule0 FROM t),
+own AS (SELECT *, CASE WHEN rule0 = 'critical' THEN 2 WHEN rule0 IN ('ato_new_payee_hold', 'txn_high_confidence_hold', 'app_scam_cooling_off', 'high', 'app_scam_hold', 'insider_staff_change') THEN 1 ELSE 0 END AS own FROM rule),
+cand AS (SELECT a.*, a.detector IN ('auth', 'cyber') AND a.ell > 0 AND a.reason NOT IN ('STEP_UP_PASSED_TRUSTED', 'CUSTOMER_DENIED') AND a.lvl >= 3 AND a.own < 2 AND coalesce((SELECT max(x.own) FROM own x WHERE x.case_id = a.case_id AND x.k < a.k), 0) = 1 AS c FROM own a),
 late AS (SELECT *, c AND k = (SELECT min(k) FROM cand y WHERE y.case_id = cand.case_id AND y.c) AS late FROM cand),
-dec AS (SELECT *, CASE WHEN late THEN 'late_evidence_block' ELSE rule0 END AS rule, CASE WHEN late THEN 2 ELSE own END AS st, CASE WHEN late THEN 3 ELSE CASE rule0 WHEN 'critical' THEN 3 WHEN 'ato_new_payee_hold' THEN 2 WHEN 'high' THEN 2 WHEN 'app_scam_hold' THEN 2 WHEN 'low' THEN 0 ELSE 1 END END AS severity FROM late)"""
+dec AS (SELECT *, CASE WHEN late THEN 'late_evidence_block' ELSE rule0 END AS rule, CASE WHEN late THEN 2 ELSE own END AS st, CASE WHEN late THEN 3 ELSE CASE WHEN own = 2 THEN 3 WHEN own = 1 THEN 2 WHEN rule0 = 'low' THEN 0 ELSE 1 END END AS severity FROM late)"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +97,8 @@ def joined(c: str):
 
 
 @query("r1_fused_timeline", PREFIX + """ SELECT case_id, evidence_id, round(log_odds, 6) AS log_odds, round(p_attack, 6) AS p_attack, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][raw] AS band_before_floors, band, CAST(risk AS BIGINT) AS amount_at_risk,
-  array_to_string(list_filter([CASE WHEN ato1 THEN 'pat_ATO1' END, CASE WHEN app THEN 'pat_APP_SCAM1' END, CASE WHEN ato2 THEN 'pat_ATO2' END], lambda x: x IS NOT NULL), ',') AS patterns,
-  array_to_string(list_filter([CASE WHEN three THEN 'floor_THREE_STAGES' END, CASE WHEN pos THEN 'floor_S2_THEN_NEW_PAYEE' END], lambda x: x IS NOT NULL), ',') AS floors FROM t""")
+  array_to_string(list_filter([CASE WHEN ato1 THEN 'pat_ATO1' END, CASE WHEN cloud THEN 'pat_CASE_IP_CLOUD' END, CASE WHEN app THEN 'pat_APP_SCAM1' END, CASE WHEN ato2 THEN 'pat_ATO2' END], lambda x: x IS NOT NULL), ',') AS patterns,
+  array_to_string(list_filter([CASE WHEN denied THEN 'floor_CUSTOMER_DENIED' END, CASE WHEN seed THEN 'floor_SEED_PAYEE' END, CASE WHEN three THEN 'floor_THREE_STAGES' END, CASE WHEN pos THEN 'floor_S2_THEN_NEW_PAYEE' END, CASE WHEN sure THEN 'floor_TXN_HIGH_CONFIDENCE' END], lambda x: x IS NOT NULL), ',') AS floors FROM t""")
 def _(spark, sf_dir):
     return points(spark, sf_dir).select("case_id", "evidence_id", "log_odds", "p_attack", "band_before_floors", "band", "amount_at_risk", joined("patterns").alias("patterns"), joined("floors").alias("floors"))
 
@@ -108,7 +126,7 @@ def _(spark, sf_dir):
     return fusion.waterfall(fusion.contributions(evidence(spark, sf_dir)))
 
 
-@query("p1_p4_decisions", DECIDED + """, o AS (SELECT *, CASE WHEN rule0 IN ('ato_new_payee_hold', 'high', 'app_scam_hold') THEN 'STEP_UP_TRUSTED_FACTOR' WHEN rule0 IN ('medium', 'app_scam_warning_medium') THEN 'STEP_UP_ANY_FACTOR' ELSE '' END AS su FROM dec)
+@query("p1_p4_decisions", DECIDED + """, o AS (SELECT *, CASE WHEN rule0 IN ('ato_new_payee_hold', 'txn_high_confidence_hold', 'high', 'app_scam_hold') THEN 'STEP_UP_TRUSTED_FACTOR' WHEN rule0 IN ('medium', 'app_scam_warning_medium', 'session_context_change') THEN 'STEP_UP_ANY_FACTOR' ELSE '' END AS su FROM dec)
 SELECT case_id, evidence_id, rule, CAST(severity AS INTEGER) AS severity, ['normal', 'held', 'blocked'][CAST(max(st) OVER (PARTITION BY case_id ORDER BY k) AS INTEGER) + 1] AS payment_state,
   CASE WHEN su <> '' AND su IS DISTINCT FROM lag(su) OVER (PARTITION BY case_id ORDER BY k) THEN su ELSE '' END AS step_up FROM o""")
 def _(spark, sf_dir):
@@ -131,7 +149,7 @@ def _(spark, sf_dir):
     return policy.replay(policy.decisions(points(spark, sf_dir)))
 
 
-@query("r3_replay_without_auth", DECIDED.replace(" FROM ev),", " FROM ev WHERE kind NOT LIKE 'mfa%'),", 1) + REPLAY)
+@query("r3_replay_without_auth", DECIDED.replace(" FROM d WHERE true)", " FROM d WHERE detector <> 'auth')", 1) + REPLAY)
 def _(spark, sf_dir):
     return policy.replay(policy.decisions(fusion.timeline(evidence(spark, sf_dir).where("detector <> 'auth'"))))
 
@@ -153,10 +171,10 @@ def _(spark, sf_dir):
     return rows.where("from_stage <> stage").groupBy("from_stage", F.col("stage").alias("to_stage")).agg(F.count("*").alias("count"), F.percentile("gap", F.lit(0.5)).alias("median_minutes"))
 
 
-@query("s1_case_queue", PREFIX + " SELECT case_id, band, round(p_attack, 6) AS p_attack, us FROM t WHERE k = (SELECT max(k) FROM w x WHERE x.case_id = t.case_id) ORDER BY lvl DESC, p_attack DESC, us DESC, case_id LIMIT 50")
+@query("s1_case_queue", PREFIX + " SELECT case_id, band, round(p_attack, 6) AS p_attack, us FROM t WHERE k = (SELECT max(k) FROM w x WHERE x.case_id = t.case_id) ORDER BY lvl DESC, round(log_odds, 9) DESC, us DESC, case_id LIMIT 50")
 def _(spark, sf_dir):
     cases = fusion.fused(points(spark, sf_dir))
-    return cases.orderBy(fusion.band_rank(F.col("band")).desc(), F.desc("p_attack"), F.desc("us"), "case_id").limit(50).select("case_id", "band", "p_attack", "us")
+    return cases.orderBy(fusion.band_rank(F.col("band")).desc(), F.round("log_odds", 9).desc(), F.desc("us"), "case_id").limit(50).select("case_id", "band", "p_attack", "us")
 
 
 SLICE = f"""WITH {EVENTS_SQL}, tx AS (SELECT * FROM ev WHERE kind = 'transaction'),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import scalars
 from tarnwell.operators import enrich, fusion, policy, state
+from tarnwell.sources import files
 from tarnwell.streaming import folds
 
 
@@ -41,7 +42,7 @@ def test_scalars(spark):
 def test_range_join_takes_the_most_specific(spark):
     ranges = enrich.network_table(spark, (("10.0.0.0/8", "mobile", "AS1", "UTC", 0.5), ("10.1.2.0/24", "vpn", "AS2", "UTC", 0.9)))
     rows = spark.createDataFrame([(1, "10.1.2.3"), (2, "10.9.9.9"), (3, "11.0.0.1"), (4, "bad")], "event_id long, ip string")
-    found = enrich.range_join(rows.withColumn("ip_number", enrich.ip_number(F.col("ip"))), ranges)
+    found = enrich.range_join(rows.withColumn("ip_number", files.ipv4(F.col("ip"))), ranges)
     assert {r["event_id"]: r["network_type"] for r in found.collect()} == {1: "vpn", 2: "mobile", 3: None, 4: None}
 
 
