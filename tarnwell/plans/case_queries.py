@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cases, detectors, features, fusion, graph, policy
+from ..functions.scalars import kind
+from ..operators import asof, cases, detectors, features, fusion, graph, joiner, policy
 from ..sources.bridge import events, ordered
 from ..sources.stable import stable
 from .graph_queries import FLOW, NOW, OBS, SEEDS, edge_table, tokens
@@ -17,39 +18,58 @@ ENTITIES = ("customer", "account", "device", "ip", "payee")
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evidence of all detectors over the bridged events, at the rules' own thresholds, with entities.
+    """The evidence of all detectors over the bridged events, at the rules' own thresholds, with entities, and what the
+    graph said of the payee when the event came.
 
     Feature tables are joined to events by event_id; each detector is a union branch of its own kinds.
     """
     e = stable(ordered(events(spark, sf_dir)))
-    edges = edge_table(spark, sf_dir)
-    skip = stable(graph.excluded(edges))
+    seen = stable(asof.sightings(e))
+    edges = stable(asof.first_edges(seen))
+    skip = stable(asof.excluded_since(edges))
     logins = e.join(features.logins(e), "event_id").join(features.ip_failures(e), "event_id").join(features.account_failures(e), "event_id").join(features.global_failures(e), "event_id")
-    control = e.join(features.devices(e), "event_id").join(features.challenges(e), "event_id", "left")
-    paid = e.join(features.payees(e), "event_id").join(features.amounts(e), "event_id").join(features.transfer_windows(e), "event_id").join(features.devices(e), "event_id")
-    standing = with_standing(spark, stable(paid), edges, skip)
+    devices = stable(features.devices(e))
+    control = e.join(devices, "event_id").join(features.challenges(e), "event_id", "left")
+    paid = e.join(features.payees(e), "event_id").join(features.amounts(e), "event_id").join(features.transfer_windows(e), "event_id").join(devices, "event_id")
+    told = stable(with_standing(spark, stable(paid), seen, edges, skip))
     first = F.row_number().over(features.Window.partitionBy("account", "payee").orderBy("o")) == 1
-    scam = detectors.app_scam(standing.withColumn("first_payment", first)).select("event_id", F.col("level").alias("app_level"))
+    scam = detectors.app_scam(told.withColumn("first_payment", first)).select("event_id", F.col("level").alias("app_level"))
     found = [
-        detectors.stuffing(stable(logins)), detectors.travel(logins), detectors.account_control(control), detectors.payments(paid).drop("amount"),
-        detectors.payee_graph(standing.join(scam, "event_id", "left")),
+        detectors.stuffing(stable(logins)), detectors.travel(logins), detectors.account_control(control), detectors.payments(told).drop("amount"),
+        detectors.payee_graph(told.join(scam, "event_id", "left")),
     ]
     items = reduce(DataFrame.unionByName, found)
-    own = e.select("event_id", "us", "customer", "amount", F.array("account").alias("own"), F.array_compact(F.array(*ENTITIES)).alias("entities"))
-    return items.join(own, "event_id").withColumn("evidence_id", F.concat_ws("-", F.col("event_id").cast("string"), "detector"))
-
-
-def with_standing(spark: SparkSession, rows: DataFrame, edges: DataFrame, skip: DataFrame) -> DataFrame:
-    """``rows`` with what the graph says of their payee and account at ``NOW``."""
-    mules = stable(graph.mule_signals(edges, NOW, skip))
-    payees = rows.select(F.col("payee").alias("start")).where("start is not null").distinct()
-    near = graph.seed_distance(edges, payees, tokens(spark, SEEDS, "seed"), skip).select(F.col("start").alias("payee"), F.col("hops").alias("seed_hops"))
-    flow = graph.flow_profile(edges, NOW).select(F.col("account").alias("payee"), F.col("account_age_days").alias("payee_age_days"))
-    good = graph.reputation(edges, NOW).select(F.col("account").alias("payee"), "reputable")
-    out = rows.withColumns({"seed_weakest": F.lit(None).cast("double")})
-    for more in (near, flow, good, mules.select(F.col("account").alias("payee"), F.col("codes").alias("payee_mule"))):
-        out = out.join(more, "payee", "left")
-    return out.join(mules.select("account", F.col("codes").alias("sender_mule")), "account", "left")
+    own = e.select("event_id", "us", "o", "customer", "payee", "amount", F.array("account").alias("own"), F.array_compact(F.array(*ENTITIES)).alias("entities"))
+    payee = told.select("event_id", "reputable", "suspicious")
+    return join_items(items.join(own, "event_id").join(payee, "event_id", "left").withColumn("evidence_id", F.concat_ws("-", F.col("event_id").cast("string"), "detector")), skip)
+
+
+def with_standing(spark: SparkSession, rows: DataFrame, seen: DataFrame, edges: DataFrame, skip: DataFrame) -> DataFrame:
+    """``rows`` (event_id, o, us, account, payee, ...) with what the graph said of their payee and sender at their own time."""
+    ask = lambda who: rows.where(F.col(who).isNotNull()).select(F.concat_ws(":", F.col("event_id").cast("string"), F.lit(who)).alias("ask"), F.col(who).alias("account"), "o", "us")
+    asked = stable(ask("payee").unionByName(ask("account")))
+    told = stable(asof.standing(seen, asked).join(asof.seed_paths(asof.seed_walks(edges, tokens(spark, SEEDS, "seed"), skip), asked), "ask", "left"))
+    event = lambda who: (F.split("ask", ":")[0].cast("long").alias("event_id"), F.split("ask", ":")[1] == who)
+    i, of_payee = event("payee")
+    odd = (F.col("tenured") < 3) | (F.size("codes") > 0) | F.coalesce(F.col("seed_hops") <= 2, F.lit(False))
+    near = F.coalesce(F.col("seed_hops") <= 2, F.lit(False))
+    payee = told.where(of_payee).select(i, F.col("age_days").alias("payee_age_days"), (F.col("reputable") & ~near).alias("reputable"), F.col("codes").alias("payee_mule"), "seed_hops", F.when(F.col("paths") == 1, F.col("weakest")).alias("seed_weakest"), odd.alias("suspicious"))
+    i, of_sender = event("account")
+    return rows.join(payee, "event_id", "left").join(told.where(of_sender).select(i, F.col("codes").alias("sender_mule")), "event_id", "left")
+
+
+def join_items(evidence: DataFrame, skip: DataFrame) -> DataFrame:
+    """``evidence`` (with o, own, entities, payee, reputable, suspicious) with the tokens that join it, as they stood at its time:
+    those of ``cases.KINDS`` that are not excluded, without a payee that is reputable."""
+    rows = evidence.select("evidence_id", "o", "own", "payee", "reputable", "suspicious", F.explode(F.array_distinct("entities")).alias("token"))
+    rows = asof.still(rows.where(kind(F.col("token")).isin(*cases.KINDS)), skip)
+    bridge = (kind(F.col("token")) == "acct") & ~F.array_contains("own", F.col("token"))
+    rows = rows.withColumn("bridge", bridge).where(~(F.col("bridge") & F.coalesce("reputable", F.lit(False))))
+    listed = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("token"))))
+    found = rows.groupBy("evidence_id").agg(listed(F.lit(True)).alias("tokens"), listed(F.col("bridge")).alias("bridges"), listed(F.col("bridge") & F.coalesce("suspicious", F.lit(False))).alias("odd"))
+    none = F.array().cast("array<string>")
+    out = evidence.drop("o", "payee", "reputable", "suspicious").join(found, "evidence_id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("tokens", "bridges", "odd")} | {"weight": fusion.weight(F.col("p"), F.col("reliability"))})
 
 
 def cased(spark: SparkSession, sf_dir: str, evidence: DataFrame, deep: bool = False) -> DataFrame:
@@ -109,10 +129,34 @@ def _(spark, sf_dir):
     return cases.case_table(cased(spark, sf_dir, sample_evidence(spark, sf_dir), deep=True)).withColumn("stages", F.array_join("stages", ","))
 
 
+def simple_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample evidence with the tokens that join it as of each event."""
+    e = stable(ordered(events(spark, sf_dir)))
+    seen = stable(asof.sightings(e))
+    edges = stable(asof.first_edges(seen))
+    skip = stable(asof.excluded_since(edges))
+    told = with_standing(spark, e.where("payee is not null"), seen, edges, skip).select(F.col("event_id").alias("evidence_id"), "reputable", "suspicious")
+    items = sample_evidence(spark, sf_dir).join(e.select(F.col("event_id").alias("evidence_id"), "o", "payee"), "evidence_id").join(told, "evidence_id", "left")
+    families = F.create_map(*[F.lit(x) for kv in (("S6_MONETIZATION", "transaction"), ("S5_POSITIONING", "graph"), ("S1_INITIAL_ACCESS", "identity"), ("S2_CONTROL_TAKEOVER", "device")) for x in kv])
+    return join_items(items.withColumns({"evidence_id": F.col("evidence_id").cast("string"), "reliability": F.lit(0.7), "family": F.element_at(families, F.col("stage"))}), skip)
+
+
+@query("c2_c4_joined_cases")
+def _(spark, sf_dir):
+    """Cases of the sample evidence joined as it arrives, over the graph as of each event; items and customers of each."""
+    items = stable(simple_items(spark, sf_dir))
+    own, found = joiner.join_cases(items)
+    counts = own.join(items.select("evidence_id", "customer", "us"), "evidence_id").groupBy("case_id").agg(F.count("*").alias("items"), F.countDistinct("customer").alias("customers"), F.min("us").alias("first_us"))
+    return found.join(counts, "case_id")
+
+
 @query("r1_detected_cases")
 def _(spark, sf_dir):
-    """Every step from events to decisions: detectors, joining, fusion, policy; one row per case."""
-    items = stable(cased(spark, sf_dir, detected(spark, sf_dir)))
+    """Every step from events to decisions: detectors over the graph as of each event, joining as evidence arrives, fusion,
+    policy; one row per case."""
+    items = stable(detected(spark, sf_dir))
+    own, found = joiner.join_cases(items)
+    items = stable(items.drop("weight", "tokens", "bridges", "odd").join(own, "evidence_id").join(found.select("case_id", "anchor"), "case_id"))
     decided = policy.decisions(fusion.timeline(items))
     last = decided.groupBy("case_id").agg(F.max_by(F.struct("p_attack", "band", "rule", "payment_state", "us"), F.struct("us", "evidence_id")).alias("x"))
     return cases.case_table(items).join(last.select("case_id", "x.p_attack", "x.band", "x.rule", "x.payment_state"), "case_id").withColumn("stages", F.array_join("stages", ","))

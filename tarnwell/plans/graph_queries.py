@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import asof, graph
 from ..sources.bridge import EVENTS_SQL, events, ordered
 from ..sources.stable import stable
 from .registry import query
@@ -148,3 +148,61 @@ def _(spark, sf_dir):
 @query("g11_dormant_accounts", OBS + FLOW.format(days=3) + " SELECT account FROM age WHERE idle")
 def _(spark, sf_dir):
     return graph.dormant(edge_table(spark, sf_dir), NOW, days=3)
+
+
+#: Facts and questions in the order of events, o: what the graph said of a payee when the event came.
+ASOF = OBS + """, num AS (SELECT event_id, us::HUGEINT * 2097152 + row_number() OVER (PARTITION BY us ORDER BY event_id) - 1 AS o FROM ev),
+sn AS (SELECT obs.*, o FROM obs JOIN num USING (event_id)), fe AS (SELECT src, dst, edge_type, CAST(max(confidence) AS DOUBLE) AS c, min(o) AS since FROM sn GROUP BY 1, 2, 3),
+q AS (SELECT event_id, us, o, payee AS account FROM ev JOIN num USING (event_id) WHERE payee IS NOT NULL)"""
+HUBS = """, ow AS (SELECT src AS customer, dst AS account, since AS owned FROM fe WHERE edge_type = 'OWNS'),
+bd AS (SELECT fe.dst AS token, customer, min(greatest(since, owned)) AS since FROM fe JOIN ow ON ow.account = fe.src WHERE edge_type = 'LOGGED_IN_FROM' GROUP BY 1, 2),
+lk AS (SELECT account AS token, customer, owned AS since FROM ow UNION ALL SELECT * FROM bd
+  UNION ALL SELECT fe.dst, customer, greatest(since, owned) FROM fe JOIN ow ON ow.account = fe.src WHERE edge_type IN ('SENT', 'ADDED_PAYEE')
+  UNION ALL SELECT fe.src, customer, greatest(since, owned) FROM fe JOIN ow ON ow.account = fe.dst WHERE edge_type IN ('SENT', 'ADDED_PAYEE')
+  UNION ALL SELECT fe.dst, customer, greatest(fe.since, bd.since) FROM fe JOIN bd ON bd.token = fe.src WHERE edge_type = 'CONNECTED_VIA'),
+hs AS (SELECT token, since AS gone FROM (SELECT token, since, row_number() OVER (PARTITION BY token ORDER BY since) AS n FROM (SELECT token, customer, min(since) AS since FROM lk GROUP BY 1, 2)) WHERE n = 21)"""
+
+
+def asked_payees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sightings of all events, and each event's payee as a question."""
+    e = stable(ordered(events(spark, sf_dir)))
+    return stable(asof.sightings(e)), e.where("payee is not null").select(F.col("event_id").alias("ask"), F.col("payee").alias("account"), "o", "us")
+
+
+@query("g5_hubs_since", ASOF + HUBS + " SELECT token, CAST(floor(gone / 2097152) AS BIGINT) AS since_us FROM hs")
+def _(spark, sf_dir):
+    found = asof.excluded_since(asof.first_edges(asked_payees(spark, sf_dir)[0]))
+    return found.select("token", F.floor(F.col("since") / 2097152).cast("long").alias("since_us"))
+
+
+@query("g16_standing_asof", ASOF + """, pf AS (SELECT dst AS account, src, min(o) AS o, min(us) AS us FROM sn WHERE edge_type IN ('SENT', 'ADDED_PAYEE') GROUP BY 1, 2),
+mf AS (SELECT dst AS account, src, min(o) AS o, min(us) AS us FROM sn WHERE edge_type = 'SENT' GROUP BY 1, 2), bf AS (SELECT src AS account, dst, min(o) AS o, min(us) AS us FROM sn WHERE edge_type = 'SENT' GROUP BY 1, 2),
+fa AS (SELECT account, o, us, 1 AS payer, 0 AS money, 0 AS ben FROM pf UNION ALL SELECT account, o, us, 0, 1, 0 FROM mf UNION ALL SELECT account, o, us, 0, 0, 1 FROM bf),
+bn AS (SELECT account, min(us) AS us FROM (SELECT src AS account, us FROM sn WHERE src LIKE 'acct:%' UNION ALL SELECT dst, us FROM sn WHERE dst LIKE 'acct:%') GROUP BY 1),
+lg AS (SELECT dst AS account, o, us, us AS came FROM sn WHERE edge_type = 'SENT' UNION ALL SELECT src, o, us, NULL FROM sn WHERE edge_type = 'SENT'),
+gp AS (SELECT account, o, us, came, (us - max(came) OVER (PARTITION BY account ORDER BY o ROWS UNBOUNDED PRECEDING)) / 60000000.0 AS gap FROM lg),
+ct AS (SELECT event_id, coalesce(sum(payer), 0) AS payers, coalesce(sum(payer) FILTER (WHERE fa.us <= q.us - 604800000000), 0) AS tenured, coalesce(sum(payer) FILTER (WHERE fa.us >= q.us - 86400000000), 0) AS fresh,
+  coalesce(sum(money) FILTER (WHERE fa.us >= q.us - 86400000000), 0) AS fresh_money, coalesce(sum(ben) FILTER (WHERE fa.us >= q.us - 86400000000), 0) AS outbound FROM q LEFT JOIN fa ON fa.account = q.account AND fa.o <= q.o GROUP BY 1),
+pt AS (SELECT event_id, min(gap) AS gap FROM q JOIN gp ON gp.account = q.account AND gp.o <= q.o AND gp.us >= q.us - 86400000000 AND gp.came IS NULL GROUP BY 1),
+al AS (SELECT q.event_id, q.account, payers, tenured, fresh, fresh_money, outbound, (q.us - bn.us) / 86400000000.0 AS age, gap FROM q JOIN ct USING (event_id) LEFT JOIN pt USING (event_id) LEFT JOIN bn ON bn.account = q.account AND bn.us <= q.us)
+SELECT event_id AS ask, account, CAST(payers AS BIGINT) AS payers, CAST(tenured AS BIGINT) AS tenured, CAST(fresh AS BIGINT) AS fresh, CAST(fresh_money AS BIGINT) AS fresh_money, CAST(outbound AS BIGINT) AS outbound, round(age, 6) AS age_days, round(gap, 6) AS pass_through_min,
+  coalesce(age >= 10 AND tenured >= 3 AND tenured >= 0.5 * payers AND fresh <= 0.5 * payers AND NOT (outbound > 0 AND fresh > 0), false) AS reputable,
+  array_to_string(list_filter([CASE WHEN fresh_money >= 2 AND gap <= 180 THEN 'MULE_PASS_THROUGH' END, CASE WHEN outbound >= 3 AND fresh_money >= 1 THEN 'MULE_FAN_OUT' END, CASE WHEN age < 7 AND fresh_money >= 3 THEN 'MULE_FAN_IN_NEW_ACCOUNT' END], lambda x: x IS NOT NULL), ',') AS codes FROM al""")
+def _(spark, sf_dir):
+    seen, asked = asked_payees(spark, sf_dir)
+    return asof.standing(seen, asked, age_days=10.0).withColumn("codes", F.array_join("codes", ","))
+
+
+@query("g8_seed_paths", ASOF + HUBS + f""", st AS (SELECT src AS a, dst AS b, c, since FROM fe UNION ALL SELECT dst, src, c, since FROM fe),
+wk(token, hops, path, weakest, since, until) AS (SELECT seed, 0, [seed], 1.0::DOUBLE, 0::HUGEINT, 100000000000000000000000000000::HUGEINT FROM (VALUES {", ".join(f"('{s}')" for s in SEEDS)}) s(seed)
+  UNION ALL SELECT st.b, hops + 1, list_prepend(st.b, path), least(weakest, st.c), greatest(wk.since, st.since), least(wk.until, coalesce(hs.gone, wk.until)) FROM wk JOIN st ON st.a = wk.token LEFT JOIN hs ON hs.token = wk.token
+    WHERE hops < 3 AND NOT list_contains(path, st.b) AND greatest(wk.since, st.since) < least(wk.until, coalesce(hs.gone, wk.until))),
+th AS (SELECT event_id, hops, path, max(weakest) AS weakest FROM q JOIN wk ON wk.token = q.account AND wk.since <= q.o AND q.o < wk.until GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY hops, path) AS n, min(hops) OVER (PARTITION BY event_id) AS near FROM th)
+SELECT event_id AS ask, near AS seed_hops, count(*) AS paths, arg_min(weakest, n) AS weakest, array_to_string(arg_min(path, n), ' > ') AS path FROM rk WHERE hops = near AND n <= 2 GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    """Up to two shortest paths from each payee to a seed, over the graph as of its event."""
+    seen, asked = asked_payees(spark, sf_dir)
+    edges = stable(asof.first_edges(seen))
+    walks = asof.seed_walks(edges, tokens(spark, SEEDS, "seed"), asof.excluded_since(edges))
+    return asof.seed_paths(walks, asked).withColumn("path", F.array_join("path", " > "))
