@@ -22,6 +22,8 @@ from .common import slices, written
 from .token_model import encoder
 
 CAPACITY, SHARD_TOKENS = 1024, 1 << 20
+#: Bytes of text that a task encodes at a time; its arrays take some hundred bytes for each.
+SLICE = 1 << 18
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -57,7 +59,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, w
     """Full pieces (their ids only if asked for) and rests (with ids) of each row of ``docs``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most_bytes=SLICE):
             ids, at = encoder(vocabulary).encode(part.column("text").fill_null("").to_pylist())
             ids = np.insert(ids, at[1:], end_id).astype("<u4")
             at = at + np.arange(len(at))
