@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics_queries, case_queries, detector_queries, feature_queries, fusion_queries, graph_queries, report_queries  # noqa: F401  they register their queries
+from . import analytics_queries, case_queries, detector_queries, feature_queries, fusion_queries, graph_queries, report_queries, stream_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
