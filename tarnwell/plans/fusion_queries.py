@@ -17,7 +17,8 @@ from .registry import query
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item per event. A customer's cases are spans of 1, 2, 4 or 8 days, so that some have two items and
-    some twenty, and all bands, floors, patterns and policy rules occur among them."""
+    some twenty, and one customer in eight does in an hour what others do in eight days; all bands, floors,
+    patterns and policy rules occur among them."""
     e, k = events(spark, sf_dir), F.col("k")
     login, paid = F.col("kind") == "login", F.col("kind") == "transaction"
     detector = F.when(paid, "txn").when(F.col("kind") == "payee_added", "graph").when(login, F.when(F.col("result") == "success", "behaviour").otherwise("netsec")).when((F.col("kind") == "mfa_change") & (k % 5 == 0), "cyber").otherwise("auth")
@@ -34,16 +35,18 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     trust = F.element_at(F.create_map(*[F.lit(x) for d, (a, b) in fusion.RELIABILITY.items() for x in (d, a / (a + b))]), F.col("detector"))
     number = F.substring("customer", 6, 20).cast("long")
     days = F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), (number % 4 + 1).cast("int"))
+    span = 8 * 86_400_000_000
+    hurried = F.when(number % 8 == 3, F.col("us") - F.col("us") % span + F.floor(F.col("us") % span / 200)).otherwise(F.col("us"))
     p = F.when(k % 25 == 24, 0.93).when(k % 25 == 12, 0.3).otherwise(0.002 + (k % 23) * 0.0021) + (F.col("event_id") % 997) * 0.000001
     return e.withColumn("detector", detector).select(
-        F.col("event_id").alias("evidence_id"), F.concat(F.lit("case:"), number * 100_000 + F.floor(F.col("us") / (days * 86_400_000_000))).alias("case_id"), "us", "customer", "detector", family.alias("family"), stage.alias("stage"),
+        F.col("event_id").alias("evidence_id"), F.concat(F.lit("case:"), number * 100_000 + F.floor(F.col("us") / (days * 86_400_000_000))).alias("case_id"), hurried.alias("us"), "customer", "detector", family.alias("family"), stage.alias("stage"),
         p.alias("p"), trust.alias("reliability"), F.array(reason).alias("reasons"), "amount", F.array("ip").alias("entities"),
     )
 
 
 EVIDENCE = f"""WITH {EVENTS_SQL},
 d AS (SELECT *, CASE kind WHEN 'transaction' THEN 'txn' WHEN 'payee_added' THEN 'graph' WHEN 'login' THEN CASE WHEN result = 'success' THEN 'behaviour' ELSE 'netsec' END ELSE CASE WHEN kind = 'mfa_change' AND k % 5 = 0 THEN 'cyber' ELSE 'auth' END END AS detector, CAST(substr(customer, 6) AS BIGINT) AS cn FROM ev),
-item AS (SELECT event_id AS evidence_id, 'case:' || (cn * 100000 + us // (86400000000 * [1, 2, 4, 8][cn % 4 + 1])) AS case_id, us, detector, amount, ip,
+item AS (SELECT event_id AS evidence_id, 'case:' || (cn * 100000 + us // (86400000000 * [1, 2, 4, 8][cn % 4 + 1])) AS case_id, CASE WHEN cn % 8 = 3 THEN us - us % 691200000000 + us % 691200000000 // 200 ELSE us END AS us, detector, amount, ip,
   CASE detector WHEN 'txn' THEN 'transaction' WHEN 'behaviour' THEN 'identity' WHEN 'auth' THEN 'device' WHEN 'netsec' THEN 'cyber' WHEN 'cyber' THEN 'cyber' ELSE 'graph' END AS family,
   CASE detector WHEN 'txn' THEN 'S6_MONETIZATION' WHEN 'graph' THEN 'S5_POSITIONING' WHEN 'behaviour' THEN 'S1_INITIAL_ACCESS' WHEN 'netsec' THEN 'S0_RECON' WHEN 'cyber' THEN 'S4_ESCALATION' ELSE 'S2_CONTROL_TAKEOVER' END AS stage,
   CASE WHEN detector = 'graph' AND k % 4 = 0 THEN 'PAYEE_NAME_MISMATCH' WHEN detector = 'graph' AND k % 16 = 5 THEN 'SEED_DISTANCE_0'
