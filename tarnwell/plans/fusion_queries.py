@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import features, fusion, policy
+from ..operators import correlation, features, fusion, policy
 from ..sources.bridge import EVENTS_SQL, events, ordered
 from .registry import query
 
@@ -199,3 +199,16 @@ def _(spark, sf_dir):
     fused = fusion.contributions(items).groupBy(F.col("case_id").alias("customer")).agg(F.count("*").alias("structuring"), F.sum("contribution").alias("total"))
     p = fusion.sigmoid(fusion.logit(F.lit(0.01)) + F.col("total"))
     return fused.select("customer", "structuring", p.alias("p_attack"), fusion.band(p).alias("band"))
+
+
+#: Groups of reasons that tell one fact, for the evidence above.
+GROUPS = (correlation.Group("corr_ACCESS", ("SESSION_CONTEXT_CHANGE", "CREDENTIAL_STUFFING_IP", "RULE")), correlation.Group("corr_PAYEE", ("PAYEE_NAME_MISMATCH", "APP_SCAM_WARNING", "SEED_DISTANCE_0"), 0.25))
+
+
+@query("f4_correlation_discounts")
+def _(spark, sf_dir):
+    """Items that tell what a stronger one of another family told within six hours, and the contribution that is left."""
+    items = fusion.contributions(evidence(spark, sf_dir)).withColumn("customers", F.array("customer"))
+    found = correlation.discounts(items, GROUPS, 6 * features.HOUR)
+    left = correlation.discounted(items, found).select("case_id", "evidence_id", "contribution")
+    return found.join(left, ["case_id", "evidence_id"])

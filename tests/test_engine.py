@@ -124,3 +124,22 @@ def test_session_reports_each_changed_context_once(spark):
     got = {r["event_id"]: tuple(r)[1:] for r in state.sessions(df).collect()}
     assert got[0] == (False, 0, False) and got[1] == (True, 1, False) and got[2] == (True, 5, True) and got[3] == (True, 5, False)
     assert got[rows[-1][0]] == (False, 0, False)
+
+
+def test_unknown_zones_are_compared_by_name(spark):
+    rows = [("Asia/Kolkata", "Asia/Colombo", False), ("Asia/Kolkata", "Europe/Berlin", True), ("Mars/Base", "mars/base ", False), ("Mars/Base", "Europe/Berlin", True), (None, "Mars/Base", False), ("", "Europe/Berlin", False), ("UTC", "Asia/Kolkata", True)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    got = df.select("want", enrich.zone_mismatch(F.lit(1_705_276_800_000_000), F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_addresses_beyond_a_byte_are_none(spark):
+    df = spark.createDataFrame([("1.2.3.4",), ("999.1.1.1",), ("1.2.3",), (None,)], "ip string")
+    assert [r[0] for r in df.select(files.ipv4(F.col("ip"))).collect()] == [16_909_060, None, None, None]
+
+
+def test_rows_without_a_key_share_no_state(spark):
+    rows = [(1, 10, None), (2, 11, None), (3, 12, "a"), (4, 13, "a"), (5, 14, None)]
+    df = spark.createDataFrame(rows, "event_id long, us long, ip string").withColumns({"o": F.col("us"), "hit": F.lit(True)})
+    got = {r["event_id"]: (r["flagged"], r["raised"]) for r in state.rearming_flags(df, "ip", "hit").collect()}
+    assert got == {1: (False, True), 2: (False, True), 3: (False, True), 4: (True, False), 5: (False, True)}
