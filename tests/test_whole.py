@@ -19,5 +19,6 @@ def test_roles_hold_for_every_k(spark, tmp_path):
     assert found("j7_shared_token_cases") == ["cust:1", "cust:2"]  # ip:3 alone
     assert found("u_new_customers") == ["cust:2", "cust:3"]
     assert [(r["customer"], r["n"], r["status"]) for r in plans.queries()["j5_snk5_baseline_diff"](spark, path).collect()] == [("cust:3", 2, "changed")]
-    labelled = {tuple(r) for r in plans.queries()["j1_labelled_evidence"](spark, path).select("case_id", "label").collect()}
+    # a case's number is its customer's, then that of its days
+    labelled = {(f"cust:{int(r['case_id'][5:]) // 100_000}", r["label"]) for r in plans.queries()["j1_labelled_evidence"](spark, path).select("case_id", "label").collect()}
     assert labelled == {("cust:1", "LEGIT"), ("cust:1", "FRAUD"), ("cust:2", "LEGIT"), ("cust:3", "LEGIT")}
