@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR, MINUTE, band, clipped, logit, sigmoid
+from .patterns import PATTERNS, STAGES, Pattern, with_hits  # noqa: F401  STAGES is read from here
 
-#: Fixed values of the domain: stages in order, families and reliability of detectors.
-STAGES = ("S0_RECON", "S1_INITIAL_ACCESS", "S2_CONTROL_TAKEOVER", "S3_IDENTITY_MANIPULATION", "S4_ESCALATION", "S5_POSITIONING", "S6_MONETIZATION")
+#: Fixed values of the domain: families and reliability of detectors.
 FAMILY = {"txn": "transaction", "behaviour": "identity", "auth": "device", "kyc": "kyc", "cyber": "cyber", "netsec": "cyber", "graph": "graph"}
 RELIABILITY = {"txn": (17, 3), "behaviour": (6, 4), "auth": (7, 3), "kyc": (6, 4), "cyber": (5, 5), "netsec": (5, 5), "graph": (8, 2)}
 BANDS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -55,11 +55,13 @@ def _reason(code: str) -> Column:
     return F.array_contains("reasons", code)
 
 
-def timeline(evidence: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row per item: the case after it (log_odds, p_attack, band, patterns, floors, amount_at_risk)."""
+def timeline(evidence: DataFrame, config: Config = Config(), patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
+    """One row per item: the case after it (log_odds, p_attack, band, patterns, floors, amount_at_risk).
+
+    All windows are of a case or a part of it, so the items are dealt to tasks by case, once."""
     case, family = _running("case_id"), ["case_id", "family"]
     in_order = Window.partitionBy(*family).orderBy("us", "evidence_id")
-    rows = evidence.withColumn("weight", weight(F.col("p"), F.col("reliability"), config))
+    rows = evidence.repartition("case_id").withColumn("weight", weight(F.col("p"), F.col("reliability"), config))
     worth = (F.sum("weight").over(_running(*family)) + F.max("weight").over(_running(*family))) / 2
     rows = rows.withColumn("worth", worth)
     rows = rows.withColumn("gain", F.col("worth") - F.coalesce(F.lag("worth").over(in_order), F.lit(0.0)))
@@ -67,46 +69,33 @@ def timeline(evidence: DataFrame, config: Config = Config()) -> DataFrame:
     sure = (F.col("detector") == "txn") & (F.col("p") >= config.confident)
     if "degraded" in evidence.columns:
         sure = sure & ~F.coalesce("degraded", F.lit(False))
-    at = lambda stage, also=F.lit(True): F.when(live & (F.col("stage") == stage) & also, F.col("us"))
+    at = lambda stage: F.when(live & (F.col("stage") == stage), F.col("us"))
     last = lambda c: F.max(c).over(_earlier("case_id"))
     rows = rows.withColumns({
-        "s1": last(at("S1_INITIAL_ACCESS")),
+        "live": live,
         "s2": last(at("S2_CONTROL_TAKEOVER")),
-        "mismatch": last(at("S5_POSITIONING", _reason("PAYEE_NAME_MISMATCH"))),
         "fresh_stage": live & (F.row_number().over(Window.partitionBy("case_id", "stage", live).orderBy("us", "evidence_id")) == 1),
         "sure_at": F.max(F.when(sure, F.col("us"))).over(case),
         "disarmed": F.max(F.when(_reason("STEP_UP_PASSED_TRUSTED"), F.col("us"))).over(case),
     })
     now = F.col("us")
-    is_s2, is_s5, is_s6 = (live & (F.col("stage") == s) for s in ("S2_CONTROL_TAKEOVER", "S5_POSITIONING", "S6_MONETIZATION"))
-    rows = rows.withColumn("chain", F.when(is_s2 & (now - F.col("s1") <= 24 * HOUR), F.col("s1")))
-    # the latest start of a chain whose second step lies within 24 h of this item
-    near = Window.partitionBy("case_id").orderBy("us").rangeBetween(-24 * HOUR, 0)
-    before = F.max(F.when(F.col("chain").isNotNull(), F.col("chain"))).over(near)
+    is_s5 = live & (F.col("stage") == "S5_POSITIONING")
     hit = lambda c: F.max(c.cast("int")).over(case) == 1
     stage_times = F.array_sort(F.collect_list(F.when(F.col("fresh_stage"), now)).over(case))
     rows = rows.withColumns({
-        "ato1": hit(F.coalesce(is_s2 & (now - F.col("s1") <= 30 * MINUTE), F.lit(False))),
-        "ato2_chain": hit(F.coalesce(is_s5 & (now - before <= 24 * HOUR), F.lit(False))),
-        "app": hit(F.coalesce(is_s6 & (now - F.col("mismatch") <= 30 * MINUTE), F.lit(False))) & ~hit(is_s2),
         "positioned": F.max(F.when(is_s5 & (now - F.col("s2") <= 24 * HOUR), F.col("s2"))).over(case),
         "times": stage_times,
     })
     gaps = F.transform(F.sequence(F.lit(0), F.greatest(F.size("times") - 3, F.lit(0))), lambda i: F.get("times", i + 2) - F.get("times", i))
     rows = rows.withColumns({
-        "ato2": F.col("ato2_chain") & ~F.col("ato1"),
         "denied": hit(_reason("CUSTOMER_DENIED")),
         "seed_payee": hit((F.col("detector") == "graph") & _reason("SEED_DISTANCE_0")),
         "three_stages": F.coalesce(F.exists(gaps, lambda g: g <= 30 * MINUTE), F.lit(False)),
         "txn_sure": F.coalesce(F.col("sure_at") > F.coalesce("disarmed", F.lit(-1)), F.lit(False)),
         "s2_then_payee": F.coalesce(F.col("positioned") > F.coalesce("disarmed", F.lit(-1)), F.lit(False)),
     })
-    if "entities" in evidence.columns:
-        rows = rows.join(cloud_hits(rows), ["case_id", "evidence_id"], "left").withColumn("cloud", hit(F.coalesce("cloud_hit", F.lit(False))))
-    else:
-        rows = rows.withColumn("cloud", F.lit(False))
-    bonus = F.when(F.col("cloud"), 0.3).otherwise(0.0) + F.when(F.col("ato1"), 0.5).otherwise(0.0) + F.when(F.col("ato2"), 0.5).otherwise(0.0) + F.when(F.col("app"), 1.0).otherwise(0.0)
-    rows = rows.withColumn("log_odds", logit(F.lit(config.base_rate)) + F.sum("gain").over(case) + bonus)
+    rows = with_hits(rows, patterns)
+    rows = rows.withColumn("log_odds", logit(F.lit(config.base_rate)) + F.sum("gain").over(case) + F.col("bonus"))
     rows = rows.withColumn("p_attack", sigmoid(F.col("log_odds")))
     raw = band(F.col("p_attack"), config.medium_band, config.high_band, config.critical_band)
     floor = F.greatest(band_rank(raw), F.when(F.col("denied"), 4).otherwise(1), F.when(F.col("seed_payee") | F.col("s2_then_payee") | F.col("txn_sure"), 3).otherwise(1), F.when(F.col("three_stages"), 2).otherwise(1))
@@ -115,19 +104,12 @@ def timeline(evidence: DataFrame, config: Config = Config()) -> DataFrame:
         "case_id", "evidence_id", "us", "customer", "detector", "stage", "reasons", "weight", "gain", "log_odds", "p_attack", "amount",
         raw.alias("band_before_floors"),
         F.element_at(F.array(*[F.lit(b) for b in BANDS]), floor.cast("int")).alias("band"),
-        named([("ato1", "pat_ATO1"), ("cloud", "pat_CASE_IP_CLOUD"), ("app", "pat_APP_SCAM1"), ("ato2", "pat_ATO2")]).alias("patterns"),
+        F.col("hits.pattern").alias("patterns"),
         named([("denied", "floor_CUSTOMER_DENIED"), ("seed_payee", "floor_SEED_PAYEE"), ("three_stages", "floor_THREE_STAGES"), ("s2_then_payee", "floor_S2_THEN_NEW_PAYEE"), ("txn_sure", "floor_TXN_HIGH_CONFIDENCE")]).alias("floors"),
         F.coalesce(F.sum(F.when(F.col("stage") == "S6_MONETIZATION", F.col("amount"))).over(case), F.lit(0)).alias("amount_at_risk"),
     )
 
 
-def cloud_hits(rows: DataFrame) -> DataFrame:
-    """(case_id, evidence_id, cloud_hit): positive cloud items whose ip an earlier positive item of their case has shown."""
-    live = rows.where("weight > 0").select("case_id", "evidence_id", "us", "detector", F.explode("entities").alias("token")).where(F.col("token").startswith("ip:"))
-    before = F.row_number().over(Window.partitionBy("case_id", "token").orderBy("us", "evidence_id")) > 1
-    return live.withColumn("cloud_hit", before).where("cloud_hit and detector = 'cyber'").select("case_id", "evidence_id", "cloud_hit").distinct()
-
-
 def fused(points: DataFrame) -> DataFrame:
     """The last point of each case."""
     columns = [c for c in points.columns if c != "case_id"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import correlation, features, fusion, policy
+from ..operators import correlation, features, fusion, patterns, policy
 from ..sources.bridge import EVENTS_SQL, events, ordered
 from .registry import query
 
@@ -212,3 +212,23 @@ def _(spark, sf_dir):
     found = correlation.discounts(items, GROUPS, 6 * features.HOUR)
     left = correlation.discounted(items, found).select("case_id", "evidence_id", "contribution")
     return found.join(left, ["case_id", "evidence_id"])
+
+
+#: A pattern beyond the file's: given as its object, without code of its own.
+MORE_PATTERNS = patterns.extended(patterns.PATTERNS, [
+    {"id": "pat_PROBED_LOGIN", "sequence": ["S0_RECON", "S1_INITIAL_ACCESS", "S6_MONETIZATION"], "first_reason_any": ["CREDENTIAL_STUFFING_IP", "ACCOUNT_DISTRIBUTED_FAILURES"], "within_min": 2880, "total_within_min": 4320, "absent_stages": ["S2_CONTROL_TAKEOVER"], "unless_patterns": ["pat_APP_SCAM1"], "bonus": 0.25},
+])
+
+
+@query("f5_pattern_hits", PREFIX + """,
+probed AS (SELECT c.case_id, min(c.k) AS k FROM w a JOIN w b ON a.case_id = b.case_id AND a.k < b.k AND b.us - a.us <= 172800000000 JOIN w c ON c.case_id = b.case_id AND b.k < c.k AND c.us - b.us <= 172800000000 AND c.us - a.us <= 259200000000
+  WHERE a.ell > 0 AND b.ell > 0 AND c.ell > 0 AND a.stage = 'S0_RECON' AND a.reason IN ('CREDENTIAL_STUFFING_IP', 'ACCOUNT_DISTRIBUTED_FAILURES') AND b.stage = 'S1_INITIAL_ACCESS' AND c.stage = 'S6_MONETIZATION' GROUP BY 1),
+calm AS (SELECT * FROM app WHERE case_id NOT IN (SELECT case_id FROM s2)),
+hits AS (SELECT *, 'pat_ATO1' AS pattern, 0.5::DOUBLE AS bonus FROM ato1 UNION ALL SELECT *, 'pat_CASE_IP_CLOUD', 0.3 FROM cloud UNION ALL SELECT *, 'pat_APP_SCAM1', 1.0 FROM calm UNION ALL SELECT *, 'pat_ATO2', 0.5 FROM ato2 WHERE case_id NOT IN (SELECT case_id FROM ato1)
+  UNION ALL SELECT *, 'pat_PROBED_LOGIN', 0.25 FROM probed WHERE case_id NOT IN (SELECT case_id FROM s2) AND case_id NOT IN (SELECT case_id FROM calm))
+SELECT case_id, pattern, bonus, evidence_id AS completed_by FROM hits JOIN w USING (case_id, k)""")
+def _(spark, sf_dir):
+    """Patterns that hold at the end of each case, and the item that completed each: the file's four and one more."""
+    items = evidence(spark, sf_dir).repartition("case_id").withColumn("live", fusion.weight(F.col("p"), F.col("reliability")) > 0)
+    last = fusion.fused(patterns.with_hits(items, MORE_PATTERNS).select("case_id", "us", "evidence_id", "hits"))
+    return last.select("case_id", F.explode("hits").alias("hit")).select("case_id", "hit.pattern", "hit.bonus", F.col("hit.evidence_id").alias("completed_by"))
