@@ -209,28 +209,66 @@ def _(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", enrich.asn(raw).alias("asn"))
 
 
-@query("w16_ip_flags")
+def flags_sql(feature: str, key: str, hit: str) -> str:
+    """A flag that a hit raises for an hour and that no hit extends: one step of recursion for each event of a key."""
+    return f"""WITH RECURSIVE fx AS ({feature}), {EVENTS_SQL},
+r AS MATERIALIZED (SELECT event_id, {key} AS key, us, coalesce({hit}, false) AS hit, row_number() OVER (PARTITION BY {key} ORDER BY us, event_id) AS n FROM ev JOIN fx USING (event_id)),
+c AS (SELECT key, n, event_id, false AS flagged, hit AS raised, CASE WHEN hit THEN us END AS since FROM r WHERE n = 1
+  UNION ALL SELECT key, n, event_id, up, hit AND NOT up, CASE WHEN hit AND NOT up THEN us ELSE since END FROM (SELECT r.*, c.since, coalesce(r.us - c.since < 3600000000, false) AS up FROM c JOIN r ON r.key = c.key AND r.n = c.n + 1))
+SELECT event_id, key, flagged, raised FROM c"""
+
+
+@query("w16_ip_flags", flags_sql(fq.SQL_IP, "ip", "result = 'failure' AND ip_failed_customers_1h >= 2"))
 def _(spark, sf_dir):
     rows = with_features(spark, sf_dir, features.ip_failures)
     return state.rearming_flags(rows, "ip", "result = 'failure' and ip_failed_customers_1h >= 2")
 
 
-@query("w25_device_flags")
+@query("w25_device_flags", flags_sql(fq.SQL_ACCOUNTS, "device", "result = 'failure' AND dev_accounts_1h >= 2"))
 def _(spark, sf_dir):
     rows = with_features(spark, sf_dir, features.account_failures)
     return state.rearming_flags(rows, "device", "result = 'failure' and dev_accounts_1h >= 2")
 
 
-@query("w27_sessions")
-def _(spark, sf_dir):
-    rows = ordered(events(spark, sf_dir)).select(
-        "event_id", "us", "o", "asn", "device", "customer", F.concat(F.lit("ses:"), F.regexp_extract("customer", r"(\d+)", 1).cast("long") % 60).alias("session"),
+#: First-seen context and reported signatures of each session, carried by recursion from event to event.
+SQL_SESSIONS = f"""WITH RECURSIVE {EVENTS_SQL},
+r AS MATERIALIZED (SELECT event_id, us, CAST(substr(customer, 6) AS BIGINT) % 60 AS session, asn AS na, CASE WHEN k % 3 = 0 THEN 'mobile' ELSE 'hosting' END AS nt, device AS nd, CASE WHEN k % 2 = 0 THEN 'android' ELSE 'windows' END AS np, customer AS nc,
+  concat_ws('|', na, nt, nd, np, nc) AS sig, row_number() OVER (PARTITION BY session ORDER BY us, event_id) AS n FROM ev),
+c AS (SELECT session, n, event_id, false AS seen, 0 AS mask, false AS report, na AS a, nt AS t, nd AS d, np AS p, nc AS c, us AS since, CAST([] AS VARCHAR[]) AS told FROM r WHERE n = 1
+  UNION ALL SELECT session, n, event_id, live, mask, bad AND NOT list_contains(old, sig), coalesce(oa, na), coalesce(ot, nt), coalesce(od, nd), coalesce(op, np), coalesce(oc, nc), us, CASE WHEN bad AND len(old) < 16 AND NOT list_contains(old, sig) THEN list_append(old, sig) ELSE old END
+  FROM (SELECT *, (mask & 3) > 0 AND (mask & 60) > 0 AS bad FROM (SELECT *, m + CASE WHEN (m & 3) > 0 AND nt = 'hosting' AND ot <> 'hosting' THEN 64 ELSE 0 END AS mask
+  FROM (SELECT *, CASE WHEN oa <> na THEN 1 ELSE 0 END + CASE WHEN ot <> nt THEN 2 ELSE 0 END + CASE WHEN od <> nd THEN 4 ELSE 0 END + CASE WHEN op <> np THEN 8 ELSE 0 END + CASE WHEN oc <> nc THEN 32 ELSE 0 END AS m
+  FROM (SELECT r.*, r.us - c.since <= 86400000000 AS live, CASE WHEN live THEN c.a END AS oa, CASE WHEN live THEN c.t END AS ot, CASE WHEN live THEN c.d END AS od, CASE WHEN live THEN c.p END AS op, CASE WHEN live THEN c.c END AS oc, CASE WHEN live THEN c.told ELSE [] END AS old
+  FROM c JOIN r ON r.session = c.session AND r.n = c.n + 1)))))
+SELECT event_id, seen AS session_seen, CAST(mask AS INTEGER) AS session_change_mask, report AS session_change FROM c"""
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the session and the context that :mod:`state` folds; 60 sessions, each of several customers."""
+    return events(spark, sf_dir).select(
+        "event_id", "us", "asn", "device", "customer", F.concat(F.lit("ses:"), F.regexp_extract("customer", r"(\d+)", 1).cast("long") % 60).alias("session"),
         F.when(F.col("k") % 3 == 0, "mobile").otherwise("hosting").alias("network_type"), F.when(F.col("k") % 2 == 0, "android").otherwise("windows").alias("platform"), F.lit(None).cast("string").alias("gpu"),
     )
-    return state.sessions(rows)
 
 
-@query("l2_reliability")
+@query("w27_sessions", SQL_SESSIONS)
+def _(spark, sf_dir):
+    return state.sessions(ordered(session_events(spark, sf_dir)))
+
+
+#: Verdicts of 0 or 1, at most 3 of them a day, decayed to the prior with a half-life of 30 days and kept within 0.2 and 0.95.
+SQL_RELIABILITY = f"""WITH RECURSIVE {EVENTS_SQL}, prior(detector, a0, b0) AS (VALUES ('txn', 17.0::DOUBLE, 3.0::DOUBLE), ('auth', 7.0, 3.0), ('graph', 8.0, 2.0)),
+v AS (SELECT ['txn', 'auth', 'graph'][k % 3 + 1] AS detector, us, CASE WHEN k % 4 = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS da, event_id FROM ev WHERE kind = 'transaction'),
+r AS MATERIALIZED (SELECT v.*, a0, b0, row_number() OVER (PARTITION BY v.detector ORDER BY us, da, 1 - da, event_id) AS n FROM v JOIN prior USING (detector)),
+c AS (SELECT detector, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS us, a0 AS a, b0 AS b, CAST([] AS STRUCT(t BIGINT, s DOUBLE)[]) AS used FROM prior
+  UNION ALL SELECT detector, n, us, a1 + x, b1 + y, CASE WHEN greatest(x, y) > 0 THEN list_append(kept, struct_pack(t := us, s := greatest(x, y))) ELSE kept END
+  FROM (SELECT *, least(da * scale, greatest(0.0, 0.95::DOUBLE * b1 / 0.05::DOUBLE - a1)) AS x, least((1 - da) * scale, greatest(0.0, a1 / 0.2::DOUBLE - a1 - b1)) AS y
+  FROM (SELECT *, least(1.0::DOUBLE, greatest(0.0, 3.0::DOUBLE - coalesce(list_sum(list_transform(kept, lambda z: z.s)), 0))) AS scale, a0 + (a - a0) * f AS a1, b0 + (b - b0) * f AS b1
+  FROM (SELECT r.*, c.a, c.b, coalesce(pow(0.5::DOUBLE, (r.us - c.us) / 2592000000000.0::DOUBLE), 1) AS f, list_filter(c.used, lambda z: r.us - z.t <= 86400000000) AS kept FROM c JOIN r ON r.detector = c.detector AND r.n = c.n + 1))))
+SELECT detector, us, round(a, 6) AS alpha, round(b, 6) AS beta FROM c WHERE n > 0"""
+
+
+@query("l2_reliability", SQL_RELIABILITY)
 def _(spark, sf_dir):
     e = events(spark, sf_dir).where("kind = 'transaction'")
     name = F.get(F.array(*[F.lit(d) for d in ("txn", "auth", "graph")]), (F.col("k") % 3).cast("int"))
