@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.bridge import events
 from ..sources.stable import shared_folder
-from ..streaming import asof, upserts
+from ..streaming import asof, sessions, upserts
 from . import feature_queries as fq
+from .detector_queries import SQL_SESSIONS, session_events
 from .graph_queries import OBS
 from .registry import query
 
@@ -48,3 +49,17 @@ def _(spark, sf_dir):
     upserts.start(stream, f"{folder}/edges", f"{folder}/state", availableNow=True).awaitTermination()
     upserts.compact(spark, f"{folder}/edges", 0)
     return upserts.edges(spark, f"{folder}/edges").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@query("st6_stream_sessions", SQL_SESSIONS)
+def _(spark, sf_dir):
+    """Each event's session verdict as a stream told it last: files come in any order, so verdicts are told and corrected."""
+    stream, folder = arriving(spark, session_events(spark, sf_dir).withColumn("ts", F.timestamp_micros("us")))
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        run = sessions.sessions(stream, late="400 days").writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+        run.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return sessions.latest(spark.read.parquet(f"{folder}/out")).drop("session", "corrections")
