@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, features, fusion, models
+from ..operators import analytics, attributions, features, fusion, models
 from ..sources.bridge import EVENTS_SQL, events, ordered, table, typed
 from ..sources.stable import stable
 from .fusion_queries import CONTRIBUTED, EVIDENCE, PREFIX, evidence, points
@@ -119,13 +120,28 @@ def _(spark, sf_dir):
     return analytics.narrative(evidence(spark, sf_dir))
 
 
-@query("m1_payment_model")
-def _(spark, sf_dir):
-    """A payment model of a made label, trained on days 1 to 9, calibrated on 10 and 11, measured after: by quality."""
+def payment_model(spark: SparkSession, sf_dir: str) -> tuple[models.Scorer, DataFrame]:
+    """A payment model of a made label, trained on days 1 to 9 and calibrated on 10 and 11, and the payments of later days."""
     e = stable(ordered(events(spark, sf_dir)))
     rows = e.join(features.amounts(e), "event_id").join(features.payees(e), "event_id")
     first = e.agg(F.min("us").alias("first")).first()["first"]
     rows = rows.withColumns({"y": ((F.col("amount_to_median_30d") > 1.5) & (F.col("k") % 3 > 0)).cast("int"), "day": F.floor((F.col("us") - first) / features.DAY) + 1})
     rows = stable(rows)
     scorer = models.fitted(rows.where("day <= 9"), rows.where("day between 10 and 11"), models.PAYMENT, trees=True)
-    return models.report(scorer, rows.where("day > 11"))
+    return scorer, rows.where("day > 11")
+
+
+@query("m1_payment_model")
+def _(spark, sf_dir):
+    """The payment model's quality on later days."""
+    return models.report(*payment_model(spark, sf_dir))
+
+
+@query("s6_d12_attributions")
+def _(spark, sf_dir):
+    """What made the payment model score each later payment as it did: the five strongest features and up to three reasons."""
+    scorer, later = payment_model(spark, sf_dir)
+    found = attributions.attributed(scorer.model, later, scorer.features, "event_id")
+    total = F.aggregate("features", F.col("expected"), lambda s, x: s + x["added"])
+    strongest = F.transform(attributions.strongest(), lambda x: F.concat_ws("=", x["feature"], F.round(x["added"], 4).cast("string")))
+    return found.select("event_id", "margin", total.alias("sum_of_parts"), F.array_join(strongest, ",").alias("strongest"), F.array_join(attributions.reasons(), ",").alias("reasons"))
