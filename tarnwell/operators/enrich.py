@@ -27,7 +27,7 @@ def network_table(spark, networks: tuple = NETWORKS) -> DataFrame:
         base, prefix = cidr.split("/")
         a, b, c, d = map(int, base.split("."))
         first = ((a * 256 + b) * 256 + c) * 256 + d
-        rows.append(F.struct(F.lit(first).cast("long").alias("first"), F.lit(first + 2 ** (32 - int(prefix)) - 1).cast("long").alias("last"), F.lit(int(prefix)).alias("prefix"), *[F.lit(v).alias(n) for v, n in zip(rest, ("network_type", "net_asn", "zone", "confidence"), strict=True)]))
+        rows.append(F.struct(F.lit(first).cast("long").alias("first"), F.lit(first + 2 ** (32 - int(prefix)) - 1).cast("long").alias("last"), F.lit(int(prefix)).alias("prefix"), *[F.lit(v).cast("double" if n == "confidence" else "string").alias(n) for v, n in zip(rest, ("network_type", "net_asn", "zone", "confidence"), strict=True)]))
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
@@ -35,15 +35,15 @@ def network_table(spark, networks: tuple = NETWORKS) -> DataFrame:
 MOST_BLOCKS = 500_000
 
 
-def range_join(rows: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFrame:
-    """Each row with the most specific range that holds its ``ip_number`` (nulls where none does).
+def range_join(rows: DataFrame, ranges: DataFrame, bits: int = 16, fields: tuple[str, ...] = ("network_type", "net_asn", "zone", "confidence"), first: Column | None = None) -> DataFrame:
+    """Each row with the most specific range that holds its ``ip_number`` (nulls where none does), or the least by ``first``.
 
-    Ranges are gathered by blocks of 2^bits addresses, the most specific first, so a row finds its range in
+    Ranges are gathered by blocks of 2^bits addresses, the one to prefer first, so a row finds its range in
     one join by block, without a shuffle of its own where the blocks are few.
     """
-    fields = ["network_type", "net_asn", "zone", "confidence"]
     cut = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("first", bits), F.shiftright("last", bits))))
-    blocks = cut.groupBy("block").agg(F.sort_array(F.collect_list(F.struct((-F.col("prefix")).alias("order"), "first", "last", *fields))).alias("held"))
+    order = -F.col("prefix") if first is None else first
+    blocks = cut.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(order.alias("order"), "first", "last", *fields))).alias("held"))
     if blocks.count() <= MOST_BLOCKS:
         blocks = F.broadcast(blocks)
     found = rows.withColumn("block", F.shiftright("ip_number", bits)).join(blocks, "block", "left")
@@ -51,6 +51,46 @@ def range_join(rows: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFrame:
     return found.withColumn("hit", hit).select(*[F.col(c) for c in rows.columns], *[F.col(f"hit.{f}").alias(f) for f in fields])
 
 
+#: IPv4 blocks that are no one's address on the public network (as the registries list them).
+SPECIAL = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+#: How sure each source is of what it says, where a range does not say so itself.
+SURE = {"demo_list": 0.9, "ip2proxy": 0.8, "cgnat_list": 0.6, "asn_map": 0.4, "special": 0.3, "none": 0.0}
+#: Sources in the order in which they are asked; an operator's number is asked between the last two.
+SOURCES = ("demo_list", "ip2proxy", "cgnat_list", "special")
+
+
+def networks_known(rows: DataFrame, ranges: dict[str, DataFrame], asn_types: dict[str, str]) -> DataFrame:
+    """``rows`` (ip_number, net_hint: the operator as the sender gives it) with network_type, network_source, confidence, zone and
+    net_asn of the first source that knows.
+
+    ``ranges``: by name of SOURCES, (first, last) and, where the source has them, prefix, network_type, net_asn, zone,
+    confidence; a source that is not given knows nothing. Within a source the most specific range counts (of
+    ranges without a prefix the shortest). All sources are one table of ranges, so a row takes one join whatever
+    their number. A null or other ip_number is of an unknown network, of source none, even with a hint."""
+    spark, parts = rows.sparkSession, []
+    given = {**ranges, "special": network_table(spark, tuple((cidr, "unknown", None, None, SURE["special"]) for cidr in SPECIAL))}
+    if not set(given) <= set(SOURCES):
+        raise ValueError(f"sources are {SOURCES}")
+    for name, held in given.items():
+        have = lambda c, t, or_=None, held=held: (F.col(c) if c in held.columns else F.lit(None)).cast(t) if or_ is None else F.coalesce((F.col(c) if c in held.columns else F.lit(None)).cast(t), F.lit(or_))
+        kind = have("network_type", "string", "mobile" if name == "cgnat_list" else "unknown")
+        rank = F.struct(F.lit(SOURCES.index(name)).alias("source"), (F.col("last") - F.col("first")).alias("size"))
+        parts.append(held.select("first", "last", rank.alias("rank"), kind.alias("network_type"), have("net_asn", "string").alias("net_asn"), have("zone", "string").alias("zone"), have("confidence", "double", SURE[name]).alias("confidence"), F.lit(name).alias("network_source")))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    found = range_join(rows, table, fields=("network_type", "net_asn", "zone", "confidence", "network_source"), first=F.col("rank"))
+    hint = asn(F.col("net_hint"))
+    by_hint = F.element_at(F.create_map(*[F.lit(x) for kv in asn_types.items() for x in kv]), hint) if asn_types else F.lit(None).cast("string")
+    told = F.col("ip_number").isNotNull() & by_hint.isNotNull() & (F.coalesce("network_source", F.lit("special")) == "special")
+    return found.withColumns({
+        "network_type": F.when(told, by_hint).otherwise(F.coalesce("network_type", F.lit("unknown"))),
+        "net_asn": F.when(told, hint).otherwise(F.col("net_asn")),
+        "confidence": F.when(told, SURE["asn_map"]).otherwise(F.coalesce("confidence", F.lit(SURE["none"]))),
+        "network_source": F.when(told, "asn_map").otherwise(F.coalesce("network_source", F.lit("none"))),
+    })
+
+
 #: Words in an operator's name that tell its kind, anonymisers first.
 ORG_WORDS = {
     "vpn": ("vpn", "proxy", "anonym", "privacy"),

@@ -9,6 +9,7 @@ from ..functions import scalars
 from ..operators import detectors, enrich, features, reports, state
 from ..sources import files
 from ..sources.bridge import EVENTS_SQL, events, ordered, table
+from ..sources.stable import shared_folder
 from . import feature_queries as fq
 from .registry import query
 
@@ -190,6 +191,31 @@ def _(spark, sf_dir):
     return joined.select("event_id", "raw", "network_type", "zone", "confidence", enrich.geo_confidence(F.col("network_type"), F.col("confidence")).alias("geo"))
 
 
+#: Lines of the files that name networks, and operators by number, for the query below.
+PROXY_LINES = ['"167837696","167837951","TOR","-","-"', '"167838208","167838463","DCH","-","-"', '"167838720","167838975","-","-","-"']
+CGNAT_LINES = ["# carriers", "10.1.1.128/25  # a half", "10.1.2.0/24", "49.207.10.0/24"]
+OPERATORS = {"AS64507": "hosting", "AS64519": "mobile"}
+
+
+@query("pf5_ordered_sources", f"""WITH {EVENTS_SQL}, r AS (SELECT *, {IPS} AS raw, event_id % 256 AS host, CASE WHEN k % 5 < 3 THEN 'AS' || (64500 + k) END AS hint FROM ev),
+s AS (SELECT *, CASE WHEN k % 4 = 3 AND k % 7 = 0 THEN 'ip2proxy tor' WHEN k % 4 = 3 AND k % 7 = 2 THEN 'ip2proxy hosting' WHEN k % 4 < 3 THEN 'demo_list ' || ['vpn', 'tor', 'mobile'][k % 4 + 1]
+  WHEN k % 7 = 1 AND host >= 128 THEN 'cgnat_list mobile' WHEN hint = 'AS64507' THEN 'asn_map hosting' WHEN hint = 'AS64519' THEN 'asn_map mobile' ELSE 'special unknown' END AS found FROM r)
+SELECT event_id, split_part(found, ' ', 2) AS network_type, split_part(found, ' ', 1) AS network_source, CASE split_part(found, ' ', 1) WHEN 'demo_list' THEN CASE WHEN k % 4 = 2 THEN 0.8 ELSE 0.9 END WHEN 'ip2proxy' THEN 0.8 WHEN 'cgnat_list' THEN 0.6 WHEN 'asn_map' THEN 0.4 ELSE 0.3 END::DOUBLE AS confidence FROM s""")
+def _(spark, sf_dir):
+    """The network of each event's address by the first source that knows it, of files that are written and read."""
+    folder, k = shared_folder(spark), F.col("k")
+    for name, text in (("proxies", PROXY_LINES), ("carriers", CGNAT_LINES)):
+        spark.createDataFrame([(line,) for line in text], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    ranges = {
+        "demo_list": enrich.network_table(spark), "ip2proxy": files.proxy_ranges(files.lines(spark, f"{folder}/proxies"), {"TOR": "tor", "DCH": "hosting"}),
+        "cgnat_list": files.network_list(files.lines(spark, f"{folder}/carriers")),
+    }
+    block = F.when(k % 4 == 0, "192.0.2").when(k % 4 == 1, "198.51.100").when(k % 4 == 2, "49.207.10").otherwise(F.concat(F.lit("10.1."), k % 7))
+    raw = F.concat_ws(".", block, (F.col("event_id") % 256).cast("string"))
+    rows = events(spark, sf_dir).select("event_id", files.ipv4(raw).alias("ip_number"), F.when(k % 5 < 3, F.concat(F.lit("as"), k + 64500)).alias("net_hint"))
+    return enrich.networks_known(rows, ranges, OPERATORS).select("event_id", "network_type", "network_source", "confidence")
+
+
 @query("pf8_zone_mismatch", f"""WITH {EVENTS_SQL}, z AS (SELECT *, ['Asia/Kolkata', 'Europe/Berlin', 'Asia/Colombo'][CAST(k % 3 AS INTEGER) + 1] AS a, ['Asia/Kolkata', 'Europe/Amsterdam'][CAST(k % 2 AS INTEGER) + 1] AS b FROM ev)
 SELECT event_id, (a LIKE 'Asia/%') <> (b LIKE 'Asia/%') AS mismatch FROM z""")
 def _(spark, sf_dir):
