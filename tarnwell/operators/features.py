@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY, HOUR, MINUTE, circular_hours, haversine_km, ist_hour, minutes_since, near_limit
-from ..sources.bridge import back
+from ..sources.bridge import STEP, back
 
 #: Transfer limits in paise.
 LIMITS = (10_000_000, 20_000_000, 50_000_000)
@@ -30,6 +30,34 @@ def total(value: Column, over) -> Column:
     return F.coalesce(F.sum(value).over(over), F.lit(0))
 
 
+def with_trailing(rows: DataFrame, key: str, span: int, distinct: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` (with us and o) with what the rows of ``key`` showed within ``span`` microseconds, this row included: how many
+    ``distinct`` values (nulls aside), and ``sums`` of whole numbers (0 without any).
+
+    Rows of one place see each other. Each row makes a step up at its place, and a step down where it leaves the span, for a distinct value only where
+    no other sighting holds it. The steps are summed up in one order, so no row meets the rows of its frame.
+    """
+    distinct, sums, columns = distinct or {}, sums or {}, rows.columns
+    names = [*distinct, *sums]
+    rows = rows.withColumns({f"_{n}": c for n, c in (distinct | sums).items()})
+    for n in distinct:
+        own, held = Window.partitionBy(key, f"_{n}").orderBy("o"), F.col(f"_{n}").isNotNull()
+        before, after = F.col("us") - F.lag("us").over(own), F.lead("us").over(own) - F.col("us")
+        rows = rows.withColumns({f"_up_{n}": (held & F.coalesce(before > span, F.lit(True))).cast("long"), f"_down_{n}": (held & F.coalesce(after > span, F.lit(True))).cast("long")})
+    worth = {n: F.coalesce(F.col(f"_{n}").cast("long"), F.lit(0)) for n in sums}
+    up = [(F.col(f"_up_{n}") if n in distinct else worth[n]).alias(n) for n in names]
+    down = [-(F.col(f"_down_{n}") if n in distinct else worth[n]) for n in names]
+    # after all events that the span still holds, before the next microsecond
+    end = ((F.col("us") + span).cast("decimal(20,0)") * STEP + STEP // 2).cast("decimal(30,0)")
+    steps = F.struct(F.struct(*columns).alias("row"), F.col("o").alias("at"), *up)
+    leaves = F.greatest(*[F.abs(c) for c in down], F.lit(0)) > 0
+    ends = F.when(leaves, F.struct(F.lit(None).alias("row"), end.alias("at"), *[c.alias(n) for c, n in zip(down, names, strict=True)]))
+    both = rows.select(F.col(key).alias("_key"), F.explode(F.array_compact(F.array(steps, ends))).alias("x")).select("_key", "x.*")
+    over = Window.partitionBy("_key").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    found = both.select("row", *[F.sum(n).over(over).alias(n) for n in names]).where("row is not null")
+    return found.select("row.*", *names)
+
+
 def amounts(events: DataFrame) -> DataFrame:
     """Log amount, amount to the prior 30-day median, count in 1 h and sum in 24 h of the customer."""
     key = ["customer"]
@@ -50,12 +78,16 @@ def payees(events: DataFrame) -> DataFrame:
     near = near_limit(F.col("amount"), LIMITS).isNotNull()
     paid = F.col("kind") == "transaction"
     sent = moves.withColumns({"added": added, "payee_sum_24h_paise": total(F.col("amount"), window(pair, DAY)), "near_limit_count_24h": count_if(paid & near, window(pair, DAY, 0))}).where(paid)
-    others = F.array_except(F.collect_set("customer").over(window(["payee"], DAY)), F.array("customer"))
-    fan_in = sent.withColumn("payee_fan_in_24h", F.size(others).cast("long"))
-    into = fan_in.select("*", F.col("payee").alias("leg"), F.col("amount").alias("inbound"), F.lit(0).cast("long").alias("outbound"))
-    out = events.where("kind = 'transaction'").select("o", F.col("account").alias("leg"), F.lit(0).cast("long").alias("inbound"), F.col("amount").alias("outbound"))
+    fan_in = with_trailing(sent, "payee", DAY, {"payers": F.col("customer")})
+    # this payment's own customer is among the payers
+    fan_in = fan_in.withColumn("payee_fan_in_24h", F.col("payers") - F.col("customer").isNotNull().cast("long"))
+    none = F.lit(0).cast("long")
+    into = fan_in.select("*", F.col("payee").alias("leg"), F.col("amount").alias("inbound"), none.alias("outbound"), F.lit(True).alias("into"))
+    out = events.where("kind = 'transaction'").select("us", "o", F.col("account").alias("leg"), none.alias("inbound"), F.col("amount").alias("outbound"), F.lit(False).alias("into"))
     legs = into.unionByName(out, allowMissingColumns=True)
-    flow = legs.withColumns({"i": total(F.col("inbound"), window(["leg"], DAY)), "u": total(F.col("outbound"), window(["leg"], DAY))}).where("event_id is not null")
+    flow = with_trailing(legs, "leg", DAY, sums={"i": F.col("inbound"), "u": F.col("outbound")}).where("into")
+    # the payment itself is not before itself, nor is what its payee paid at its place: itself, paid to oneself
+    flow = flow.withColumns({"i": F.col("i") - F.coalesce("inbound", none), "u": F.col("u") - F.when(F.col("payee") == F.col("account"), F.coalesce("amount", none)).otherwise(0)})
     return flow.select(
         "event_id",
         minutes_since(F.col("us"), F.col("added")).alias("minutes_since_payee_added"),
@@ -122,8 +154,8 @@ def devices(events: DataFrame) -> DataFrame:
 def ip_failures(events: DataFrame, span: int = HOUR) -> DataFrame:
     """Distinct customers with a failed login from the ip, this one's included."""
     failed = F.when(F.col("result") == "failure", F.col("customer"))
-    seen = F.collect_set(failed).over(window(["ip"], span, 0))
-    return events.where("kind = 'login'").select("event_id", F.size(seen).cast("long").alias("ip_failed_customers_1h"))
+    logins = events.where("kind = 'login'").select("event_id", "us", "o", "ip", "result", "customer")
+    return with_trailing(logins, "ip", span, {"ip_failed_customers_1h": failed}).select("event_id", "ip_failed_customers_1h")
 
 
 def challenges(events: DataFrame) -> DataFrame:
@@ -213,8 +245,8 @@ def usual_device(events: DataFrame) -> DataFrame:
 
 def staff_reads(acts: DataFrame, span: int = HOUR) -> DataFrame:
     """Distinct customers that each act's staff identity touched within ``span``, this act's included."""
-    seen = F.collect_set("customer").over(window(["staff"], span, 0))
-    return acts.select("event_id", F.size(seen).cast("long").alias("customers_60m"))
+    own = acts.select("event_id", "us", "o", "staff", "customer")
+    return with_trailing(own, "staff", span, {"customers_60m": F.col("customer")}).select("event_id", "customers_60m")
 
 
 def new_device_logins(acts: DataFrame, logins: DataFrame, fresh: int = 2 * HOUR, established: int = DAY) -> DataFrame:
