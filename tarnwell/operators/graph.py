@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY, HOUR, MINUTE, kind
-from ..sources.bridge import back
 from ..sources.stable import stable
+from .features import with_trailing
 
 #: Edge confidence by type, and how many customers make a hub.
 CONFIDENCE = {"LOGGED_IN_FROM": 0.9, "CONNECTED_VIA": 0.5, "OWNS": 1.0, "RESET": 0.9, "HAS_PHONE": 1.0, "ADDED_PAYEE": 0.9, "SENT": 1.0, "SHARES_DEVICE": 0.9}
@@ -241,10 +241,7 @@ def reputation(edges: DataFrame, now: int, tenure_days: int = 7, recent_h: int =
 
 def shared_ips(events: DataFrame, hours: int = 24, devices: int = 8, accounts: int = 6) -> DataFrame:
     """For each login whether its ip is shared: many devices or (on logins that succeed) accounts in the window."""
-    over = Window.partitionBy("ip").orderBy("o").rangeBetween(back(hours * HOUR), 0)
-    rows = events.where("kind = 'login'").select(
-        "event_id",
-        F.size(F.collect_set("device").over(over)).cast("long").alias("ip_devices"),
-        F.size(F.collect_set(F.when(F.col("result") == "success", F.col("account"))).over(over)).cast("long").alias("ip_accounts"),
-    )
+    logins = events.where("kind = 'login'").select("event_id", "us", "o", "ip", "device", "account", "result")
+    members = {"ip_devices": F.col("device"), "ip_accounts": F.when(F.col("result") == "success", F.col("account"))}
+    rows = with_trailing(logins, "ip", hours * HOUR, members).select("event_id", *members)
     return rows.withColumn("shared_ip", (F.col("ip_devices") >= devices) | (F.col("ip_accounts") >= accounts))
