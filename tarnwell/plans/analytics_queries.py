@@ -19,7 +19,7 @@ STATUS = "['OPEN', 'INVESTIGATING', 'FALSE_POSITIVE', 'CONFIRMED_FRAUD'][CAST(su
 
 def status(case: str):
     names = F.array(*[F.lit(x) for x in ("OPEN", "INVESTIGATING", "FALSE_POSITIVE", "CONFIRMED_FRAUD")])
-    return F.get(names, (F.substring(case, 6, 20).cast("int") % 4))
+    return F.get(names, (F.substring(case, 6, 20).cast("long") % 4).cast("int"))
 
 
 @query("src9_scan_since", EV + f"SELECT event_id, us, kind FROM ev WHERE us >= {NOW}")
