@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MINUTE
-from .state import folded
+from .state import folded_rows
 
 
 @dataclass(frozen=True)
@@ -25,32 +24,35 @@ class Group:
     factor: float = 0.5
 
 
+class Kept:
+    """The kept items of one case by group, and what they discount."""
+
+    def __init__(self, groups: tuple[Group, ...], window: int):
+        self.groups, self.window = groups, window
+        self.kept: dict[str, list[tuple]] = {g.name: [] for g in groups}
+
+    def step(self, r) -> list[tuple]:
+        customers, reasons = set(r.customers), set(r.reasons)
+        for g in self.groups:
+            if reasons.isdisjoint(g.reasons):
+                continue
+            partner = next((k for k in self.kept[g.name] if k[1] != r.family and abs(k[2] - r.us) <= self.window and not customers.isdisjoint(k[3])), None)
+            if partner is not None:
+                return [(r.case_id, r.evidence_id, g.name, partner[0], g.factor)]
+            self.kept[g.name].append((r.evidence_id, r.family, r.us, customers))
+        return []
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def discounts(contributed: DataFrame, groups: tuple[Group, ...], window: int = 60 * MINUTE) -> DataFrame:
     """(case_id, evidence_id, group, kept, factor) of every discounted item of ``contributed`` (case_id, evidence_id, us, family,
     contribution, reasons, customers: array). Items without a customer pair with nothing; off where no group is given."""
 
-    def start():
-        kept: dict[str, list[tuple]] = {g.name: [] for g in groups}
-
-        def fold(own: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for r in own.itertuples(index=False):
-                customers, reasons = set(r.customers), set(r.reasons)
-                for g in groups:
-                    if reasons.isdisjoint(g.reasons):
-                        continue
-                    partner = next((k for k in kept[g.name] if k[1] != r.family and abs(k[2] - r.us) <= window and not customers.isdisjoint(k[3])), None)
-                    if partner is not None:
-                        out.append((r.case_id, r.evidence_id, g.name, partner[0], g.factor))
-                        break
-                    kept[g.name].append((r.evidence_id, r.family, r.us, customers))
-            return pd.DataFrame(out, columns=["case_id", "evidence_id", "group", "kept", "factor"])
-
-        return fold
-
     rows = contributed.where("contribution > 0").select("case_id", "evidence_id", "us", "family", "reasons", F.coalesce("customers", F.array().cast("array<string>")).alias("customers"), (-F.col("contribution")).alias("order"))
     kind = contributed.schema["evidence_id"].dataType.simpleString()
-    return folded(rows, "case_id", ["order", "us", "evidence_id"], start, f"case_id string, evidence_id {kind}, group string, kept {kind}, factor double")
+    return folded_rows(rows, "case_id", ["order", "us", "evidence_id"], lambda: Kept(groups, window), f"case_id string, evidence_id {kind}, group string, kept {kind}, factor double")
 
 
 def discounted(contributed: DataFrame, found: DataFrame) -> DataFrame:

@@ -38,6 +38,31 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable, schema:
     return rows.repartition(key, F.when(F.col(key).isNull(), F.xxhash64(*order))).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+def folded_rows(rows: DataFrame, key: str, order: list[str], start: Callable, schema: str) -> DataFrame:
+    """Like :func:`folded`, for keys of few rows (none null): ``start()`` gives a fold whose ``step(row)`` and ``end()`` give tuples of
+    ``schema``. What a part gives is one frame, however many keys it holds."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        df = pd.DataFrame(out, columns=columns).astype(object)
+        return df.where(df.notna(), None) if out else df
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, fold = None, None
+        for part in parts:
+            out: list[tuple] = []
+            for now, row in zip(part[key].tolist(), part.itertuples(index=False), strict=True):
+                if fold is None or now != at:
+                    out.extend(fold.end() if fold is not None else ())
+                    at, fold = now, start()
+                out.extend(fold.step(row))
+            yield frame(out)
+        if fold is not None:
+            yield frame(list(fold.end()))
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def rearming_flags(rows: DataFrame, key: str, hit: str, span: int = HOUR) -> DataFrame:
     """(event_id, key, flagged, raised): a hit raises the flag for ``span``; flagged is its state before the event."""
 
