@@ -6,10 +6,10 @@ only payees link to it stays apart unless two of them do, or one is suspicious a
 a case, an item above the base rate opens one; with several, they merge into the one of the highest
 probability (ties: the oldest, then the least id). A case without a customer takes the first one it sees.
 
-A slice is worked off in parallel by what can meet in it: items and carried cases that share tokens form a
-component, whose rows go through one fold in order, a batch at a time; the fold holds open cases only. The
-cases that are still open go on to the next slice, so cuts do not change what is joined, and shorter slices
-make smaller components.
+A slice is worked off in parallel by what can meet in it: items and carried cases of one customer, and those that show
+what another one still looks for, form a component, whose rows go through one fold in order, a batch at a time; the fold
+holds open cases only, and tells a case once, when it ends or with the slice. The cases that are still open go on
+to the next slice, so cuts do not change what is joined, and shorter slices make smaller components.
 
 Items: evidence_id (string), us, customer, stage, p, weight, family, entities (array of tokens), tokens
 (array of join tokens), bridges and odd (arrays of those tokens that are payees, and suspicious).
@@ -29,7 +29,7 @@ from ..sources.stable import stable
 from .cases import BRIDGES, STICKY, STICKY_FROM, WINDOW
 from .components import components
 from .fusion import STAGES
-from .state import folded
+from .state import folded_rows
 
 CLOSE, CASE, ITEM = 0, 1, 2
 OUT = (
@@ -68,6 +68,7 @@ class Joining:
         self.open: dict[str, Case] = {}
         self.by_token: dict[str, set[str]] = {}
         self.gone: dict[str, str] = {}
+        self.over: list[Case] = []
 
     def put(self, case: Case) -> None:
         self.open[case.case_id] = case
@@ -93,7 +94,7 @@ class Joining:
             sticky = case.customer is not None and case.customer == r.customer and case.later
             if r.us - case.last > (STICKY if sticky else WINDOW):
                 if r.us - case.last > STICKY:
-                    self.take(case_id)
+                    self.over.append(self.take(case_id))
                 continue
             shared = tokens & case.entities
             over = shared & bridges
@@ -149,28 +150,31 @@ class Joining:
         case.last = -1 - case.last  # below zero: no item joins it any more, and no slice carries it
         return case
 
-    def __call__(self, own: pd.DataFrame) -> pd.DataFrame:
+    def told(self, case: Case) -> tuple:
+        names = sorted(case.worth)
+        state = (case.anchor, case.customer, case.opened, case.last, case.later, sorted(case.entities), sorted(case.absorbed), names, [case.worth[n][0] for n in names], [case.worth[n][1] for n in names])
+        return ("case", self.seq, case.case_id, None, None, *state)
+
+    def step(self, r) -> list[tuple]:
         rows: list = []
-        touched: dict[str, Case] = {}
-        for r in own.itertuples(index=False):
-            self.seq += 1
-            if r.what == CASE:
-                case = Case(r.evidence_id, r.anchor, None if pd.isna(r.customer) else r.customer, int(r.opened), int(r.last), bool(r.later), set(r.entities), set(r.absorbed))
-                self.gone |= dict.fromkeys(case.absorbed, case.case_id)
-                for name, total, most in zip(r.families, r.sums, r.highest, strict=True):
-                    case.add(name, total, most)
-                self.put(case)
-            else:
-                case = self.close(f"case:{r.evidence_id}") if r.what == CLOSE else self.attach(r, rows)
-            if case is not None:
-                touched[case.case_id] = case
-        out = [(*x, *[None] * 10) for x in rows]
-        for case in touched.values():
-            names = sorted(case.worth)
-            out.append(("case", self.seq, case.case_id, None, None, case.anchor, case.customer, case.opened, case.last, case.later, sorted(case.entities), sorted(case.absorbed), names, [case.worth[n][0] for n in names], [case.worth[n][1] for n in names]))
-        columns = [c.split()[0] for c in OUT.split(", ")]
-        df = pd.DataFrame(out, columns=columns).astype(object)
-        return df.where(df.notna(), None) if out else df
+        self.seq += 1
+        if r.what == CASE:
+            case = Case(r.evidence_id, r.anchor, None if pd.isna(r.customer) else r.customer, int(r.opened), int(r.last), bool(r.later), set(r.entities), set(r.absorbed))
+            self.gone |= dict.fromkeys(case.absorbed, case.case_id)
+            for name, total, most in zip(r.families, r.sums, r.highest, strict=True):
+                case.add(name, total, most)
+            self.put(case)
+        elif r.what == CLOSE:
+            case = self.close(f"case:{r.evidence_id}")
+            self.over.extend([case] if case is not None else [])
+        else:
+            self.attach(r, rows)
+        out = [(*x, *[None] * 10) for x in rows] + [self.told(case) for case in self.over]
+        self.over.clear()
+        return out
+
+    def end(self) -> list[tuple]:
+        return [self.told(case) for case in self.open.values()]
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -178,9 +182,26 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("node", "root")
 
 
-def _node(tokens: Column, alone: Column) -> Column:
-    """Tokens are numbered by a hash: two of one number only make their components fold together."""
-    return F.coalesce(F.xxhash64(F.array_min(tokens)), F.xxhash64(alone))
+def _node(customer: Column, alone: Column) -> Column:
+    """What a customer's rows have in common, by a hash: two of one number only make their components fold together."""
+    return F.when(customer.isNotNull(), F.xxhash64(F.lit("customer"), customer)).otherwise(F.xxhash64(alone))
+
+
+def _edges(rows: DataFrame, base_rate: float) -> DataFrame:
+    """(a, b): tokens and nodes of the rows that may meet over them.
+
+    A row meets who shows what it looks for, before it. A payee alone is looked for in vain by an item that has no second
+    one, unless it is suspicious and the item above the base rate; a token that nobody looks for later links nothing.
+    """
+    empty = F.array().cast("array<string>")
+    payees = F.when(F.size("bridges") >= BRIDGES, F.col("bridges")).when(F.col("p") > base_rate, F.array_intersect("bridges", "odd")).otherwise(empty)
+    looked = F.when(F.col("what") == ITEM, F.array_union(F.array_except("tokens", "bridges"), payees)).when(F.col("what") == CLOSE, F.col("all")).otherwise(empty)
+    shown = rows.select("node", "us", F.explode(F.transform("all", lambda t: F.xxhash64(t))).alias("a"))
+    asked = rows.select("node", "us", F.explode(F.transform(looked, lambda t: F.xxhash64(t))).alias("a"))
+    shown = shown.groupBy("a", "node").agg(F.min("us").alias("us"))
+    until = asked.groupBy("a").agg(F.max("us").alias("until"))
+    meeting = shown.join(until, "a").where(F.col("us") <= F.col("until"))
+    return meeting.select("a", F.col("node").alias("b"))
 
 
 def _slice(items: DataFrame, carried: DataFrame | None, base_rate: float) -> DataFrame:
@@ -197,10 +218,9 @@ def _slice(items: DataFrame, carried: DataFrame | None, base_rate: float) -> Dat
             "entities", empty.alias("tokens"), empty.alias("bridges"), empty.alias("odd"), F.col("entities").alias("all"), "anchor", "opened", "last", "later", "absorbed", "families", "sums", "highest",
         )
         rows = rows.unionByName(own)
-    rows = stable(rows.withColumn("node", _node(F.col("all"), F.col("evidence_id"))))
-    edges = rows.select(F.explode(F.transform("all", lambda t: F.xxhash64(t))).alias("a"), F.col("node").alias("b"))
-    rows = _labelled(rows.drop("all"), components(edges))
-    return stable(folded(rows, "label", ["us", "evidence_id", "what"], lambda: Joining(base_rate), OUT))
+    rows = stable(rows.withColumn("node", _node(F.col("customer"), F.col("evidence_id"))))
+    rows = _labelled(rows.drop("all"), components(_edges(rows, base_rate)))
+    return stable(folded_rows(rows, "label", ["us", "evidence_id", "what"], lambda: Joining(base_rate), OUT))
 
 
 def join_cases(items: DataFrame, slice_us: int = 10 * DAY, base_rate: float = 0.01, closings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
