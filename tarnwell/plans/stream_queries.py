@@ -17,10 +17,13 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def arriving(spark: SparkSession, e: DataFrame, files: int = 3) -> tuple[DataFrame, str]:
-    """``e`` written as files, each with events of the whole time, and read as a stream; and the folder."""
+def arriving(spark: SparkSession, e: DataFrame, files: int = 3, last: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """``e`` written as files, each with events of the whole time, and read as a stream; and the folder. ``last`` comes
+    in a file after all others: the stream takes files as they were written."""
     folder = shared_folder(spark)
     e.repartition(files, F.col("event_id")).write.parquet(f"{folder}/in")
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
 
 
@@ -28,9 +31,9 @@ def arriving(spark: SparkSession, e: DataFrame, files: int = 3) -> tuple[DataFra
 def _(spark, sf_dir):
     """The count of an hour and the sum of a day before each payment, on a stream whose events come in any order."""
     e = events(spark, sf_dir).withColumn("ts", F.timestamp_micros("us"))
-    # events wait for the watermark, so a last one of another customer ends the stream
+    # events wait for the watermark, so a last one of another customer ends the stream; coming earlier, it would make the others late
     last = e.where("kind = 'transaction'").limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "customer": F.lit("cust:end"), "us": F.col("us") + 400 * 86_400_000_000})
-    stream, folder = arriving(spark, e.unionByName(last.withColumn("ts", F.timestamp_micros("us"))))
+    stream, folder = arriving(spark, e, last=last.withColumn("ts", F.timestamp_micros("us")))
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKS)
     try:
