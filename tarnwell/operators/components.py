@@ -1,4 +1,4 @@
-"""Connected components of an edge table: a forest within each part, then rounds of joins that Spark may split."""
+"""Connected components of an edge table: forests within ranges of nodes, level by level, then rounds of joins that Spark may split."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..sources.stable import stable
 
 
-#: Edges that a task holds as one forest, and that one task may finish alone.
-MOST = 500_000
+#: Edges that a task holds as one forest, and that one task may finish alone; what a level must leave at most to be followed by another.
+MOST, SHRINK = 500_000, 0.75
 
 
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,17 +43,38 @@ def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the least node that it reaches.
 
-    The edges of each task become a forest first, so chains within it cost nothing later; few edges are finished
-    by one task. In a round every
-    root that has a lesser root next to it hangs under the least of those, then all nodes move to their
-    root's root until they stand still; edges inside one tree are dropped.
+    A level deals the edges by ranges of their lesser node to tasks of about ``MOST`` edges. Each makes forests of its own;
+    what goes on to the next level are edges between the roots of forests that share a node. So where nodes near each other in order
+    hang together (items in order of time), one or two levels leave few edges, which one task finishes. Where a level hardly
+    shrinks the edges, rounds of joins (:func:`_rounds`) finish them.
     """
     kind = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in ("a", "b"))
+    edges = stable(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    levels, before = [], None
+    while (n := edges.count()) > MOST and (before is None or n <= SHRINK * before):
+        part = edges.repartitionByRange(-(-n // max(MOST, 1)), "a").sortWithinPartitions("a").mapInPandas(_forest, kind)
+        hung = stable(part.toDF("node", "root").distinct())
+        roots = hung.select("root").distinct()
+        hung = hung.unionByName(roots.select(F.col("root").alias("node"), "root"))
+        least = stable(hung.groupBy("node").agg(F.min("root").alias("least")))
+        levels.append(least)
+        edges = stable(hung.join(least, "node").where("root != least").select(F.col("least").alias("a"), F.col("root").alias("b")).distinct())
+        before = n
+    if n <= MOST:
+        star = stable(edges.coalesce(1).mapInPandas(_forest, kind))
+        found = star.toDF("node", "root").unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    else:
+        found = _rounds(edges, kind)
+    for least in reversed(levels):
+        found = least.join(found.select(F.col("node").alias("least"), "root"), "least", "left").select("node", F.coalesce("root", "least").alias("root"))
+    return stable(found) if levels else found
+
+
+def _rounds(edges: DataFrame, kind: str) -> DataFrame:
+    """Components by rounds: in each, every root that has a lesser root next to it hangs under the least of those, then all nodes
+    move to their root's root until they stand still; edges inside one tree are dropped."""
     less = lambda df: df.select("a", "b").where("a != b").mapInPandas(_forest, kind).distinct()
     edges = stable(less(edges))
-    if edges.count() <= MOST:
-        star = stable(edges.coalesce(1).mapInPandas(_forest, kind))
-        return star.toDF("node", "root").unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     roots = stable(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
