@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR, kind
+from ..sources.stable import stable
 from .components import components
 from .fusion import STAGES
 from .graph import walk
@@ -29,6 +30,8 @@ from .graph import walk
 KINDS, WINDOW, STICKY, STICKY_FROM, BRIDGES = ("cust", "acct", "dev", "ip", "phone"), 6 * HOUR, 72 * HOUR, "S2_CONTROL_TAKEOVER", 2
 #: How many tokens join an item at most, the nearest ones, and edges that payments make.
 MOST_TOKENS, PAYMENT = 200, ("SENT", "ADDED_PAYEE")
+#: Rows of a task that a join makes many times as many of.
+ROWS = 50_000
 
 
 def neighbours(edges: DataFrame, tokens: DataFrame, skip: DataFrame, hops: int = 2, least: float = 0.5) -> DataFrame:
@@ -57,14 +60,24 @@ def join_tokens(evidence: DataFrame, excluded: DataFrame, reputable: DataFrame,
         theirs = (kind(F.col("token")) == "acct") & ~F.array_contains("own", F.col("token"))
         return found.join(known, "token", "left").where(~theirs | F.col("known").isNull()).drop("known")
 
-    rows = allowed(rows).withColumns({"hops": F.lit(0), "shown": F.lit(True)})
-    if near is not None:
-        further = rows.drop("hops", "shown").withColumnRenamed("token", "start").join(near, "start").withColumn("bridge", F.col("bridge") | ~F.col("direct")).drop("start", "direct")
-        item = ["evidence_id", "us", "customer", "stage", "p", "own", "token"]
-        both = rows.unionByName(allowed(further.withColumn("shown", F.lit(False))))
-        rows = both.groupBy(*item).agg(F.min("bridge").alias("bridge"), F.min("hops").alias("hops"), F.max("shown").alias("shown"))
-    rank = F.row_number().over(Window.partitionBy("evidence_id").orderBy("hops", "token"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= MOST_TOKENS).drop("rank", "hops", "own")
+    rows = allowed(rows)
+    nearest = lambda found, key: found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("hops", "token"))).where(F.col("rank") <= MOST_TOKENS).drop("rank", "hops")
+    if near is None:
+        return nearest(rows.drop("own").withColumns({"hops": F.lit(0), "shown": F.lit(True)}), "evidence_id")
+    # what lies near hangs on an item's tokens alone, so it is looked up once for all items that show the same, and each task has few of them
+    items = rows.groupBy("evidence_id", "us", "customer", "stage", "p").agg(F.array_sort(F.collect_set(F.struct("token", "bridge"))).alias("shows"), F.array_sort(F.first("own")).alias("own"))
+    items = stable(items.withColumn("like", F.min("evidence_id").over(Window.partitionBy("shows", "own"))))
+    ones = items.where("evidence_id = like").select("like", "own", F.inline("shows"))
+    further = _dealt(ones.withColumnRenamed("token", "start"), "start").join(near, "start").select("like", "own", "token", "hops", (F.col("bridge") | ~F.col("direct")).alias("bridge"))
+    both = ones.withColumns({"hops": F.lit(0), "shown": F.lit(True)}).unionByName(allowed(further.withColumn("shown", F.lit(False))))
+    found = both.groupBy("like", "token").agg(F.min("bridge").alias("bridge"), F.min("hops").alias("hops"), F.max("shown").alias("shown"))
+    return _dealt(items.drop("shows", "own"), "like").join(stable(nearest(found, "like")), "like").drop("like")
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` in as many tasks as their number asks for: each makes many rows when joined, which Spark does not see from their size."""
+    rows = stable(rows)
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS)), key).hint("merge")
 
 
 def links(tokens: DataFrame, suspicious: DataFrame, base_rate: float = 0.01) -> DataFrame:
