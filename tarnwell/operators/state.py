@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,6 +120,57 @@ class Session:
         self.at = event["us"] if not live else max(self.at, event["us"])
         return live, mask, report
 
+    def steps(self, own: pd.DataFrame, ttl: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What :meth:`step` gives for each of these events, which are in order, by columns."""
+        n, us = len(own), own["us"].to_numpy(np.int64)
+        live, mask, report = np.ones(n, bool), np.zeros(n, np.int32), np.zeros(n, bool)
+        if not n:
+            return live, mask, report
+        last = np.maximum.accumulate(us if self.at is None else np.append(self.at, us))
+        live[1:], live[0] = us[1:] - last[-n:-1] <= ttl, self.at is not None and us[0] - self.at <= ttl
+        if not live[0]:
+            self.seen, self.reported = {}, set()
+        start, at = np.append(0, 1 + np.flatnonzero(~live[1:])), np.arange(n)
+        span = np.searchsorted(start, at, "right") - 1
+        values = {f: own[f].astype(object).where(own[f].notna(), None).to_numpy() if f in own else np.full(n, None, object) for f in self.fields}
+        codes, firsts, hidden = [], {}, None
+        for f in self.fields:
+            code, kinds = pd.factorize(np.append(np.array([self.seen.get(f)], object), values[f]))
+            real = np.array([bool(x) for x in kinds] + [False])  # the last one is of nulls, whose code is -1
+            found = np.where(real[code[1:]], at, n)
+            first = np.minimum.reduceat(found, start)
+            old = np.where(first < n, code[1:][np.minimum(first, n - 1)], -1)
+            if real[code[0]]:
+                first[0], old[0] = -1, code[0]
+            codes.append(code[1:])
+            firsts[f] = old[-1]
+            self_old, shown = np.where(first[span] < at, old[span], -1), real[code[1:]]
+            other = shown & (self_old >= 0) & (self_old != code[1:])
+            if f == "network_type":
+                named = lambda names: np.array([x in names for x in kinds] + [False])
+                other &= ~(named(("unknown",))[code[1:]] | named(("unknown",))[self_old])
+                hidden = named(ANONYMISING)[code[1:]] & ~named(ANONYMISING)[self_old]
+            mask[other] |= self.bits[f]
+            firsts[f] = kinds[old[-1]] if old[-1] >= 0 else None
+        mask[((mask & 3) > 0) & hidden] |= 64
+        bad = np.flatnonzero(((mask & 3) > 0) & ((mask & 60) > 0))
+        alike = span[bad]
+        for code in codes:
+            alike = pd.factorize(alike * (int(code.max()) + 2) + code[bad] + 1)[0]
+        signed = lambda i: tuple(values[f][i] for f in self.fields)
+        _, new = np.unique(alike, return_index=True)  # the first event of each span and signature, in order
+        kept, room = np.ones(len(new), bool), 16 - len(self.reported)
+        told = np.array([span[bad[i]] == 0 and signed(bad[i]) in self.reported for i in new], bool)
+        place = pd.Series(span[bad[new]][~told]).groupby(span[bad[new]][~told]).cumcount().to_numpy()
+        kept[~told] = place < np.where(span[bad[new]][~told] == 0, room, 16)
+        report[bad] = ~kept[alike]
+        report[bad[new]] = ~told
+        if len(start) > 1:
+            self.reported = set()
+        self.reported |= {signed(bad[i]) for i in new[kept & ~told] if span[bad[i]] == span[-1]}
+        self.seen, self.at = {f: x for f, x in firsts.items() if x}, int(last[-1])
+        return live, mask, report
+
 
 def sessions(rows: DataFrame, ttl: int = 24 * HOUR) -> DataFrame:
     """(event_id, session_seen, session_change_mask, session_change) over each session's events."""
@@ -127,8 +179,8 @@ def sessions(rows: DataFrame, ttl: int = 24 * HOUR) -> DataFrame:
         state = Session()
 
         def fold(own: pd.DataFrame) -> pd.DataFrame:
-            out = [state.step(e, ttl) for e in own.where(own.notna(), None).to_dict("records")]
-            return pd.DataFrame({"event_id": own["event_id"], "session_seen": [x[0] for x in out], "session_change_mask": [x[1] for x in out], "session_change": [x[2] for x in out]})
+            seen, mask, report = state.steps(own, ttl)
+            return pd.DataFrame({"event_id": own["event_id"].to_numpy(), "session_seen": seen, "session_change_mask": mask, "session_change": report})
 
         return fold
 
