@@ -28,8 +28,9 @@ from .graph import walk
 
 #: Kinds that join, hours that a case stays open, and from which stage on it stays open longer.
 KINDS, WINDOW, STICKY, STICKY_FROM, BRIDGES = ("cust", "acct", "dev", "ip", "phone"), 6 * HOUR, 72 * HOUR, "S2_CONTROL_TAKEOVER", 2
-#: How many tokens join an item at most, the nearest ones, and edges that payments make.
-MOST_TOKENS, PAYMENT = 200, ("SENT", "ADDED_PAYEE")
+#: Edges that payments make. How many tokens join an item at most, the nearest ones (None: all of them).
+PAYMENT: tuple[str, ...] = ("SENT", "ADDED_PAYEE")
+MOST_TOKENS: int | None = None
 #: Rows of a task that a join makes many times as many of.
 ROWS = 50_000
 
@@ -47,8 +48,8 @@ def join_tokens(evidence: DataFrame, excluded: DataFrame, reputable: DataFrame,
     """(evidence_id, us, customer, stage, p, token, bridge, shown) for each token that an item may be joined by.
 
     excluded: token; reputable: token. Both are joined by token, so neither has to be small. ``near`` (see
-    :func:`neighbours`) adds what lies near an item's own tokens; of all, the nearest ``MOST_TOKENS`` of an
-    item stay (ties by token). ``shown`` says whether the item itself shows the token.
+    :func:`neighbours`) adds what lies near an item's own tokens, all of it; where ``MOST_TOKENS`` is set, the nearest
+    that many of an item stay (ties by token). ``shown`` says whether the item itself shows the token.
     """
     rows = evidence.select("evidence_id", "us", "customer", "stage", "p", "own", F.explode(F.array_distinct("entities")).alias("token"))
     rows = rows.where(kind(F.col("token")).isin(*KINDS)).join(excluded.select("token"), "token", "left_anti")
@@ -61,7 +62,13 @@ def join_tokens(evidence: DataFrame, excluded: DataFrame, reputable: DataFrame,
         return found.join(known, "token", "left").where(~theirs | F.col("known").isNull()).drop("known")
 
     rows = allowed(rows)
-    nearest = lambda found, key: found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("hops", "token"))).where(F.col("rank") <= MOST_TOKENS).drop("rank", "hops")
+
+    def nearest(found: DataFrame, key: str) -> DataFrame:
+        if MOST_TOKENS is None:
+            return found.drop("hops")
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("hops", "token"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= MOST_TOKENS).drop("rank", "hops")
+
     if near is None:
         return nearest(rows.drop("own").withColumns({"hops": F.lit(0), "shown": F.lit(True)}), "evidence_id")
     # what lies near hangs on an item's tokens alone, so it is looked up once for all items that show the same, and each task has few of them

@@ -35,3 +35,11 @@ def test_tokens_near_are_those_of_the_definition_and_dealt_to_tasks(spark, monke
     assert rows.rdd.getNumPartitions() >= 10
     got = [(r["evidence_id"], r["token"], r["bridge"], r["shown"]) for r in rows.collect()]
     assert len(got) == len(set(got)) and set(got) == nearest(items, near, {"dev:9"}, {"acct:9", "acct:4"})
+
+
+def test_an_item_keeps_all_tokens_near_it(spark):
+    near = [("acct:1", f"dev:{n}", 1 + n % 2, True) for n in range(350)]
+    items = [(1, 0, "cust:1", S5, 0.2, ["acct:1"], ["acct:1"])] + [(2 + n, 1 + n, f"cust:{2 + n}", S2, 0.2, [], [f"dev:{n}"]) for n in (0, 349)]
+    rows = cases.join_tokens(spark.createDataFrame(items, ITEM), frame(spark, []), frame(spark, []), spark.createDataFrame(near, "start string, token string, hops int, direct boolean"))
+    got = {(r["evidence_id"], r["token"], r["bridge"], r["shown"]) for r in rows.collect()}
+    assert got == nearest(items, near, set(), set()) and len(got) == 353
