@@ -72,13 +72,17 @@ PATTERNS = read(Path(__file__).with_name("patterns.json"))
 
 
 def _before(value: str, minutes: float | None) -> Column:
-    """The greatest ``value`` of items before this one in order, at most ``minutes`` ago."""
-    start = Window.unboundedPreceding if minutes is None else -int(minutes * MINUTE)
-    earlier = Window.partitionBy("case_id").orderBy("us")
-    peers = Window.partitionBy("case_id", "us").orderBy("evidence_id").rowsBetween(Window.unboundedPreceding, -1)
-    if start == 0:
-        return F.max(value).over(peers)
-    return F.greatest(F.max(value).over(earlier.rangeBetween(start, -1)), F.max(value).over(peers))
+    """The greatest ``value`` of items before this one in order, at most ``minutes`` ago.
+
+    A later hit of a step never carries an earlier start, so the last hit before carries the greatest one: frames only
+    grow, and no item meets the items of a busy case's last day.
+    """
+    earlier = Window.partitionBy("case_id").orderBy("us", "evidence_id").rowsBetween(Window.unboundedPreceding, -1)
+    greatest = F.max(value).over(earlier)
+    if minutes is None:
+        return greatest
+    last = F.max(F.when(F.col(value).isNotNull(), F.col("us"))).over(earlier)
+    return F.when(F.col("us") - last <= int(minutes * MINUTE), greatest)
 
 
 def _shown(rows: DataFrame, kinds: set[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 
@@ -85,3 +86,11 @@ def test_a_file_that_cannot_be_judged_is_an_error():
 def test_no_items_no_hits(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert patterns.with_hits(empty).collect() == [] == patterns.with_hits(empty.drop("entities")).collect()
+
+
+def test_frames_only_grow(spark):
+    """A frame that slides reads a busy case's last day anew for each of its items."""
+    rows = patterns.with_hits(spark.createDataFrame(drawn(3), SCHEMA))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", plan)
+    assert frames and {f.rstrip("$()") for f in frames} == {"unboundedpreceding"}
